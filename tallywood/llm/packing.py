@@ -84,7 +84,7 @@ def tokenise(docs: DataFrame, capacity: int, tokenizer: str, ranks: str | None)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in sliced(batches):
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = bpe.encode(text.as_py() or "") + end
                 for k, (s, n) in enumerate(cut(len(data) // 4, capacity)):
                     ids.append(doc_id)

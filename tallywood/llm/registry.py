@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywood.llm import packing
+from tallywood.llm import packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
