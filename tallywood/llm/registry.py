@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tallywood.llm import packing, toxicity
+from tallywood.llm import chat, langid, licenses, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op5_license_scan": licenses.op5_license_scan,
+        "op6_language_id": langid.op6_language_id,
+        "op7_chat_format": chat.op7_chat_format,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_format": chat.OP7_SQL}
