@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywood.llm import chat, langid, licenses, packing, toxicity
+from tallywood.llm import chat, langid, licenses, neardup, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": langid.op6_language_id,
         "op7_chat_format": chat.op7_chat_format,
