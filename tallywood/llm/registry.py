@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallywood.llm import chat, langid, licenses, neardup, packing, toxicity
+from tallywood.llm import chat, langid, licenses, neardup, packing, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
+        "op3_url_filters": urls.op3_url_filters,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": langid.op6_language_id,
         "op7_chat_format": chat.op7_chat_format,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat.OP7_SQL}
+    return {"op3_url_filters": urls.OP3_SQL, "op7_chat_format": chat.OP7_SQL}
