@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import chat, langid, licenses, neardup, packing, toxicity, urls
+from tallywood.llm import chat, langid, licenses, neardup, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": langid.op6_language_id,
         "op7_chat_format": chat.op7_chat_format,
+        "op10_substring_dedup": substrings.op10_substring_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
