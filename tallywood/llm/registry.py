@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywood.llm import chat, langid, licenses, neardup, packing, substrings, toxicity, urls
+from tallywood.llm import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
         "op3_url_filters": urls.op3_url_filters,
+        "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": langid.op6_language_id,
         "op7_chat_format": chat.op7_chat_format,
