@@ -59,3 +59,29 @@ def wide(df: DataFrame, *cols) -> DataFrame:
 def held_out(col="doc_id"):
     """True for the quarter of the ids that no model may learn labels from."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2
+
+
+def among(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataFrame:
+    """The rows of df whose `column` may be among ids (one column of that name); rows that surely aren't go before any shuffle.
+
+    A bitmap of 2**bits hashes of the ids, at most 2**(bits - 6) rows of two longs, is
+    broadcast (a hash of that many bits bounds it whatever the number of ids).  Every row
+    among the ids stays; a join decides the others.
+    """
+    marked = _marked(df, ids, column, bits)
+    return marked.filter("_may").drop("_word", "_bits", "_may")
+
+
+def without(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataFrame:
+    """The rows of df whose `column` isn't among ids; only rows that the bitmap can't clear are shuffled."""
+    marked = _marked(df, ids, column, bits)
+    clear = marked.filter("not coalesce(_may, false)").drop("_word", "_bits", "_may")
+    rest = marked.filter("_may").drop("_word", "_bits", "_may").join(ids, column, "left_anti")
+    return clear.unionByName(rest)
+
+
+def _marked(df: DataFrame, ids: DataFrame, column: str, bits: int) -> DataFrame:
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
+    bitmap = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    return df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left").withColumn("_may", F.col("_bits").bitwiseAND(bit) != 0)

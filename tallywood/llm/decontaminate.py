@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import table, written
+from tallywood.llm.common import among, table, without, written
 
 WORDS = r"array_remove(split(lower({0}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), '')"
 LANE = 0x0001000100010001
@@ -86,9 +86,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, similarity:
     starts = hits.join(spots, "x").select("key", "dw", "item_id", "nw", (F.col("pos") - F.col("offset")).alias("start"))
     starts = starts.groupBy("key", "dw", "item_id", "nw", "start").agg(F.count("*").alias("c")).filter(f"c >= least(0.4 * (nw - {words - 1}), 20)")
     spans = starts.select("key", "nw", F.expr("greatest(0, least(start, dw - nw))").alias("start"))
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "nw")).alias("spans"))  # bounded by the document
+    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "nw")).alias("spans")), "spans")  # bounded by the document
 
-    wide = shingled(docs.withColumn("key", key).join(spans, "key"), words).select("key", "doc_id", "sh", F.explode("spans").alias("span"))
+    wide = shingled(among(docs.withColumn("key", key), spans.select("key"), "key").join(spans, "key"), words).select("key", "doc_id", "sh", F.explode("spans").alias("span"))
     wide = wide.select("key", "doc_id", F.col("span.start").alias("start"), F.col("span.nw").alias("nw"), F.expr(f"slice(sh, span.start + 1, span.nw - {words - 1})").alias("sh"))
     windows = written(wide.select("key", "doc_id", "start", "nw", "sh", F.expr("xxhash64(sh)").alias("w")), "windows")
     distinct = windows.groupBy("w", "nw").agg(F.first("sh").alias("sh")).withColumn("z", F.expr(occurrences("sh")))
@@ -106,8 +106,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, similarity:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns kept, without a window similar to an item."""
-    gone = contaminated(docs.select("doc_id", "text"), items, **options).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone, F.col("_own") == F.col("_key"), "left_anti").drop("_own")
+    gone = written(contaminated(docs.select("doc_id", "text"), items, **options).select(F.col("key").alias("_key")).distinct(), "gone")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return without(keyed, gone, "_key").select(docs.columns)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

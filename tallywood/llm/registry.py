@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallywood.llm import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
         "op3_url_filters": urls.op3_url_filters,

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,36 +101,30 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, PLACE + ", w long, s int")
 
 
-def cut_out(docs: DataFrame, length: int, keep_text: bool, keep_digest: bool) -> DataFrame:
-    """docs (doc_id, t, text, starts): removes the words that the windows from these starts cover."""
+CUT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
-    def run(batches):
-        for batch in batches:
-            total, gone, digest, texts = [], [], [], []
-            for text, starts in zip(batch.column(2), batch.column(3)):
-                text = text.as_py()
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                n = len(words)
-                removed = 0
-                if starts.is_valid and len(starts):
-                    s = starts.values.to_numpy()
-                    cover = np.zeros(n + 1, dtype=np.int32)
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, np.minimum(s + length, n), -1)
-                    keep = np.cumsum(cover[:-1]) == 0
-                    removed = n - int(keep.sum())
-                if removed:
-                    kept = [words[i] for i in np.flatnonzero(keep).tolist()]
-                    texts.append(_rebuilt(text, keep) if keep_text else None)
-                else:
-                    kept = words
-                    texts.append(text if keep_text else None)
-                total.append(n)
-                gone.append(removed)
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest() if keep_digest else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "t", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return docs.mapInArrow(run, PLACE + ", n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+def cut_out(length: int, keep_text: bool, keep_digest: bool):
+    """A function of (text, starts): what stays without the words that the windows from these starts cover."""
+
+    @F.pandas_udf(CUT)
+    def cut(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        out = []
+        for one, s in zip(text, starts):
+            words = (one or "").encode("utf-8", "surrogatepass").split()
+            n, removed, kept = len(words), 0, words
+            if s is not None and len(s):
+                cover = np.zeros(n + 1, dtype=np.int32)
+                np.add.at(cover, s, 1)
+                np.add.at(cover, np.minimum(s + length, n), -1)
+                keep = np.cumsum(cover[:-1]) == 0
+                kept = [words[i] for i in np.flatnonzero(keep).tolist()]
+                removed = n - len(kept)
+            digest = hashlib.sha256(b" ".join(kept)).hexdigest() if keep_digest else None
+            out.append((n, removed, digest, (_rebuilt(one, keep) if removed else one) if keep_text else None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+
+    return cut
 
 
 def _rebuilt(text: str, keep: np.ndarray) -> str:
@@ -156,11 +151,12 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, length: int = 35, gram: int = 8, keep_text: bool = True, keep_digest: bool = True) -> DataFrame:
-    """doc_id, t, n_words, n_removed, kept_sha256, kept_text of every row of docs (doc_id, text); t is the text's hash."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
-    starts = repeated_starts(docs, length, gram)
-    both = docs.join(starts, docs.doc_id.eqNullSafe(starts.doc_id) & (docs.t == starts.t), "left").select(docs.doc_id, docs.t, "text", "starts")
-    return cut_out(both, length, keep_text, keep_digest)
+    """docs with a column `cut` (n_words, n_removed, kept_sha256, kept_text); all its columns and rows stay."""
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    own = docs.select(id_.alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
+    starts = repeated_starts(own, length, gram).select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("starts").alias("_starts"))
+    both = docs.join(starts, id_.eqNullSafe(F.col("_doc")) & (F.hash(text) == F.col("_t")), "left")
+    return both.withColumn("cut", cut_out(length, keep_text, keep_digest)(text, F.col("_starts"))).drop("_doc", "_t", "_starts")
 
 
 class SuffixAutomaton:
@@ -252,4 +248,5 @@ def remove_reference(docs: DataFrame, reference: list[str], length: int = 35, mo
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicate(docs, keep_text=False).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
