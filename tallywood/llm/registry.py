@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallywood.llm import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls
+from tallywood.llm import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_language_id": langid.op6_language_id,
         "op7_chat_format": chat.op7_chat_format,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
