@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import drop_written, shuffle_partitions, table, written
+from tallywood.llm.common import among, drop_written, shuffle_partitions, table, written
 from tallywood.llm.components import components
 from tallywood.llm.kernels import U, mix, sliced, string_buffers, window_hashes, word_hashes, word_spans
 
@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, buckets:
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
     placed = loose.join(sizes, "component").select("v", F.col("component").alias("cluster"), F.expr(f"cast((size + {block - 1}) div {block} as int)").alias("blocks"))
     placed = placed.withColumn("own", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
-    texts = docs.join(placed.withColumnRenamed("v", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(classes.withColumnRenamed("v", "doc_id"), "doc_id")
+    placed = written(placed, "placed").withColumnRenamed("v", "doc_id")
+    texts = among(docs, placed.select("doc_id"), "doc_id").join(placed, "doc_id").dropDuplicates(["doc_id"]).join(classes.withColumnRenamed("v", "doc_id"), "doc_id")
     dealt = texts.select(F.col("doc_id").alias("v"), "text", "regs", "cluster", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "v", "text", "regs", "cluster", F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j"), F.expr("if(own > other, 1, 0)").alias("side")
     )
