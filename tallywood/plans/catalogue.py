@@ -1,4 +1,426 @@
-"""Registered queries and their equivalent SQL."""
+"""Registered queries: each applies a library operator to whole test tables, with equivalent SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywood.operators import metrics, sessions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    source = F.when(F.col("conv_id") % 2 == 0, "codex").otherwise("claude_code")
+    return sessions.human_messages(c.select(source.alias("source"), F.col("conv_id").alias("session"), "role", "text", F.col("turn").alias("ordinal")))
+
+
+M = r"""WITH m AS (
+  SELECT CASE WHEN conv_id % 2 = 0 THEN 'codex' ELSE 'claude_code' END AS source, conv_id AS session, role,
+    regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, turn AS ordinal
+  FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S'))"""
+C = M + """, c AS (
+  SELECT source, session, count(*) AS message_count, count(*) FILTER (role = 'user') AS user_count,
+    count(*) FILTER (role = 'assistant') AS assistant_count, min(ordinal) AS first_ordinal
+  FROM m GROUP BY source, session HAVING count(*) FILTER (role = 'user') > 0)"""
+
+
+@query(C + " SELECT source, session, message_count, user_count, assistant_count, first_ordinal, user_count AS turn_count FROM c")
+def session_turns(spark, sf):
+    return sessions.counts(messages(spark, sf))
+
+
+@query(C + """ SELECT count(user_count) AS sample_size, quantile_disc(user_count, 0.5)::BIGINT AS p50, quantile_disc(user_count, 0.95)::BIGINT AS p95,
+  avg(user_count)::DOUBLE AS mean, max(user_count)::BIGINT AS max FROM c""")
+def turns_distribution(spark, sf):
+    return sessions.counts(messages(spark, sf)).agg(*metrics.distribution("turn_count"))
+
+
+@query("SELECT role, count(*) AS messages FROM conversations GROUP BY role")
+def role_message_counts(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("messages"))
+
+
+@query(C + """ SELECT source, count(*) AS session_count, sum(message_count)::BIGINT AS message_count, sum(user_count)::BIGINT AS turn_count,
+  sum(assistant_count)::BIGINT AS assistant_count, quantile_disc(user_count, 0.95)::BIGINT AS p95 FROM c GROUP BY GROUPING SETS ((source), ())""")
+def metric_set_by_source(spark, sf):
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return metrics.by_source_and_overall(sessions.counts(messages(spark, sf)), "source", F.count("*").alias("session_count"), total("message_count"), total("turn_count"), total("assistant_count"), metrics.rank("turn_count", 0.95).cast("long").alias("p95"))
+
+
+@query("""SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max
+  FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def metric_set_overall_by_group(spark, sf):
+    return metrics.by_source_and_overall(table(spark, sf, "events"), "event_type", F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), metrics.rank("value", 0.5).alias("p50"), metrics.rank("value", 0.95).alias("p95"), F.max("value").alias("max"))
+
+
+@query("""SELECT event_type, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS active_days, count(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def active_days_months(spark, sf):
+    return metrics.by_source_and_overall(table(spark, sf, "events"), "event_type", *metrics.active_days("ts"))
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(min(ts)) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS earliest_at,
+  strftime(max(ts), '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(max(ts)) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS latest_at FROM events GROUP BY user_id""")
+def activity_range(spark, sf):
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return table(spark, sf, "events").groupBy("user_id").agg(iso(F.min("ts")).alias("earliest_at"), iso(F.max("ts")).alias("latest_at"))
+
+
+def usage_rows(spark, sf):
+    """Events as usage records: purchases report running totals, clicks increments, other types only a part."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.select(
+        "user_id",
+        (F.col("event_id") % 7 == 0).alias("cumulative"),
+        F.when(F.col("event_id") % 3 != 0, F.col("k")).alias("input"),
+        F.when(F.col("event_id") % 5 != 0, F.col("k") + 1).alias("output"),
+        F.when(F.col("event_id") % 2 == 0, 2 * F.col("k") + 1).alias("total"),
+    ).filter("user_id % 4 <> 0 or not cumulative")
+
+
+U = """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+r AS (SELECT user_id, event_id % 7 = 0 AS cumulative, CASE WHEN event_id % 3 <> 0 THEN k END AS input,
+  CASE WHEN event_id % 5 <> 0 THEN k + 1 END AS output, CASE WHEN event_id % 2 = 0 THEN 2 * k + 1 END AS total FROM e
+  WHERE user_id % 4 <> 0 OR event_id % 7 <> 0),
+u AS (SELECT user_id,
+  coalesce(max(input) FILTER (cumulative), sum(input) FILTER (NOT cumulative))::BIGINT AS input,
+  coalesce(max(output) FILTER (cumulative), sum(output) FILTER (NOT cumulative))::BIGINT AS output,
+  coalesce(max(total) FILTER (cumulative), sum(total) FILTER (NOT cumulative))::BIGINT AS total FROM r GROUP BY user_id)"""
+
+
+@query(U + " SELECT * FROM u")
+def usage_incremental_vs_cumulative(spark, sf):
+    return metrics.usage(usage_rows(spark, sf), "user_id")
+
+
+@query(U + """ SELECT count(*) AS session_count, count(input) AS with_input, count(output) AS with_output, count(*) FILTER (input IS NOT NULL AND output IS NOT NULL) AS with_total FROM u""")
+def token_coverage(spark, sf):
+    return metrics.usage(usage_rows(spark, sf), "user_id").agg(*metrics.coverage())
+
+
+@query(U + """ SELECT sum(input)::BIGINT AS input_tokens, sum(output)::BIGINT AS output_tokens, sum(input + output)::BIGINT AS total_tokens FROM u WHERE input IS NOT NULL AND output IS NOT NULL""")
+def token_conditional_sum(spark, sf):
+    u = metrics.usage(usage_rows(spark, sf), "user_id")
+    return u.agg(F.sum(metrics.complete("input")).alias("input_tokens"), F.sum(metrics.complete("output")).alias("output_tokens"), F.sum(F.when(metrics.complete(), F.col("input") + F.col("output"))).alias("total_tokens"))
+
+
+@query(U + " SELECT count(*) FILTER (total <> input + output) AS mismatches FROM u")
+def token_arithmetic_mismatch(spark, sf):
+    return metrics.usage(usage_rows(spark, sf), "user_id").agg(metrics.mismatches())
+
+
+@query("""SELECT event_type, count(*) AS parsed, count(*) FILTER (event_type IN ('click', 'purchase') OR value > 50) AS recognized, count(*) FILTER (NOT json_valid(props)) AS malformed FROM events GROUP BY event_type""")
+def recognized_record_counts(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("parsed"), F.count_if(F.col("event_type").isin("click", "purchase") | (F.col("value") > 50)).alias("recognized"), F.count_if(F.try_parse_json("props").isNull()).alias("malformed"))
+
+
+@query("""SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, json_extract_string(props, '$.missing') AS missing FROM events""")
+def record_json_projection(spark, sf):
+    from tallywood.operators.records import numeric, text_field
+
+    v = table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    return v.select("event_id", numeric("v", "$.k").cast("long").alias("k"), text_field("v", "$.missing").alias("missing"))
+
+
+@query("""SELECT event_id, (epoch_us(ts) // 1000) AS from_millis, ((epoch_us(ts) // 1000) // 1000) * 1000 AS from_seconds, (epoch_us(ts) // 1000) AS from_text FROM events""")
+def epoch_timestamp_normalize(spark, sf):
+    from tallywood.operators.records import epoch_millis
+
+    e = table(spark, sf, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    v = e.select("event_id", F.to_variant_object(F.struct(F.col("ms").alias("a"), F.expr("ms div 1000").alias("b"), F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("c"))).alias("v"))
+    return v.select("event_id", epoch_millis("v", "$.a").alias("from_millis"), epoch_millis("v", "$.b").alias("from_seconds"), epoch_millis("v", "$.c").alias("from_text"))
+
+
+@query(M + " SELECT source, session, min(ordinal) AS first_ordinal, arg_min(text, ordinal) AS first_text, max(ordinal) AS last_ordinal, arg_max(text, ordinal) AS last_text FROM m WHERE role = 'user' GROUP BY source, session")
+def first_last_user_message(spark, sf):
+    return sessions.edges(messages(spark, sf))
+
+
+N = M + """, n AS (SELECT *, CASE WHEN lag(role) OVER w = 'assistant' THEN lag(ordinal) OVER w END AS before,
+  CASE WHEN lead(role) OVER w = 'assistant' THEN lead(ordinal) OVER w END AS after FROM m WINDOW w AS (PARTITION BY source, session ORDER BY ordinal))"""
+
+
+@query(N + " SELECT source, session, ordinal, before, after FROM n WHERE role = 'user'")
+def message_neighbours(spark, sf):
+    return sessions.neighbours(messages(spark, sf)).select("source", "session", "ordinal", "before", "after")
+
+
+@query(M + " SELECT source, session, ordinal, (SELECT min(a.ordinal) FROM m a WHERE a.session = m.session AND a.role = 'assistant' AND a.ordinal > m.ordinal) AS reply FROM m WHERE role = 'user'")
+def assistant_after_user(spark, sf):
+    return sessions.assistant_after(messages(spark, sf)).select("source", "session", "ordinal", "reply")
+
+
+@query(N + """, b AS (SELECT *, min(ordinal) OVER (PARTITION BY session) AS lo, max(ordinal) OVER (PARTITION BY session) AS hi FROM n WHERE role = 'user'),
+ s AS (SELECT source, session, ordinal, ((before IS NOT NULL)::BIGINT + (after IS NOT NULL)::BIGINT) AS completeness, length(text)::BIGINT AS length FROM b WHERE ordinal > lo AND ordinal < hi)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY completeness DESC, length DESC, ordinal) = 1""")
+def best_middle_turn(spark, sf):
+    return sessions.best_middle(messages(spark, sf)).select("source", "session", "ordinal", "completeness", "length")
+
+
+@query(M + """, f AS (SELECT *, ordinal % 3 = 0 AS is_fallback FROM m),
+ g AS (SELECT *, bool_or(NOT is_fallback) OVER (PARTITION BY source, session, role) AS p FROM f)
+SELECT source, session, role, text, ordinal, is_fallback FROM g WHERE NOT is_fallback OR (source = 'codex' AND NOT p)""")
+def canonical_role_fallback(spark, sf):
+    return sessions.canonical(messages(spark, sf).withColumn("is_fallback", F.col("ordinal") % 3 == 0))
+
+
+@query(C + " SELECT source, session, user_count, (row_number() OVER (PARTITION BY source ORDER BY first_ordinal, session) - 1) AS session_order FROM c")
+def session_order(spark, sf):
+    return sessions.order(sessions.counts(messages(spark, sf))).select("source", "session", "user_count", "session_order")
+
+
+@query(M + """, e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS r FROM m WHERE role = 'user')
+SELECT source, session, list(substr(text, 1, 600) ORDER BY ordinal) AS evidence FROM e WHERE r <= 3 GROUP BY source, session""")
+def evidence_first_three(spark, sf):
+    from tallywood.operators.topics import first_segments
+
+    return first_segments(messages(spark, sf).filter(sessions.is_user()))
+
+
+@query(C + """ SELECT source, session, (least(user_count, 20) * 3 + least(assistant_count, 20) * 2 + least(session % 5, 20))::BIGINT AS score,
+  CASE WHEN session % 5 > 0 THEN 'agentic' ELSE 'conversation' END AS kind FROM c""")
+def activity_score(spark, sf):
+    c = sessions.counts(messages(spark, sf)).withColumn("tools", F.col("session") % 5)
+    return c.select("source", "session", sessions.activity_score(F.col("user_count"), F.col("assistant_count"), F.col("tools")).alias("score"), sessions.session_type(F.col("tools")).alias("kind"))
+
+
+@query("SELECT user_id, CASE WHEN count(ts) < 2 THEN 0 ELSE (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) END AS elapsed_ms FROM events GROUP BY user_id")
+def elapsed_per_session(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return e.groupBy("user_id").agg(F.when(F.count("ms") < 2, 0).otherwise(F.max("ms") - F.min("ms")).cast("long").alias("elapsed_ms"))
+
+
+def rated(spark, sf):
+    c = sessions.order(sessions.counts(messages(spark, sf)), "session")
+    c = c.withColumns({"tool_count": F.col("session") % 11, "elapsed": (F.col("session") * 7919) % 1009, "source_order": (F.col("source") == "claude_code").cast("long")})
+    return c.withColumn("activity", sessions.activity_score(F.col("user_count"), F.col("assistant_count"), F.col("tool_count")))
+
+
+RATED = C + """, s AS (SELECT source, session, user_count, session % 11 AS tool_count, (session * 7919) % 1009 AS elapsed, (source = 'claude_code')::BIGINT AS source_order,
+  row_number() OVER (PARTITION BY source ORDER BY session) - 1 AS session_order,
+  least(user_count, 20) * 3 + least(assistant_count, 20) * 2 + least(session % 11, 20) AS activity FROM c),
+p1 AS (SELECT session, 1 AS pick FROM s WHERE source_order = 0 ORDER BY activity DESC, session_order LIMIT 1),
+p2 AS (SELECT session, 2 AS pick FROM s WHERE source_order = 1 ORDER BY activity DESC, session_order LIMIT 1),
+q2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+p3 AS (SELECT session, 3 AS pick FROM s WHERE session NOT IN (SELECT session FROM q2) ORDER BY user_count DESC, source_order, session_order LIMIT 1),
+q3 AS (SELECT * FROM q2 UNION ALL SELECT * FROM p3),
+p4 AS (SELECT session, 4 AS pick FROM s WHERE session NOT IN (SELECT session FROM q3) ORDER BY elapsed DESC, source_order, session_order LIMIT 1),
+q4 AS (SELECT * FROM q3 UNION ALL SELECT * FROM p4),
+p5 AS (SELECT session, 5 AS pick FROM s WHERE session NOT IN (SELECT session FROM q4) ORDER BY tool_count DESC, source_order, session_order LIMIT 1),
+q5 AS (SELECT * FROM q4 UNION ALL SELECT * FROM p5),
+p6 AS (SELECT session, 5 + row_number() OVER (ORDER BY activity DESC, source_order, session_order) AS pick FROM s WHERE session NOT IN (SELECT session FROM q5) ORDER BY pick LIMIT 3)
+SELECT source, session, pick, 'candidate-' || lpad(pick::VARCHAR, 2, '0') AS evidence_ref FROM (SELECT * FROM q5 UNION ALL SELECT * FROM p6) JOIN s USING (session)"""
+
+
+@query(RATED)
+def representative_top8(spark, sf):
+    few = [r.asDict() for r in sessions.shortlist(rated(spark, sf)).limit(64).collect()]  # 8 of each measure and one a source at most
+    rows = [(r["source"], r["session"], k, f"candidate-{k:02d}") for k, r in enumerate(sessions.greedy_pick(few), 1)]
+    return spark.createDataFrame(rows, "source string, session long, pick long, evidence_ref string")
+
+
+@query()
+def excerpt_assembly(spark, sf):
+    from tallywood.operators.samples import excerpts
+
+    return excerpts(messages(spark, sf).select("source", "session", "role", "text", "ordinal"))
+
+
+FILES = """WITH r AS (SELECT event_id AS ordinal, user_id % 13 AS file, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (user_id * 31 + event_id // 100) % 37 END AS explicit FROM events),
+seen AS (SELECT explicit, arg_min(file, ordinal) AS file, min(ordinal) AS c FROM r WHERE explicit IS NOT NULL GROUP BY explicit),
+born AS (SELECT file, min(c) AS c, arg_min(explicit, c) AS id FROM seen GROUP BY file),
+bare AS (SELECT file, min(ordinal) AS n FROM r WHERE explicit IS NULL GROUP BY file)
+SELECT r.ordinal, coalesce(explicit::VARCHAR, CASE WHEN born.c < bare.n THEN born.id::VARCHAR END, 'file-' || r.file) AS session
+FROM r LEFT JOIN born ON r.file = born.file LEFT JOIN bare ON r.file = bare.file"""
+
+
+@query(FILES)
+def idless_record_assignment(spark, sf):
+    from tallywood.operators.records import assign_sessions
+
+    e = table(spark, sf, "events")
+    explicit = F.when(F.col("event_id") % 4 != 0, F.expr("(user_id * 31 + event_id div 100) % 37").cast("string"))
+    r = e.select(F.lit("codex").alias("source"), F.concat(F.lit("file-"), F.col("user_id") % 13).alias("path"), F.col("event_id").alias("ordinal"), explicit.alias("explicit"))
+    return assign_sessions(r).select("ordinal", "session")
+
+
+@query("""SELECT f.source, f.files, coalesce(a.active, 0) AS active, f.files - coalesce(a.active, 0) AS skipped FROM
+  (SELECT source, count(*) AS files FROM documents GROUP BY source) f LEFT JOIN
+  (SELECT source, count(*) AS active FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source) a USING (source)""")
+def file_activity_left_join(spark, sf):
+    from tallywood.operators.records import skipped_files
+
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("path"))
+    active = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("path"))
+    return skipped_files(d, active)
+
+
+@query("""SELECT source, text_hash AS path, min(doc_id) AS file_rank, count(*) AS copies FROM (SELECT source, doc_id, md5(text) AS text_hash FROM documents) GROUP BY source, text_hash""")
+def overlap_dedup(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("path"))
+    return d.groupBy("source", "path").agg(F.min("doc_id").alias("file_rank"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_sha256(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_content(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
+
+
+RE2 = {
+    "EMAIL": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "IPV4": r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b",
+    "RAW_UUID": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b",
+}
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(text, '{RE2['EMAIL']}'))::BIGINT AS email, len(regexp_extract_all(text, '{RE2['IPV4']}'))::BIGINT AS ipv4,
+  len(regexp_extract_all(text, '{RE2['RAW_UUID']}'))::BIGINT AS raw_uuid,
+  sha256(regexp_replace(regexp_replace(regexp_replace(text, '{RE2['EMAIL']}', '[REDACTED_EMAIL]', 'g'), '{RE2['IPV4']}', '[REDACTED_IP]', 'g'), '{RE2['RAW_UUID']}', '[REDACTED_ID]', 'g')) AS redacted FROM documents""")
+def redact_email_ipv4_uuid(spark, sf):
+    from tallywood.functions.redaction import count_rule, replace_rules
+
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", *[count_rule(F.col("text"), c).cast("long").alias(c.lower()) for c in RE2], F.sha2(replace_rules(F.col("text"), tuple(RE2)), 256).alias("redacted"))
+
+
+@query()
+def redaction_counts(spark, sf):
+    from tallywood.functions.redaction import redact
+
+    r = table(spark, sf, "documents").select(redact(F.col("text")).alias("r"))
+    return r.select(F.explode("r.redactions").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@query()
+def redact_full(spark, sf):
+    from tallywood.functions.redaction import redact
+
+    return table(spark, sf, "documents").select("doc_id", redact(F.col("text")).alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.map_entries("r.redactions").alias("redactions"))
+
+
+@query()
+def detect_positions(spark, sf):
+    from tallywood.functions.redaction import detect
+
+    return table(spark, sf, "documents").select("doc_id", F.explode(detect(F.col("text"))).alias("i")).select("doc_id", "i.code", "i.line", "i.column")
+
+
+@query(r"""SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(?:https?|ftp|file|s3|mailto):[^>]+>', ' [REMOVED_RESOURCE] ', 'g'), '(?i)\b(?:https?|ftp|file|s3)://[^\s<>()\[\]{}]+', ' [REMOVED_RESOURCE] ', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g'))::BIGINT AS stripped FROM pages""")
+def strip_resources(spark, sf):
+    from tallywood.functions.excerpts import strip_links
+
+    return table(spark, sf, "pages").select("page_id", F.length(strip_links(F.col("html"))).cast("long").alias("stripped"))
+
+
+@query()
+def excerpt_normalize(spark, sf):
+    from tallywood.functions.excerpts import normalize
+
+    return table(spark, sf, "documents").select("doc_id", normalize(F.col("text")).alias("excerpt"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '\p{Latin}', '', 'g'), '\p{L}')")
+def non_latin_filter(spark, sf):
+    from tallywood.functions.textrules import has_non_latin
+
+    return table(spark, sf, "documents").filter(has_non_latin(F.col("text"))).select("doc_id")
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 280 THEN text ELSE regexp_replace(substr(text, 1, 279), '\s+$', '') || '…' END AS cut FROM documents")
+def codepoint_truncate(spark, sf):
+    from tallywood.functions.textrules import cut_points
+
+    return table(spark, sf, "documents").select("doc_id", cut_points(F.col("text"), 280).alias("cut"))
+
+
+TOPIC_CASE = "CASE quality * 2 + toxic WHEN 2 THEN 'backend' WHEN 0 THEN 'frontend' WHEN 3 THEN 'security' ELSE 'other' END"
+TOPIC_ROWS = "(VALUES ('frontend'), ('backend'), ('devops_infra'), ('data_science_ml'), ('mobile'), ('security'), ('developer_tooling'), ('general_coding'), ('mixed'), ('other'), ('unknown')) t(topic)"
+
+
+@query(f"""WITH a AS (SELECT d.source, {TOPIC_CASE} AS topic FROM documents d JOIN labels USING (doc_id)) SELECT source, topic, count(*) AS n FROM a GROUP BY ALL""")
+def label_bind_counts(spark, sf):
+    return topic_labels(spark, sf).groupBy("source", "topic").agg(F.count("*").alias("n"))
+
+
+def topic_labels(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.expr(TOPIC_CASE).alias("topic"))
+    return table(spark, sf, "documents").select("doc_id", "source").join(labels, "doc_id")
+
+
+@query(f"""WITH a AS (SELECT {TOPIC_CASE} AS topic FROM labels JOIN documents USING (doc_id)) SELECT t.topic, count(a.topic) AS n, 100.0::DOUBLE * count(a.topic) / (SELECT count(*) FROM a) AS share
+  FROM {TOPIC_ROWS} LEFT JOIN a ON a.topic = t.topic GROUP BY t.topic""")
+def taxonomy_zero_fill(spark, sf):
+    from tallywood.operators.topics import topic_counts
+
+    return topic_counts(topic_labels(spark, sf))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_unbound(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def semi_bound(spark, sf):
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").filter("lang = 'en'"), "doc_id", "left_semi").select("doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id AS pos, 'topic-' || lpad(doc_id::VARCHAR, 6, '0') AS ref FROM labels), b AS (SELECT pos, CASE WHEN pos % 10 = 0 THEN ref || 'x' ELSE ref END AS ref FROM a WHERE pos % 17 <> 0)
+SELECT count(*) FILTER (a.ref IS NOT NULL AND b.ref IS NOT NULL AND a.ref = b.ref) AS equal, count(*) FILTER (b.pos IS NULL) AS only_left, count(*) FILTER (a.pos IS NULL) AS only_right,
+  count(*) FILTER (a.ref <> b.ref) AS different FROM a FULL JOIN b ON a.pos = b.pos""")
+def positional_binding_check(spark, sf):
+    from tallywood.operators.topics import compare_refs
+
+    a = table(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.concat(F.lit("topic-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("ref"))
+    b = a.filter("pos % 17 <> 0").withColumn("ref", F.when(F.col("pos") % 10 == 0, F.concat("ref", F.lit("x"))).otherwise(F.col("ref")))
+    return compare_refs(a, b)
+
+
+@query("""WITH g AS (SELECT event_type, count(*) AS n, sum(value > 50)::BIGINT AS high, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY event_type),
+o AS (SELECT count(*) AS n, sum(value > 50)::BIGINT AS high, min(ts) AS lo, max(ts) AS hi FROM events)
+SELECT (SELECT n FROM o) = sum(n) AS n_ok, (SELECT high FROM o) = sum(high) AS high_ok, (SELECT lo FROM o) = min(lo) AND (SELECT hi FROM o) = max(hi) AS range_ok FROM g""")
+def additive_invariants(spark, sf):
+    from tallywood.operators.validation import additive
+
+    e = table(spark, sf, "events").withColumn("high", (F.col("value") > 50).cast("int"))
+    rows = metrics.by_source_and_overall(e, "event_type", F.count("*").alias("n"), F.sum("high").alias("high"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return additive(rows, "event_type", ["n", "high"], "lo", "hi")
+
+
+@query(C + """, d AS (SELECT source, count(*) AS n, quantile_disc(user_count, 0.5) AS p50, quantile_disc(user_count, 0.95) AS p95, avg(user_count) AS mean, max(user_count) AS mx, sum(user_count) AS total FROM c GROUP BY source)
+SELECT source, p50 <= p95 AND p95 <= mx AS ordered, mean <= mx AS mean_ok, abs(round(mean, 2) * n - total) <= n * 0.005 + 1e-9 AS sum_ok FROM d""")
+def distribution_invariants(spark, sf):
+    from tallywood.operators.validation import distribution_checks
+
+    d = sessions.counts(messages(spark, sf)).groupBy("source").agg(*metrics.distribution("turn_count"), F.sum("turn_count").alias("total"))
+    return distribution_checks(d).select("source", "ordered", "mean_ok", "sum_ok")
+
+
+@query()
+def markdown_section_check(spark, sf):
+    from tallywood.operators.document import document_issues
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("---\nformat_version: 1\n---\n## Summary\n"), F.col("text")).cast("binary").alias("content"))
+    return document_issues(docs)
