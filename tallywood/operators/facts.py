@@ -12,6 +12,7 @@ from tallywood.operators import metrics, records, samples, sessions, topics
 from tallywood.operators.validation import two_places
 from tallywood.sources.logs import SourceInput, listing
 from tallywood.sources.logs import records as read_records
+from tallywood.sources.staging import staged
 
 FORMAT = "facts.v1"
 
@@ -91,34 +92,31 @@ def metric_sets(files: DataFrame, raw: DataFrame, rows: DataFrame, found: DataFr
 def facts(spark: SparkSession, inputs: list[SourceInput], now: dt.datetime | None = None, review: bool = False, nonce: str | None = None):
     """The facts document; with `review` also the review table and its binding."""
     files, others, order = listing(spark, inputs)
-    raw = read_records(spark, files).cache()
-    try:
-        rows = normalized(raw).cache()
-        messages = message_rows(rows).cache()
-        found = session_rows(rows, messages, order).cache()
-        sets = metric_sets(files, raw, rows, found, others)
-        for name in order:
-            if name not in sets or not sets[name]["sessionCount"]:
-                raise EmptySource(f"no sessions with a user turn in source {name}")
-        at = (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.") + f"{(now or dt.datetime.now()).microsecond // 1000:03d}Z"
-        kept = messages.join(found.select("source", "session"), ["source", "session"], "left_semi")
-        picked = samples.candidates(found, kept)
-        out = {"formatVersion": FORMAT, "generatedAt": at, "overall": sets[None], "bySource": {s: sets[s] for s in order}}
-        if picked:
-            out["representativeCandidates"] = picked
-        if not review:
-            return out
-        nonce = nonce or secrets.token_hex(32)
-        table = topics.create_review(found, kept.filter(sessions.is_user()), nonce)
-        rows_ = [r.asDict() for r in table.orderBy("pos").collect()]  # the artifact is a file with every session's evidence
-        if any(not r["clean"] for r in rows_):
-            raise ValueError("review evidence still holds something sensitive")
-        sha = topics.population_sha256(found.select("source", "session"), nonce)
-        artifact = {"formatVersion": "topic-review.v1", "generatedAt": at, "populationSha256": sha, "sessionCount": len(rows_), "sessions": [{"evidenceRef": r["evidence_ref"], "source": r["source"], "userEvidence": r["evidence"], "primaryTopic": None} for r in rows_]}
-        out["topicReview"] = {"formatVersion": "topic-review.v1", "populationSha256": sha, "sessionCount": len(rows_), "evidenceRefs": [r["evidence_ref"] for r in rows_]}
-        return out, artifact
-    finally:
-        raw.unpersist()
+    raw = staged(read_records(spark, files), "records")
+    rows = staged(normalized(raw), "rows")
+    messages = staged(message_rows(rows), "messages")
+    found = staged(session_rows(rows, messages, order), "sessions")
+    sets = metric_sets(files, raw, rows, found, others)
+    for name in order:
+        if name not in sets or not sets[name]["sessionCount"]:
+            raise EmptySource(f"no sessions with a user turn in source {name}")
+    at = (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.") + f"{(now or dt.datetime.now()).microsecond // 1000:03d}Z"
+    kept = messages.join(found.select("source", "session"), ["source", "session"], "left_semi")
+    picked = samples.candidates(found, kept)
+    out = {"formatVersion": FORMAT, "generatedAt": at, "overall": sets[None], "bySource": {s: sets[s] for s in order}}
+    if picked:
+        out["representativeCandidates"] = picked
+    if not review:
+        return out
+    nonce = nonce or secrets.token_hex(32)
+    table = topics.create_review(found, kept.filter(sessions.is_user()), nonce)
+    rows_ = [r.asDict() for r in table.orderBy("pos").collect()]  # the artifact is a file with every session's evidence
+    if any(not r["clean"] for r in rows_):
+        raise ValueError("review evidence still holds something sensitive")
+    sha = topics.population_sha256(found.select("source", "session"), nonce)
+    artifact = {"formatVersion": "topic-review.v1", "generatedAt": at, "populationSha256": sha, "sessionCount": len(rows_), "sessions": [{"evidenceRef": r["evidence_ref"], "source": r["source"], "userEvidence": r["evidence"], "primaryTopic": None} for r in rows_]}
+    out["topicReview"] = {"formatVersion": "topic-review.v1", "populationSha256": sha, "sessionCount": len(rows_), "evidenceRefs": [r["evidence_ref"] for r in rows_]}
+    return out, artifact
 
 
 def apply_review(spark: SparkSession, base: dict, artifact: dict) -> dict:

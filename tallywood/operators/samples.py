@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywood.functions.excerpts import no_controls, normalize, trim
 from tallywood.functions.redaction import detect_text
 from tallywood.operators import sessions as S
+from tallywood.sources.staging import staged
 
 
 def excerpts(messages: DataFrame) -> DataFrame:
@@ -58,9 +59,10 @@ def candidates(sessions: DataFrame, messages: DataFrame, most: int = 8) -> list[
     sessions has source, session, source_order, session_order, message_count, user_count,
     assistant_count, tool_count, elapsed, started_at, ended_at, models, input, output.
     """
-    told = eligible(excerpts(messages))
+    told = staged(eligible(excerpts(messages)), "excerpts")
     rated = sessions.join(told, ["source", "session"]).withColumn("activity", S.activity_score(F.col("user_count"), F.col("assistant_count"), F.col("tool_count")))
     few = [r.asDict(recursive=True) for r in S.shortlist(rated, most).collect()]  # at most 4 * most + sources rows
+    whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
     out = []
     for k, r in enumerate(S.greedy_pick(few, most), 1):
         both = r["input"] is not None and r["output"] is not None
@@ -69,5 +71,5 @@ def candidates(sessions: DataFrame, messages: DataFrame, most: int = 8) -> list[
             "sessionType": "agentic" if r["tool_count"] > 0 else "conversation", "messageCount": r["message_count"], "userTurns": r["user_count"], "toolCalls": r["tool_count"],
             "inputTokens": r["input"], "outputTokens": r["output"], "totalTokens": r["input"] + r["output"] if both else None, "excerpts": r["excerpts"],
         }
-        out.append({a: b for a, b in row.items() if b is not None})
+        out.append({a: whole(b) for a, b in row.items() if b is not None})
     return out
