@@ -72,12 +72,17 @@ def among(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataFra
     return marked.filter("_may").drop("_word", "_bits", "_may")
 
 
+def may_be(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that may be among ids, and those that surely aren't."""
+    marked = _marked(df, ids, column, bits)
+    drop = ("_word", "_bits", "_may")
+    return marked.filter("_may").drop(*drop), marked.filter("not coalesce(_may, false)").drop(*drop)
+
+
 def without(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataFrame:
     """The rows of df whose `column` isn't among ids; only rows that the bitmap can't clear are shuffled."""
-    marked = _marked(df, ids, column, bits)
-    clear = marked.filter("not coalesce(_may, false)").drop("_word", "_bits", "_may")
-    rest = marked.filter("_may").drop("_word", "_bits", "_may").join(ids, column, "left_anti")
-    return clear.unionByName(rest)
+    near, clear = may_be(df, ids, column, bits)
+    return clear.unionByName(near.join(ids, column, "left_anti"))
 
 
 def _marked(df: DataFrame, ids: DataFrame, column: str, bits: int) -> DataFrame:

@@ -7,7 +7,7 @@ steps that move little and keep no group together:
 
 1. each window of `length` words has an anchor, the least of its `gram`-word hashes (the
    last of equals); a document's windows with one anchor are consecutive, so about one
-   row for every 14 words leaves a task.  Anchors are counted with partial aggregation;
+   row for every ten words leaves a task.  Anchors are counted with partial aggregation;
 2. equal windows have equal anchors: only windows with a repeated anchor are hashed and
    counted, again with partial aggregation;
 3. the places of repeated windows return to their documents and their words are removed.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import table, written
+from tallywood.llm.common import among, may_be, table, written
 from tallywood.llm.kernels import sliced, string_buffers, window_hashes, word_hashes, word_spans
 
 PLACE = "doc_id long, t int"
@@ -141,22 +141,29 @@ def _rebuilt(text: str, keep: np.ndarray) -> str:
 
 
 def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, t, starts) of the windows that start anywhere else too, for docs (doc_id, t, text)."""
-    found = written(anchors(docs, length, gram), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    """(doc_id, t, starts) of the windows that start anywhere else too, for docs (doc_id, t, text).
+
+    Anchors are made twice rather than kept, and bitmaps clear most rows before a join.
+    """
+    again = written(anchors(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "again")
+    found = among(anchors(docs, length, gram), again, "anchor", 25)
     runs = found.join(again, "anchor").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))  # bounded by the document
-    near = windows(docs.join(runs, docs.doc_id.eqNullSafe(runs.doc_id) & (docs.t == runs.t)).select(docs.doc_id, docs.t, "text", "runs"), length)
+    runs = written(runs, "runs")
+    texts = among(docs, runs.select("doc_id"), "doc_id")
+    near = windows(texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.t == runs.t)).select(texts.doc_id, texts.t, "text", "runs"), length)
     twice = near.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return near.join(twice, "w").groupBy("doc_id", "t").agg(F.collect_set("s").alias("starts"))
+    return written(near.join(twice, "w").groupBy("doc_id", "t").agg(F.collect_set("s").alias("starts")), "starts")
 
 
-def deduplicate(docs: DataFrame, length: int = 35, gram: int = 8, keep_text: bool = True, keep_digest: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bool = True, keep_digest: bool = True) -> DataFrame:
     """docs with a column `cut` (n_words, n_removed, kept_sha256, kept_text); all its columns and rows stay."""
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     own = docs.select(id_.alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
     starts = repeated_starts(own, length, gram).select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("starts").alias("_starts"))
-    both = docs.join(starts, id_.eqNullSafe(F.col("_doc")) & (F.hash(text) == F.col("_t")), "left")
-    return both.withColumn("cut", cut_out(length, keep_text, keep_digest)(text, F.col("_starts"))).drop("_doc", "_t", "_starts")
+    near, clear = may_be(docs.withColumn("_id", id_), starts.select(F.col("_doc").alias("_id")), "_id")
+    found = near.join(starts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.hash(text) == F.col("_t")), "left").drop("_id", "_doc", "_t")
+    both = found.unionByName(clear.drop("_id").withColumn("_starts", F.lit(None).cast("array<int>")))
+    return both.withColumn("cut", cut_out(length, keep_text, keep_digest)(text, F.col("_starts"))).drop("_starts")
 
 
 class SuffixAutomaton:
