@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,17 +69,17 @@ def strip_links(text: Column) -> Column:
 
 def has_language(text: str) -> bool:
     """At least three letters or digits outside of placeholders."""
-    n = 0
-    for c in _PLACEHOLDER.sub(" ", text):
-        if unicodedata.category(c)[0] in "LN":
-            n += 1
-            if n == 3:
-                return True
-    return False
+    found = _SEEN.finditer(_PLACEHOLDER.sub(" ", text))
+    return sum(1 for _ in itertools.islice(found, 3)) == 3
+
+
+_CONTROL = regex.compile(r"\p{C}")
+_SEEN = regex.compile(r"[\p{L}\p{N}]")
 
 
 def no_controls(text: str, by: str) -> str:
-    return "".join(by if unicodedata.category(c)[0] == "C" else c for c in text)
+    return _CONTROL.sub(by, text)
+
 
 
 def normalized(text: str | None) -> str | None:

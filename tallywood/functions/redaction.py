@@ -41,6 +41,14 @@ RULES = (
     ("SESSION_ID", r"<edge>((?:session(?:_?id)?|conversation(?:_?id)?)<space>*[:=]<space>*)[A-Za-z0-9_-]{8,}", "i", "$1[REDACTED_SESSION_ID]"),
     ("RAW_UUID", r"<edge>[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}<edge>", "i", "[REDACTED_ID]"),
 )
+#: A rule can match only where one of these stands in the lower-cased text; this spares most texts most rules.
+NEEDS = {
+    "PRIVATE_KEY": ("-----begin",), "CLI_TOKEN": ("cky_",), "BEARER_TOKEN": ("bearer",), "BASIC_AUTH": ("basic",), "JWT": ("eyj",), "CLOUD_CREDENTIAL": ("akia", "asia"),
+    "API_KEY": ("sk-", "aiza", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "npm_", "sk_live_"), "COOKIE": ("cookie",),
+    "SECRET_ASSIGNMENT": ("key", "token", "secret", "password", "passwd", "cookie"), "CREDENTIAL_URI": ("://",), "EMAIL": ("@",), "IPV4": (".",),
+    "HOME_PATH": ("/users/", "/home/"), "WINDOWS_HOME_PATH": (":\\users\\",), "ABSOLUTE_LOCAL_PATH": ("/private/", "/tmp/", "/var/", "/opt/", "/workspace/", "/mnt/", "/volumes/", "/srv/", "/root/", "/etc/", "/usr/", ":\\"),
+    "SESSION_ID": ("session", "conversation"), "RAW_UUID": ("-",),
+}
 SENSITIVE_KEY = r"(?:access_?token|api_?key|auth|authorization|code|credential|key|password|secret|signature|sig|token)"
 IPV6 = r"(?<![A-Za-z0-9:])(?:[A-Fa-f0-9]{0,4}:){2,7}[A-Fa-f0-9]{0,4}(?![A-Za-z0-9:])"
 PHONE = r"(?<![A-Za-z0-9_])(?:\+?[0-9][0-9 ().-]{6,}[0-9])(?![A-Za-z0-9_])"
@@ -51,9 +59,18 @@ def _java(pattern: str, flags: str) -> str:
     return ("(?i)" if flags else "") + expand(pattern)
 
 
+def _may(text: Column, code: str) -> Column:
+    low = F.lower(text)
+    out = F.contains(low, F.lit(NEEDS[code][0]))
+    for w in NEEDS[code][1:]:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
 def count_rule(text: Column, code: str) -> Column:
     """How often a rule matches, natively."""
-    return sum((F.regexp_count(text, F.lit(_java(p, f))) for c, p, f, _ in RULES if c == code), F.lit(0))
+    hits = sum((F.regexp_count(text, F.lit(_java(p, f))) for c, p, f, _ in RULES if c == code), F.lit(0))
+    return F.when(_may(text, code), hits).otherwise(F.when(text.isNotNull(), 0))
 
 
 def replace_rules(text: Column, codes: tuple[str, ...] | None = None) -> Column:
@@ -64,6 +81,9 @@ def replace_rules(text: Column, codes: tuple[str, ...] | None = None) -> Column:
     return text
 
 
+_DIGITS = re.compile("[0-9][0-9 ().-]{6}")
+
+
 @lru_cache(maxsize=1)
 def _compiled():
     rules = [(c, re.compile(expand(p), re.A | (re.I if f else 0)), re.sub(r"\$([0-9])", r"\\\1", by)) for c, p, f, by in RULES]
@@ -107,10 +127,15 @@ def redact_text(text: str) -> tuple[str, dict[str, int]]:
     """The redacted text and how often each code applied."""
     rules, ipv6, phone, url, _ = _compiled()
     counts: dict[str, int] = {}
+    low = text.lower()
     for code, pattern, by in rules:
+        if not any(w in low for w in NEEDS[code]):
+            continue
         text, n = pattern.subn(by, text)
         if n:
             counts[code] = n  # the last rule of a code that applied
+    if ":" not in low and not _DIGITS.search(low):
+        return text, counts
     for code, pattern, fits, by in (("IPV6", ipv6, is_ipv6, "[REDACTED_IP]"), ("PHONE", phone, is_phone, "[REDACTED_PHONE]")):
         hits = 0
 
@@ -133,7 +158,8 @@ def redact_text(text: str) -> tuple[str, dict[str, int]]:
 def detect_text(text: str) -> list[tuple[int, int, str]]:
     """(line, column, code) of everything sensitive, in this order; columns count UTF-16 units from 1."""
     rules, ipv6, phone, url, key = _compiled()
-    at: list[tuple[int, str]] = [(m.start(), code) for code, pattern, _ in rules for m in pattern.finditer(text)]
+    low = text.lower()
+    at: list[tuple[int, str]] = [(m.start(), code) for code, pattern, _ in rules if any(w in low for w in NEEDS[code]) for m in pattern.finditer(text)]
     at += [(m.start(), "IPV6") for m in ipv6.finditer(text) if is_ipv6(m[0])]
     at += [(m.start(), "PHONE") for m in phone.finditer(text) if is_phone(m[0])]
     for m in url.finditer(text):

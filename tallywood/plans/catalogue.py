@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, sessions
+from tallywood.sources.staging import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -240,7 +241,7 @@ def representative_top8(spark, sf):
 def excerpt_assembly(spark, sf):
     from tallywood.operators.samples import excerpts
 
-    return excerpts(messages(spark, sf).select("source", "session", "role", "text", "ordinal"))
+    return excerpts(spread(messages(spark, sf)).select("source", "session", "role", "text", "ordinal"))
 
 
 FILES = """WITH r AS (SELECT event_id AS ordinal, user_id % 13 AS file, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (user_id * 31 + event_id // 100) % 37 END AS explicit FROM events),
@@ -301,7 +302,7 @@ RE2 = {
 def redact_email_ipv4_uuid(spark, sf):
     from tallywood.functions.redaction import count_rule, replace_rules
 
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", *[count_rule(F.col("text"), c).cast("long").alias(c.lower()) for c in RE2], F.sha2(replace_rules(F.col("text"), tuple(RE2)), 256).alias("redacted"))
 
 
@@ -309,7 +310,7 @@ def redact_email_ipv4_uuid(spark, sf):
 def redaction_counts(spark, sf):
     from tallywood.functions.redaction import redact
 
-    r = table(spark, sf, "documents").select(redact(F.col("text")).alias("r"))
+    r = spread(table(spark, sf, "documents")).select(redact(F.col("text")).alias("r"))
     return r.select(F.explode("r.redactions").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -317,28 +318,28 @@ def redaction_counts(spark, sf):
 def redact_full(spark, sf):
     from tallywood.functions.redaction import redact
 
-    return table(spark, sf, "documents").select("doc_id", redact(F.col("text")).alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.map_entries("r.redactions").alias("redactions"))
+    return spread(table(spark, sf, "documents")).select("doc_id", redact(F.col("text")).alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.map_entries("r.redactions").alias("redactions"))
 
 
 @query()
 def detect_positions(spark, sf):
     from tallywood.functions.redaction import detect
 
-    return table(spark, sf, "documents").select("doc_id", F.explode(detect(F.col("text"))).alias("i")).select("doc_id", "i.code", "i.line", "i.column")
+    return spread(table(spark, sf, "documents")).select("doc_id", F.explode(detect(F.col("text"))).alias("i")).select("doc_id", "i.code", "i.line", "i.column")
 
 
 @query(r"""SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(?:https?|ftp|file|s3|mailto):[^>]+>', ' [REMOVED_RESOURCE] ', 'g'), '(?i)\b(?:https?|ftp|file|s3)://[^\s<>()\[\]{}]+', ' [REMOVED_RESOURCE] ', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g'))::BIGINT AS stripped FROM pages""")
 def strip_resources(spark, sf):
     from tallywood.functions.excerpts import strip_links
 
-    return table(spark, sf, "pages").select("page_id", F.length(strip_links(F.col("html"))).cast("long").alias("stripped"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.length(strip_links(F.col("html"))).cast("long").alias("stripped"))
 
 
 @query()
 def excerpt_normalize(spark, sf):
     from tallywood.functions.excerpts import normalize
 
-    return table(spark, sf, "documents").select("doc_id", normalize(F.col("text")).alias("excerpt"))
+    return spread(table(spark, sf, "documents")).select("doc_id", normalize(F.col("text")).alias("excerpt"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '\p{Latin}', '', 'g'), '\p{L}')")
