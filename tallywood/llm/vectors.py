@@ -4,6 +4,7 @@
 2. centroids come from k-means on a bounded sample; each class is at home in the nearest
    centroid's shard and a member of the next `overlap` ones too.  A cluster with more
    than `shard` classes is split by hash, and its vectors are searched in every part;
+   a dense group may have many centroids: all within cosine `reach` are searched;
 3. in each shard the members' nearest neighbours are robust-pruned (a candidate goes if a
    chosen neighbour is `alpha` times nearer to it) and lists are united with their
    reverses.  Vectors are in several shards' lists; the union is searched shard by shard;
@@ -68,18 +69,19 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    s = x @ c.T
-    n = min(n, c.shape[0])
-    part = np.argpartition(-s, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
+def nearest(x: np.ndarray, c: np.ndarray, n: int, reach: float) -> list[int]:
+    """The n nearest centroids of a unit vector, then all others with at least that cosine."""
+    s = c @ x
+    order = np.argsort(-s, kind="stable")
+    return order[: max(min(n, len(c)), int((s >= reach).sum()))].tolist()
 
 
-def build(x: np.ndarray, degree: int = 14, pool: int = 48, alpha: float = 1.2) -> list[np.ndarray]:
-    """Adjacency lists of unit vectors: robust-pruned nearest neighbours, united with their reverses."""
+def build(x: np.ndarray, degree: int = 14, pool: int = 48, alpha: float = 1.2) -> np.ndarray:
+    """Adjacency matrix of unit vectors: robust-pruned nearest neighbours, united with their reverses."""
     m = len(x)
+    graph = np.zeros((m, m), dtype=bool)
     if m < 2:
-        return [np.zeros(0, np.int64)] * m
+        return graph
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     c = min(pool, m - 1)
@@ -87,45 +89,41 @@ def build(x: np.ndarray, degree: int = 14, pool: int = 48, alpha: float = 1.2) -
     dist = 1 - np.take_along_axis(sim, cand, 1)
     alive = np.ones(cand.shape, dtype=bool)
     rows = np.arange(m)
-    out: list[set] = [set() for _ in range(m)]
     for _ in range(degree):
         pick = np.where(alive, dist, np.inf).argmin(1)
         ok = alive[rows, pick]
         if not ok.any():
             break
         p = cand[rows, pick]
-        for i in np.flatnonzero(ok).tolist():
-            out[i].add(int(p[i]))
-            out[int(p[i])].add(i)
+        graph[rows[ok], p[ok]] = True
         alive &= (alpha * (1 - sim[p[:, None], cand]) > dist) & ok[:, None]
         alive[rows, pick] = False
-    return [np.asarray(sorted(s), np.int64) for s in out]
+    return graph | graph.T
 
 
-def search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, own: np.ndarray, low: float, entries: np.ndarray, steps: int = 24):
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, low: float, entries: np.ndarray, steps: int = 24):
     """(query, member) pairs visited with cosine >= low: a best-first walk, then range expansion."""
     m, q = len(x), len(queries)
-    width = max(1, max(map(len, graph)))
-    adj = np.full((m, width), -1, dtype=np.int64)
-    for i, g in enumerate(graph):
-        adj[i, : len(g)] = g
     seen = np.zeros((q, m), dtype=bool)
     score = np.full((q, m), -2.0)
-
-    def visit(rows, nodes):
-        new = (nodes >= 0) & ~seen[rows, np.maximum(nodes, 0)]
-        rows, nodes = rows[new], nodes[new]
-        key = np.unique(rows * m + nodes)
-        rows, nodes = key // m, key % m
+    edges = graph.astype(np.float32)
+
+    def visit(mask):
+        """Scores the marked pairs that weren't seen."""
+        rows, nodes = np.nonzero(mask & ~seen)
+        for lo in range(0, len(rows), 16_384):
+            r, k = rows[lo : lo + 16_384], nodes[lo : lo + 16_384]
+            score[r, k] = np.einsum("ij,ij->i", queries[r], x[k])
         seen[rows, nodes] = True
-        score[rows, nodes] = np.einsum("ij,ij->i", queries[rows], x[nodes])
         return rows, nodes
 
-    every = np.arange(q)
-    visit(np.repeat(every, len(entries)), np.tile(entries, q))
-    visit(every, own)
+    start = np.zeros((q, m), dtype=bool)
+    start[:, entries] = True
+    inside = np.flatnonzero(own >= 0)
+    start[inside, own[inside]] = True
+    visit(start)
     done = np.zeros((q, m), dtype=bool)
-    live = every
+    live = np.arange(q)
     for _ in range(steps):
         open_ = np.where(done[live], -3.0, score[live])
         best = open_.argmax(1)
@@ -135,76 +133,118 @@ def search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, own: np.
             break
         before = score[live].max(1)
         done[live, best] = True
-        visit(np.repeat(live, width), adj[best].ravel())
-        patience = (score[live].max(1) > before) | (done[live].sum(1) < 8)
-        live = live[patience]
-    rows, nodes = np.nonzero(score >= low)
-    while len(rows):
-        r, k = visit(np.repeat(rows, width), adj[nodes].ravel())
-        near = score[r, k] >= low
-        rows, nodes = r[near], k[near]
+        mask = np.zeros((q, m), dtype=bool)
+        mask[live] = graph[best]
+        visit(mask)
+        live = live[(score[live].max(1) > before) | (done[live].sum(1) < 8)]
+    front = score >= low
+    while front.any():
+        rows, nodes = visit(front.astype(np.float32) @ edges > 0)
+        near = score[rows, nodes] >= low
+        front = np.zeros((q, m), dtype=bool)
+        front[rows[near], nodes[near]] = True
     return np.nonzero(score >= low)
 
 
-def _shard_search(threshold: float, margin: float):
-    """Rows of one shard come sorted, members (role 0 at home, 1 overlap) before visitors (2)."""
-
-    def links(rows):
-        role = np.asarray([r["role"] for r in rows])
-        ids = np.asarray([r["vec_id"] for r in rows])
-        x = np.stack([np.frombuffer(r["v"]) for r in rows])
-        norm = np.linalg.norm(x, axis=1)
-        u = x / norm[:, None]
-        weight = np.asarray([r["weight"] for r in rows])
-        m = int((role < 2).sum())
-        counts = np.zeros(len(rows), np.int64)
-        parent = list(range(len(rows)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+class Shard:
+    """Graph of one shard's members; links of batches of queries, with a union-find over the members."""
 
+    def __init__(self, rows: list[dict], threshold: float, margin: float):
+        self.threshold, self.low = threshold, threshold - margin
+        self.ids, self.x, self.norm, self.unit = self._arrays(rows)
+        self.home = np.asarray([r["role"] == 0 for r in rows], dtype=bool)
+        self.weight = np.asarray([r["weight"] for r in rows], dtype=np.int64)
+        self.parent = list(range(len(rows)))
+        m = len(rows)
         if m:
-            members = u[:m]
-            graph = build(members)
-            medoid = int((members @ members.sum(0)).argmax())
-            entries = np.unique(np.append(np.linspace(0, m - 1, min(m, 24)).astype(np.int64), medoid))
-            for lo in range(0, len(rows), 256):
-                hi = min(lo + 256, len(rows))
-                own = np.where(np.arange(lo, hi) < m, np.arange(lo, hi), -1)
-                a, b = search(members, graph, u[lo:hi], own, threshold - margin, entries)
-                a = a + lo
-                exact = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
-                keep = exact & (role[b] == 0) & (ids[a] != ids[b])
-                a, b = a[keep], b[keep]
-                np.add.at(counts, a, weight[b])
-                for i, j in zip(a.tolist(), b.tolist()):
-                    i, j = root(i), root(j)
-                    if i != j:
-                        parent[i] = j
-        return [{"a": int(ids[i]), "b": int(ids[root(i)]), "n": int(counts[i])} for i in range(len(rows)) if counts[i] or root(i) != i]
+            self.graph = build(self.unit)
+            medoid = int((self.unit @ self.unit.sum(0)).argmax())
+            self.entries = np.unique(np.append(np.linspace(0, m - 1, min(m, 24)).astype(np.int64), medoid))
 
+    @staticmethod
+    def _arrays(rows):
+        x = np.stack([np.frombuffer(r["v"]) for r in rows]) if rows else np.zeros((0, 1))
+        norm = np.linalg.norm(x, axis=1)
+        return np.asarray([r["vec_id"] for r in rows], dtype=np.int64), x, norm, x / np.maximum(norm, 1e-300)[:, None]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def links(self, rows: list[dict], first: int | None) -> list[dict]:
+        """Link counts of a batch of queries and, for each, one member it links with; `first` is their place among the members."""
+        if not len(self.ids):
+            return []
+        ids, x, norm, u = self._arrays(rows)
+        own = np.arange(first, first + len(rows)) if first is not None else np.full(len(rows), -1)
+        a, b = search(self.unit, self.graph, u, own, self.low, self.entries)
+        exact = np.empty(len(a), dtype=bool)
+        for lo in range(0, len(a), 16_384):
+            k = slice(lo, lo + 16_384)
+            exact[k] = np.einsum("ij,ij->i", x[a[k]], self.x[b[k]]) / (norm[a[k]] * self.norm[b[k]]) >= self.threshold
+        keep = exact & self.home[b] & (ids[a] != self.ids[b])
+        a, b = a[keep], b[keep]
+        counts = np.bincount(a, self.weight[b], len(rows)).astype(np.int64)
+        out, at = [], {}
+        for i, j in zip(a.tolist(), b.tolist()):
+            if i in at:
+                self.parent[self.root(j)] = self.root(at[i])
+            else:
+                at[i] = j
+        for i, j in at.items():
+            out.append({"a": int(ids[i]), "b": int(self.ids[j]), "n": int(counts[i])})
+        return out
+
+    def forest(self) -> list[dict]:
+        return [{"a": int(self.ids[i]), "b": int(self.ids[self.root(i)]), "n": 0} for i in range(len(self.ids)) if self.root(i) != i]
+
+
+def _shard_search(threshold: float, margin: float, batch_rows: int = 256):
+    """Rows of one shard come sorted, members (role 0 at home, 1 overlap) before visitors (2), who pass in batches."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        held, key = [], None
+        shard, held, key = None, [], None
+
+        def settle(last: bool) -> list[dict]:
+            """Makes the shard of the held members, or searches the held visitors."""
+            nonlocal shard, held
+            out = []
+            if shard is None:
+                shard = Shard(held, threshold, margin)
+                for lo in range(0, len(held), batch_rows):
+                    out += shard.links(held[lo : lo + batch_rows], lo)
+            elif held:
+                out += shard.links(held, None)
+            held = []
+            return out + (shard.forest() if last else [])
+
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
                 k = (r["dim"], r["home"], r["part"])
                 if k != key:
-                    if held:
-                        yield pa.RecordBatch.from_pylist(links(held), schema)
-                    held, key = [], k
+                    if key is not None:
+                        out += settle(False) if shard is None and held else []
+                        out += settle(True) if shard is not None else []
+                    shard, held, key = None, [], k
+                if r["role"] == 2 and shard is None:
+                    out += settle(False)
                 held.append(r)
-        if held:
-            yield pa.RecordBatch.from_pylist(links(held), schema)
+                if shard is not None and len(held) >= batch_rows:
+                    out += settle(False)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if key is not None:
+            out = settle(False) if shard is None else []
+            yield pa.RecordBatch.from_pylist(out + settle(True), schema)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1, shard: int = 384, sample: int = 6000, most_centroids: int = 512, overlap: int = 2) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1, shard: int = 384, sample: int = 6000, most_centroids: int = 512, overlap: int = 2, reach: float = 0.65) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     good = written(usable(vectors), "vectors")
@@ -223,14 +263,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1
             rows = batch.to_pylist()
             for r in rows:
                 c = held.value.get(r["dim"])
-                r["near"] = [0] if c is None else nearest(unit(np.frombuffer(r["v"])[None]), c, 1 + overlap)[0].tolist()
+                r["near"] = [0] if c is None else nearest(unit(np.frombuffer(r["v"])[None])[0], c, 1 + overlap, reach)
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("dim", pa.int32()), ("v", pa.binary()), ("vec_id", pa.int64()), ("weight", pa.int64()), ("near", pa.list_(pa.int32()))]))
 
     placed = written(classes.mapInArrow(homes, "dim int, v binary, vec_id long, weight long, near array<int>"), "placed")
     sizes = placed.groupBy("dim", F.expr("near[0]").alias("home")).agg(F.expr(f"cast((count(*) + {shard - 1}) div {shard} as int)").alias("parts"))
     spread = placed.select("dim", "v", "vec_id", "weight", F.posexplode("near").alias("rank", "home")).join(F.broadcast(sizes.limit(8 * most_centroids + 1024)), ["dim", "home"])
     spread = spread.select("dim", "v", "vec_id", "weight", "rank", "home", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("own"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    role = F.when(F.col("part") != F.col("own"), 2).when(F.col("rank") == 0, 0).otherwise(1)
+    role = F.when((F.col("part") != F.col("own")) | (F.col("rank") > overlap), 2).when(F.col("rank") == 0, 0).otherwise(1)
     dealt = spread.select("dim", "home", "part", role.alias("role"), "vec_id", "weight", "v").repartition(shuffle_partitions(spark), "dim", "home", "part").sortWithinPartitions("dim", "home", "part", "role", "vec_id")
     found = written(dealt.mapInArrow(_shard_search(threshold, margin), "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
@@ -250,23 +290,24 @@ def audit(vectors: DataFrame, result: DataFrame, threshold: float = 0.9, every:
     chosen = good.filter(F.col("vec_id") % every == 0).orderBy("vec_id").limit(2000).collect()  # a stated set of queries
     if not chosen:
         return 1.0
-    ids = np.asarray([r.vec_id for r in chosen])
-    q = unit(np.stack([np.frombuffer(r.v) for r in chosen]))
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    ids = [r.vec_id for r in chosen]
+    by = {d: (np.asarray([r.vec_id for r in chosen if r.dim == d]), unit(np.stack([np.frombuffer(r.v) for r in chosen if r.dim == d]))) for d in {r.dim for r in chosen}}
+    held = vectors.sparkSession.sparkContext.broadcast(by)
 
     def run(batches):
-        own, x = held.value
         for batch in batches:
             rows = batch.to_pylist()
-            if rows:
-                y = unit(np.stack([np.frombuffer(r["v"]) for r in rows]))
-                i, j = np.nonzero(x @ y.T >= threshold)
-                other = np.asarray([r["vec_id"] for r in rows])
-                n = np.bincount(i[own[i] != other[j]], minlength=len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["vec_id", "n"])
+            for d, (own, x) in held.value.items():
+                same = [r for r in rows if r["dim"] == d]
+                if same:
+                    y = unit(np.stack([np.frombuffer(r["v"]) for r in same]))
+                    i, j = np.nonzero(x @ y.T >= threshold)
+                    other = np.asarray([r["vec_id"] for r in same])
+                    n = np.bincount(i[own[i] != other[j]], minlength=len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["vec_id", "n"])
 
     true = {r.vec_id: r.n for r in good.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
-    got = {r.vec_id: r.n_links for r in result.filter(F.col("vec_id").isin([int(i) for i in ids])).select("vec_id", "n_links").collect()}
+    got = {r.vec_id: r.n_links for r in result.filter(F.col("vec_id").isin(ids)).select("vec_id", "n_links").collect()}
     return sum(min(got.get(k, 0), n) for k, n in true.items()) / max(1, sum(true.values()))
 
 
