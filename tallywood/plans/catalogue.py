@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, sessions
-from tallywood.sources.staging import spread
+from tallywood.sources.staging import spread, staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -232,7 +232,7 @@ SELECT source, session, pick, 'candidate-' || lpad(pick::VARCHAR, 2, '0') AS evi
 
 @query(RATED)
 def representative_top8(spark, sf):
-    few = [r.asDict() for r in sessions.shortlist(rated(spark, sf)).limit(64).collect()]  # 8 of each measure and one a source at most
+    few = [r.asDict() for r in sessions.shortlist(staged(rated(spark, sf), "rated")).limit(64).collect()]  # 8 of each measure and one a source at most
     rows = [(r["source"], r["session"], k, f"candidate-{k:02d}") for k, r in enumerate(sessions.greedy_pick(few), 1)]
     return spark.createDataFrame(rows, "source string, session long, pick long, evidence_ref string")
 
