@@ -113,7 +113,7 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(_WIN_INV, n)[: n - k + 1], seed)
 
 
-def sliced(batches, rows: int = 512, size: int = 4 << 20):
+def sliced(batches, rows: int = 512, size: int = 1 << 20):
     """Record batches cut so that none has more text than `size` bytes, unless one row has."""
     for batch in batches:
         at = 0
