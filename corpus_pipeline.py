@@ -15,9 +15,9 @@ from tallywood.llm.common import table, without, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.3 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, "_score").filter("_score < 0.5").drop("_score")
+    return toxicity.with_scores(docs, model, "_score").filter("_score < 0.3").drop("_score")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def pooled(word_scores: np.ndarray, text_of: np.ndarray, texts: int, window: int
     return out / window + bias
 
 
-def train(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 8, window: int = 8, epochs: int = 6, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 8, window: int = 4, epochs: int = 4, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
     """Scalar per bucket (embedding times the softmax layer's difference) and bias."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
@@ -139,26 +139,26 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 8, wi
     return (emb @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[list[str], np.ndarray]:
-    """At most per_class training texts of up to `longest` characters for each label, the first by hash of id."""
+def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int], longest: int) -> tuple[list[str], np.ndarray]:
+    """At most most[k] training texts of up to `longest` characters with label k, the first by hash of id."""
     from functools import reduce
 
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     short = docs.filter(F.length("text").between(1, longest)).select("doc_id")
     known = known.join(short, "doc_id", "left_semi")
-    picked = reduce(DataFrame.unionAll, [known.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(per_class) for k in (0, 1)])
-    ids = [(r.doc_id, r.toxic) for r in picked.collect()]  # 2 * per_class at most
+    picked = reduce(DataFrame.unionAll, [known.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(most[k]) for k in (0, 1)])
+    ids = [(r.doc_id, r.toxic) for r in picked.collect()]  # sum(most) at most
     if not ids:
         return [], np.zeros(0, np.int64)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id", "toxic"]).orderBy("doc_id").limit(2 * per_class).collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id", "toxic"]).orderBy("doc_id").limit(sum(most)).collect()
     return [r.text or "" for r in rows], np.asarray([r.toxic for r in rows], dtype=np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000, **options) -> dict:
-    """A model from at most 2 * per_class texts.  Classes are balanced in the sample; the bias is put back to the labels' share."""
-    texts, y = sample(docs, labels, per_class, longest)
-    window = options.get("window", 8)
+def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 1500), longest: int = 20_000, **options) -> dict:
+    """A model from at most most[0] texts that aren't toxic and most[1] that are, of up to `longest` characters each."""
+    texts, y = sample(docs, labels, most, longest)
+    window = options.get("window", 4)
     bits = options.get("bits", 16)
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
@@ -168,9 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
 
 
 def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
-    bucket, word, weight, text_of = bags(texts, model["bits"])
-    per_word = np.bincount(word, model["table"][bucket], len(text_of)) * weight
-    z = pooled(per_word, text_of, len(texts), model["window"], model["bias"])
+    grams, text_of, words = subwords(*string_buffers(texts), model["bits"])
+    total, count = np.zeros(words), np.zeros(words)
+    for bucket, word in grams:
+        total += np.bincount(word, model["table"][bucket], words)
+        count += np.bincount(word, minlength=words)
+    z = pooled(total / np.maximum(1, count), text_of, len(texts), model["window"], model["bias"])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -186,7 +189,7 @@ def with_scores(docs: DataFrame, model: dict, column: str = "toxicity") -> DataF
         sizes = text.str.len().fillna(0).to_numpy()
         for i, k in enumerate(sizes):
             size += int(k)
-            if size > 1_500_000 or i == len(sizes) - 1:
+            if size > 400_000 or i == len(sizes) - 1:
                 out.append(score_texts(held.slice(lo, i + 1 - lo), handle.value))
                 lo, size = i + 1, 0
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
