@@ -95,3 +95,15 @@ def test_pipeline(spark, tmp_path):
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_bitmap_filters(spark):
+    from tallywood.llm.common import among, without
+
+    df = spark.createDataFrame([(i, "x") for i in range(500)] + [(None, "n")], "id long, v string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)], "id long")
+    near = {r.id for r in among(df, ids, "id", 12).collect()}
+    assert set(range(0, 500, 7)) <= near and len(near) < 200
+    left = [r.id for r in without(df, ids, "id", 8).collect()]
+    assert sorted(x for x in left if x is not None) == [i for i in range(500) if i % 7] and None in left
+    assert without(df, ids.limit(0), "id").count() == 501
