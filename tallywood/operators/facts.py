@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, records, samples, sessions, topics
-from tallywood.operators.validation import two_places
+from tallywood.operators.validation import artifact_problems, two_places
 from tallywood.sources.logs import SourceInput, listing
 from tallywood.sources.logs import records as read_records
 from tallywood.sources.staging import staged
@@ -124,6 +124,8 @@ def apply_review(spark: SparkSession, base: dict, artifact: dict) -> dict:
     bound = base.get("topicReview")
     if not bound or "topicClassification" in base:
         raise ValueError("the facts have no open review")
+    if broken := artifact_problems(artifact):
+        raise ValueError(broken[0])
     for k, v in (("generatedAt", base["generatedAt"]), ("populationSha256", bound["populationSha256"]), ("sessionCount", bound["sessionCount"])):
         if artifact.get(k) != v:
             raise ValueError(f"review and facts differ in {k}")

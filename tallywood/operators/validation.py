@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame
@@ -96,12 +97,74 @@ def metric_problems(m: dict, path: str) -> list[str]:
     return out
 
 
+ROOT_KEYS = {"formatVersion", "generatedAt", "overall", "bySource", "representativeCandidates", "topicReview", "topicClassification"}
+REVIEW_KEYS = {"formatVersion", "generatedAt", "populationSha256", "sessionCount", "sessions"}
+REVIEW_ROW_KEYS = {"evidenceRef", "source", "userEvidence", "technicalSignals", "primaryTopic"}
+BINDING_KEYS = {"formatVersion", "populationSha256", "sessionCount", "evidenceRefs"}
+
+
+def _sha(x) -> bool:
+    return isinstance(x, str) and re.fullmatch("[0-9a-f]{64}", x) is not None
+
+
+def _iso(x) -> bool:
+    return isinstance(x, str) and re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{3})?Z", x) is not None
+
+
+def binding_problems(b: dict, sessions: int) -> list[str]:
+    """Broken rules of a review's binding in a facts document."""
+    if not isinstance(b, dict) or set(b) != BINDING_KEYS:
+        return ["topicReview: unknown or missing keys"]
+    refs = b["evidenceRefs"]
+    out = [] if _sha(b["populationSha256"]) else ["topicReview: no hash"]
+    if b["sessionCount"] != sessions or len(refs) != sessions:
+        out.append("topicReview: another session count")
+    if len(set(refs)) < len(refs):
+        out.append("topicReview: doubled references")
+    return out
+
+
+def artifact_problems(a: dict) -> list[str]:
+    """Broken rules of a review artifact's form; its evidence is checked by topics.review_problems."""
+    if not isinstance(a, dict) or set(a) != REVIEW_KEYS:
+        return ["review: unknown or missing keys"]
+    rows = a["sessions"]
+    out = [] if _sha(a["populationSha256"]) and _iso(a["generatedAt"]) else ["review: no hash or time"]
+    if not rows or len(rows) != a["sessionCount"]:
+        out.append("review: another session count")
+    if any(not isinstance(r, dict) or not set(r) <= REVIEW_ROW_KEYS or not {"evidenceRef", "source", "userEvidence", "primaryTopic"} <= set(r) for r in rows):
+        return [*out, "review: a session with unknown or missing keys"]
+    if len({r["evidenceRef"] for r in rows}) < len(rows):
+        out.append("review: doubled references")
+    return out
+
+
+def classification_problems(c: dict, b: dict, by_source: dict) -> list[str]:
+    """Broken rules of a topic classification: order, hash, denominator and counts that follow from its assignments."""
+    from tallywood.operators.topics import TOPICS
+
+    given = c["assignments"]
+    counts = {t: sum(a["primaryTopic"] == t for a in given) for t in TOPICS}
+    out = []
+    if [a["evidenceRef"] for a in given] != b["evidenceRefs"] or c["populationSha256"] != b["populationSha256"]:
+        out.append("topicClassification: other sessions than the review's")
+    if c["denominator"] != len(given) or c["reviewedSessionCount"] != len(given) or c["counts"] != counts:
+        out.append("topicClassification: counts don't follow from the assignments")
+    if {s: sum(a["source"] == s for a in given) for s in by_source} != {s: m["sessionCount"] for s, m in by_source.items()}:
+        out.append("topicClassification: another number of sessions in a source")
+    return out
+
+
 def facts_problems(facts: dict) -> list[str]:
     """Broken rules of a facts document: its sets, that the whole is the sum of the sources, and its candidates."""
     from tallywood.functions.excerpts import normalized
 
     parts = facts.get("bySource") or {}
     out = [] if parts else ["no sources"]
+    if not set(facts) <= ROOT_KEYS:
+        out.append("unknown keys")
+    if not _iso(facts.get("generatedAt")):
+        out.append("no time")
     for name, m in {"overall": facts.get("overall") or {}, **parts}.items():
         out += metric_problems(m, name)
     if out:
@@ -121,6 +184,10 @@ def facts_problems(facts: dict) -> list[str]:
         have = [m[k] for m in parts.values() if m.get(k)]
         if whole.get(k) != (best(have) if have else None):
             out.append(f"overall.{k} isn't that of the sources")
+    if (bound := facts.get("topicReview")) is not None:
+        out += binding_problems(bound, whole["sessionCount"])
+    if (done := facts.get("topicClassification")) is not None:
+        out += ["topicClassification without a review"] if bound is None else classification_problems(done, bound, parts)
     for n, c in enumerate(facts.get("representativeCandidates") or (), 1):
         at = f"candidate {n}"
         if c.get("evidenceRef") != f"candidate-{n:02d}":

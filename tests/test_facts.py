@@ -88,6 +88,12 @@ def test_review(spark, both):
     for s in artifact["sessions"]:
         s["primaryTopic"] = "backend"
     done = facts.apply_review(spark, f, artifact)
+    assert facts_problems(done) == [] and facts_problems({**done, "extra": 1}) == ["unknown keys"]
+    wrong = json.loads(json.dumps(done))
+    wrong["topicClassification"]["counts"]["mobile"] = 1
+    assert facts_problems(wrong) == ["topicClassification: counts don't follow from the assignments"]
+    with pytest.raises(ValueError, match="keys"):
+        facts.apply_review(spark, f, {**artifact, "extra": 1})
     assert done["topicClassification"]["counts"]["backend"] == 2 and "| backend | 2 | 100.00% |" in report.render(done)
     with pytest.raises(ValueError):
         report.render(f)
