@@ -82,7 +82,12 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc_id, t, text, runs array<struct<s, n>>): doc_id, t, w, s of each window in the runs."""
+    """docs (doc_id, t, text, runs array<struct<s, n>>): doc_id, t, w, s, more for each distinct window of each row's runs.
+
+    s is the window's first start; `more` has its other starts in the same row, if any, so
+    that a line said a thousand times in one text is one row.
+    """
+    kind = pa.list_(pa.int32())
 
     def run(batches):
         for batch in sliced(batches):
@@ -93,12 +98,24 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
             flat = runs.flatten()
             s, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             row = np.repeat(text, n)
+            if not len(row):
+                continue
             local = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for lo in range(0, len(row), 200_000):
-                k = slice(lo, lo + 200_000)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), batch.column(1).take(pa.array(row[k])), pa.array(w[first[row[k]] + local[k]].view(np.int64)), pa.array(local[k].astype(np.int32))], names=["doc_id", "t", "w", "s"])
-
-    return docs.mapInArrow(run, PLACE + ", w long, s int")
+            key = w[first[row] + local]
+            order = np.lexsort((local, key, row))
+            row, local, key = row[order], local[order].astype(np.int32), key[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])]))
+            size = np.diff(np.append(new, len(row))) - 1
+            others = np.ones(len(row), dtype=bool)
+            others[new] = False
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(ends), pa.array(local[others]), type=kind, mask=pa.array(size == 0))
+            at = row[new]
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key[new].view(np.int64)), pa.array(local[new]), more], names=["doc_id", "t", "w", "s", "more"])
+            for lo in range(0, out.num_rows, 200_000):
+                yield out.slice(lo, 200_000)
+
+    return docs.mapInArrow(run, PLACE + ", w long, s int, more array<int>")
 
 
 CUT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -151,8 +168,9 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     runs = written(runs, "runs")
     texts = among(docs, runs.select("doc_id"), "doc_id")
     near = windows(texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.t == runs.t)).select(texts.doc_id, texts.t, "text", "runs"), length)
-    twice = near.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return written(near.join(twice, "w").groupBy("doc_id", "t").agg(F.collect_set("s").alias("starts")), "starts")
+    twice = near.groupBy("w").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("c")).filter("c > 1").select("w")
+    hits = near.join(twice, "w").groupBy("doc_id", "t").agg(F.concat(F.collect_set("s"), F.flatten(F.collect_list("more"))).alias("starts"))
+    return written(hits, "starts")
 
 
 def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bool = True, keep_digest: bool = True) -> DataFrame:
