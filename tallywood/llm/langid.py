@@ -13,6 +13,8 @@ labelled text every row is `und`.
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +99,8 @@ _READY: dict = {}
 
 
 def _ready(content, level: int, block: int) -> Classifier:
-    """One classifier for each worker process and model."""
-    key = (content.id if hasattr(content, "id") else id(content), level, block)
+    """One classifier for each worker process and model; the model is known by its bytes, for workers outlive a run."""
+    key = (tuple(sorted((k, zlib.crc32(v)) for k, v in content.value.items())), level, block)
     if key not in _READY:
         _READY.clear()
         _READY[key] = Classifier(content.value, level, block)
