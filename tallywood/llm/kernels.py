@@ -7,6 +7,8 @@ decoding.  A word's hash is a polynomial over its bytes modulo 2**64, passed thr
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,6 +115,14 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(_WIN_INV, n)[: n - k + 1], seed)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def sliced(batches, rows: int = 512, size: int = 1 << 20):
     """Record batches cut so that none has more text than `size` bytes, unless one row has."""
     for batch in batches:
@@ -123,3 +133,4 @@ def sliced(batches, rows: int = 512, size: int = 1 << 20):
                 take //= 2
             yield batch.slice(at, take)
             at += take
+        release()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywood.llm.common import held_out, table
-from tallywood.llm.kernels import LOWER, U, mix, powers, sliced, string_buffers
+from tallywood.llm.kernels import LOWER, U, mix, powers, release, string_buffers
 
 SOLID = np.zeros(256, dtype=bool)
 SOLID[128:] = True
@@ -192,6 +192,7 @@ def with_scores(docs: DataFrame, model: dict, column: str = "toxicity") -> DataF
             if size > 400_000 or i == len(sizes) - 1:
                 out.append(score_texts(held.slice(lo, i + 1 - lo), handle.value))
                 lo, size = i + 1, 0
+        release()
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(column, score(F.col("text").cast("string")))
