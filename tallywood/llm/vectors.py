@@ -13,7 +13,11 @@
    all within `threshold - margin` are visited until none is new;
 5. a pair counts if its cosine in double precision is at least the threshold (verified on
    the stored components), once, in the shard where the found vector is at home.  A
-   spanning forest of the pairs leaves the task; components are brought to every vector.
+   spanning forest of the pairs leaves the task; components are brought to every vector;
+6. the other clusters that may be home of a vector within the threshold (`may_hold`, a
+   bound, not an estimate) are visited too, and all their vectors are scored.  For that
+   clusters are packed in buckets; a vector goes once to each bucket it has to visit.
+   Spread-out vectors exclude few clusters, so their visits grow with the table's square.
 
 `audit` measures recall against brute force for a set of queries, in blocks.
 
@@ -25,6 +29,8 @@ tables give no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +82,34 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int, reach: float) -> list[int]:
     return order[: max(min(n, len(c)), int((s >= reach).sum()))].tolist()
 
 
+def may_hold(s: np.ndarray, c: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Which clusters may be home of a vector within the threshold; s are unit vectors' cosines to the centroids c, own their homes.
+
+    A vector y at home in j is no nearer to centroid `own` than to j, so y has an angle of
+    90 degrees at most to c[j] - c[own]; x, within the threshold's angle a of y, has 90 + a
+    at most: s[own] - s[j] <= sin(a) * |c[j] - c[own]|.
+    """
+    if threshold <= 0:
+        return np.ones(s.shape, dtype=bool)
+    gap = np.sqrt(np.maximum(0, (c**2).sum(1)[own][:, None] + (c**2).sum(1) - 2 * (c @ c.T)[own]))
+    return s[np.arange(len(s)), own][:, None] - s <= np.sqrt(max(0.0, 1 - threshold**2)) * gap + 1e-7
+
+
+def packed(counts: list[int], most: int) -> list[tuple[int, int]]:
+    """(first bucket, buckets) of each cluster: small ones share a bucket of `most` vectors, larger ones are split over several."""
+    out, at, room = [], -1, 0
+    for n in counts:
+        if n > most:
+            out.append((at + 1, -(-n // most)))
+            at, room = at + out[-1][1], 0
+        else:
+            if n > room:
+                at, room = at + 1, most
+            room -= n
+            out.append((max(at, 0), 1))
+    return out
+
+
 def build(x: np.ndarray, degree: int = 14, pool: int = 48, alpha: float = 1.2) -> np.ndarray:
     """Adjacency matrix of unit vectors: robust-pruned nearest neighbours, united with their reverses."""
     m = len(x)
@@ -185,8 +219,11 @@ class Shard:
             k = slice(lo, lo + 16_384)
             exact[k] = np.einsum("ij,ij->i", x[a[k]], self.x[b[k]]) / (norm[a[k]] * self.norm[b[k]]) >= self.threshold
         keep = exact & self.home[b] & (ids[a] != self.ids[b])
-        a, b = a[keep], b[keep]
-        counts = np.bincount(a, self.weight[b], len(rows)).astype(np.int64)
+        return self.counted(ids, a[keep], b[keep])
+
+    def counted(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[dict]:
+        """Links of queries a with members b."""
+        counts = np.bincount(a, self.weight[b], len(ids)).astype(np.int64)
         out, at = [], {}
         for i, j in zip(a.tolist(), b.tolist()):
             if i in at:
@@ -244,13 +281,124 @@ def _shard_search(threshold: float, margin: float, batch_rows: int = 256):
     return run
 
 
+class Bucket(Shard):
+    """Vectors at home in one or more clusters; visitors are scored against all of the clusters they have to visit."""
+
+    def __init__(self, rows: list[dict], centroids: np.ndarray, threshold: float):
+        rows = sorted(rows, key=lambda r: r["near"][0])
+        self.threshold, self.centroids = threshold, centroids
+        self.ids, self.x, self.norm, self.unit = self._arrays(rows)
+        self.weight = np.asarray([r["weight"] for r in rows], dtype=np.int64)
+        self.parent = list(range(len(rows)))
+        self.clusters, first = np.unique([r["near"][0] for r in rows], return_index=True)
+        self.bounds = np.append(first, len(rows))
+
+    def visits(self, rows: list[dict]) -> list[dict]:
+        """Link counts of a batch of visitors with the members whose cluster isn't in their `near`; those are searched elsewhere."""
+        ids, x, norm, u = self._arrays(rows)
+        own = np.asarray([r["near"][0] for r in rows])
+        need = may_hold(u @ self.centroids.T, self.centroids, own, self.threshold)
+        need[np.repeat(np.arange(len(rows)), [len(r["near"]) for r in rows]), np.concatenate([r["near"] for r in rows])] = False
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, lo, hi in zip(self.clusters, self.bounds[:-1], self.bounds[1:]):
+            here = np.flatnonzero(need[:, k])
+            for at in range(lo, hi if len(here) else lo, 4096):
+                i, j = np.nonzero(u[here] @ self.unit[at : min(hi, at + 4096)].T >= self.threshold - 1e-9)
+                i, j = here[i], j + at
+                exact = np.einsum("ij,ij->i", x[i], self.x[j]) / (norm[i] * self.norm[j]) >= self.threshold
+                keep = exact & (ids[i] != self.ids[j])
+                a.append(i[keep])
+                b.append(j[keep])
+        return self.counted(ids, np.concatenate(a), np.concatenate(b))
+
+
+def _bucket_search(threshold: float, held, batch_rows: int = 512):
+    """Rows of one bucket and slice come sorted, members (role 0) before visitors (1), who pass in batches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        bucket, rows, key = None, [], None
+
+        def settle(last: bool) -> list[dict]:
+            """Makes the bucket of the rows, or lets them visit it."""
+            nonlocal bucket, rows
+            out = []
+            if bucket is None:
+                bucket = Bucket(rows, held.value[key[0]], threshold)
+            elif rows:
+                out = bucket.visits(rows)
+            rows = []
+            return out + (bucket.forest() if last else [])
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                k = (r["dim"], r["bucket"], r["slice"])
+                if k != key:
+                    out += settle(True) if key is not None else []
+                    bucket, key = None, k
+                if bucket is None and r["role"] == 1:
+                    settle(False)
+                rows.append(r)
+                if bucket is not None and len(rows) >= batch_rows:
+                    out += settle(False)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist(settle(True), schema)
+
+    return run
+
+
+def far_links(placed: DataFrame, counts: dict[int, int], held, threshold: float, shard: int, values: int = 1 << 20) -> DataFrame:
+    """Links with vectors at home in a cluster that isn't in `near` but may hold one within the threshold.
+
+    A bucket has at most `values` vector components (a quarter of a small table), and its
+    visitors come in slices of about as many, each with its own copy of the bucket.
+    """
+    spark = placed.sparkSession
+    most = {d: min(max(1, values // d), max(shard, -(-n // 4))) for d, n in counts.items()}
+    at_home = {(r.dim, r.home): r["count"] for r in placed.filter(F.col("dim").isin(list(counts))).groupBy("dim", F.expr("near[0]").alias("home")).count().collect()}  # a row for each centroid at most
+    plan = spark.sparkContext.broadcast({d: packed([at_home.get((d, h), 0) for h in range(len(c))], most[d]) for d, c in held.value.items()})
+
+    def routes(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                r["own"], r["to"] = -1, []
+            for d, slots in plan.value.items():
+                same = [r for r in rows if r["dim"] == d]
+                c = held.value[d]
+                for lo in range(0, len(same), 512):
+                    part = same[lo : lo + 512]
+                    near = [r["near"] for r in part]
+                    own = np.asarray([k[0] for k in near])
+                    need = may_hold(unit(np.stack([np.frombuffer(r["v"]) for r in part])) @ c.T, c, own, threshold)
+                    for r, k, line in zip(part, near, need):
+                        line[k] = False
+                        first, n = slots[k[0]]
+                        r["own"] = first + zlib.crc32(r["v"]) % n
+                        r["to"] = sorted({b for h in np.flatnonzero(line) if at_home.get((d, h)) for b in range(slots[h][0], sum(slots[h]))})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("dim", pa.int32()), ("v", pa.binary()), ("vec_id", pa.int64()), ("weight", pa.int64()), ("near", pa.list_(pa.int32())), ("own", pa.int32()), ("to", pa.list_(pa.int32()))]))
+
+    routed = written(placed.mapInArrow(routes, "dim int, v binary, vec_id long, weight long, near array<int>, own int, to array<int>"), "routed")
+    sliced = F.create_map(*[x for d, n in most.items() for x in (F.lit(d), F.lit(n))])
+    slices = routed.select("dim", F.explode("to").alias("bucket")).groupBy("dim", "bucket").count().withColumn("slices", F.expr("count") / sliced[F.col("dim")])
+    slices = slices.select("dim", "bucket", F.ceil("slices").cast("int").alias("slices"))
+    row = ["dim", "bucket", "slice", "role", "vec_id", "weight", "near", "v"]
+    members = routed.withColumnRenamed("own", "bucket").join(slices, ["dim", "bucket"]).withColumn("role", F.lit(0)).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).select(*row)
+    visitors = routed.withColumn("bucket", F.explode("to")).join(slices, ["dim", "bucket"]).withColumn("role", F.lit(1)).withColumn("slice", F.expr("cast(pmod(xxhash64(vec_id), slices) as int)")).select(*row)
+    dealt = members.unionByName(visitors).repartition(shuffle_partitions(spark), "dim", "bucket", "slice").sortWithinPartitions("dim", "bucket", "slice", "role", "vec_id")
+    return dealt.mapInArrow(_bucket_search(threshold, held), "a long, b long, n long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1, shard: int = 384, sample: int = 6000, most_centroids: int = 512, overlap: int = 2, reach: float = 0.65) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     good = written(usable(vectors), "vectors")
     classes = written(good.groupBy("dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("weight")), "classes")
     total = classes.count()
-    dims = [r.dim for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()]
+    dims = {r.dim: r["count"] for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()}
     centroids = {}
     for d in dims:  # 8 lengths at most have centroids; other lengths are one cluster each, split by hash
         rows = classes.filter(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
@@ -272,7 +420,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1
     spread = spread.select("dim", "v", "vec_id", "weight", "rank", "home", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("own"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     role = F.when((F.col("part") != F.col("own")) | (F.col("rank") > overlap), 2).when(F.col("rank") == 0, 0).otherwise(1)
     dealt = spread.select("dim", "home", "part", role.alias("role"), "vec_id", "weight", "v").repartition(shuffle_partitions(spark), "dim", "home", "part").sortWithinPartitions("dim", "home", "part", "role", "vec_id")
-    found = written(dealt.mapInArrow(_shard_search(threshold, margin), "a long, b long, n long"), "links")
+    found = dealt.mapInArrow(_shard_search(threshold, margin), "a long, b long, n long")
+    if dims:
+        found = found.unionByName(far_links(placed, dims, held, threshold, shard))
+    found = written(found, "links")
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     linked = components(found.select("a", "b"))
 

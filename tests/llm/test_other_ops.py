@@ -67,6 +67,25 @@ def test_vectors_against_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_spread_out_clusters(spark):
+    from tallywood.llm.vectors import kmeans, may_hold, near_vectors, unit
+
+    rng = np.random.default_rng(4)
+    base = unit(rng.normal(size=(3000, 32)))
+    aside = rng.normal(size=(400, 32))
+    aside = unit(aside - (aside * base[:400]).sum(1, keepdims=True) * base[:400])
+    x = np.concatenate([base, 0.905 * base[:400] + np.sqrt(1 - 0.905**2) * aside])
+    s = unit(x) @ unit(x).T
+    np.fill_diagonal(s, 0)
+    c = kmeans(unit(x), 60)
+    home = (unit(x) @ c.T).argmax(1)
+    i, j = np.nonzero(s >= 0.9)
+    assert may_hold(unit(x) @ c.T, c, home, 0.9)[i, home[j]].all() and (home[i] != home[j]).any()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors(df, shard=96).collect()}
+    assert [got[k] for k in range(len(x))] == (s >= 0.9).sum(1).tolist()
+
+
 def test_components(spark):
     from tallywood.llm.components import components
 
