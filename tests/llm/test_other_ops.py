@@ -86,6 +86,19 @@ def test_vectors_of_spread_out_clusters(spark):
     assert [got[k] for k in range(len(x))] == (s >= 0.9).sum(1).tolist()
 
 
+def test_vectors_of_many_lengths_and_whole_audit(spark):
+    from pyspark.sql import functions as F
+
+    from tallywood.llm.vectors import audit, near_vectors
+
+    df = spark.range(1, 2201).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(1, (id + 1) div 2), k -> cast(k + id % 2 * k as double))").alias("embedding"))
+    got = near_vectors(df, most_centroids=1)
+    assert got.filter("n_links <> 1").count() == 0
+    few = spark.range(0, 2400).select(F.col("id").alias("vec_id"), F.expr("array(1.0D, id)").alias("embedding"))
+    said = few.select("vec_id", F.expr("if(vec_id < 2000, 2399, 0)").cast("long").alias("n_links"))
+    assert audit(few, said, threshold=-1.0, every=1) == 2000 / 2400
+
+
 def test_components(spark):
     from tallywood.llm.components import components
 
