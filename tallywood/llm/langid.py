@@ -30,28 +30,41 @@ def plain(text: str) -> bytes:
 
 
 def sample(docs: DataFrame, per_language: int, longest: int) -> dict[str, list[str]]:
-    """About per_language texts of each language (2 * per_language at most), chosen by hash of id among training rows."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.length("text").between(200, longest))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}  # 200 languages at most
-    if not counts:
-        rows = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
-        counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    """About per_language texts of each language (2 * per_language at most), chosen by hash of id among training rows.
+
+    Texts of 200 to `longest` characters come first; a language with fewer of them than
+    per_language takes others too, of which at most `longest` characters are read.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
+    rows = rows.select("lang", "doc_id", F.substring("text", 1, longest).alias("text"), F.length("text").between(200, longest).alias("fit"))
+    counts = {(r.lang, r.fit): r["count"] for r in rows.groupBy("lang", "fit").count().collect()}  # two rows a language
     out: dict[str, list[str]] = {}
     if not counts:
         return out
-    share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_language / v)))])
+    chances = []
+    for lang, fit in counts:
+        fitting = counts.get((lang, True), 0)
+        wanted = per_language if fit else per_language - fitting
+        chances.append((lang, fit, 1.3 * wanted / counts[lang, fit]))
+    share = docs.sparkSession.createDataFrame([c for c in chances if c[2] > 0], "lang string, fit boolean, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    for r in rows.filter(chance < share[F.col("lang")]).select("lang", "text").orderBy("lang", F.xxhash64("text")).limit(2 * per_language * len(counts)).collect():
+    rows = rows.join(F.broadcast(share), ["lang", "fit"]).filter(chance < F.col("share"))
+    langs = len({lang for lang, _ in counts})
+    for r in rows.select("lang", "text", "fit").orderBy("lang", F.desc("fit"), F.xxhash64("text")).limit(2 * per_language * langs).collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 
 
 def dictionaries(samples: dict[str, list[str]], size: int) -> dict[str, bytes]:
-    """Equal shares of each sampled text's bytes, `size` in all for each language."""
+    """Equal shares of each sampled text's bytes, `size` in all for each language; what short texts leave goes to the longer ones."""
     out = {}
     for lang, texts in sorted(samples.items()):
-        share = max(256, size // max(1, len(texts)))
-        out[lang] = b" ".join(plain(t)[: 4 * share] for t in texts)[-size:]
+        words = sorted((plain(t) for t in texts), key=len)
+        cut, left = [], size
+        for i, w in enumerate(words):
+            cut.append(w[: max(0, left // (len(words) - i) - 1)])
+            left -= len(cut[-1]) + 1
+        out[lang] = b" ".join(cut)
     return out
 
 
@@ -84,7 +97,7 @@ class Classifier:
 
 def identify(docs: DataFrame, per_language: int = 300, longest: int = 20_000, size: int = 110_000, level: int = 5, block: int = 4096, margin: float = 0.02) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of docs (doc_id, text, lang)."""
-    content = docs.sparkSession.sparkContext.broadcast(dictionaries(sample(docs, per_language, longest), size))  # 200 * size bytes at most
+    content = docs.sparkSession.sparkContext.broadcast(dictionaries(sample(docs, per_language, longest), size))  # `size` bytes a language at most
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(text: pd.Series) -> pd.DataFrame:

@@ -235,6 +235,21 @@ def test_language(spark):
     assert identify(docs(spark, ["abc"], {0: None})).first().lang_pred == "und"
 
 
+def test_language_of_short_texts_and_equal_shares(spark):
+    from tallywood.llm.langid import dictionaries, identify
+
+    make = lambda s, base, n: " ".join("".join(np.random.default_rng(s * 100 + k).choice(base.split(), 3)) for k in range(n))
+    kinds = {"aa": ("the an ing er", 80), "bb": ("que os ción ra", 4), "cc": ("ein sch ung te", 6000)}
+    texts = [make(i, *list(kinds.values())[i % 3]) for i in range(60)]
+    langs = {i: list(kinds)[i % 3] for i in range(60)}
+    assert min(map(len, texts[2::3])) > 20_000 and max(map(len, texts[1::3])) < 200
+    out = {r.doc_id: r for r in identify(docs(spark, texts, langs)).collect()}
+    assert all(out[i].lang_pred == langs[i] for i in range(60) if out[i].held_out)
+    words = ["".join(chr(97 + (k * 7 + i) % 26) for i in range(9)) + f"{chr(97 + k)}" for k in range(26)]
+    made = dictionaries({"aa": [" ".join(f"{w}{a}{b}" for a in "abcdefgh" for b in "abcdefgh") for w in words]}, 2600)["aa"]
+    assert len(made) <= 2600 and all(w.encode() in made for w in words)
+
+
 # --- licences --------------------------------------------------------------------------------
 
 
