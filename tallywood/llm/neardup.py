@@ -6,7 +6,8 @@ of its bucket's least hash the number of leading zeros (6 bits) and the next man
 bits (10): 16 bits a register.  Registers of empty buckets borrow from full ones in an
 order that is the same for all documents.  Steps:
 
-1. documents with equal sets collapse to a class, named by its least doc_id;
+1. documents with equal sets collapse to a class, known by its set and with the text of
+   one row of its least doc_id;
 2. `bands` bands of `rows` registers are hashed; classes that share a band are joined in
    a loose cluster through the band's least class (a star, never all pairs);
 3. the full sets of clustered classes go, in blocks of `block` classes, to the tasks of
@@ -21,7 +22,7 @@ threshold is made.
 
 Nulls: a null or word-less text has an empty set and links with nothing; a row with a
 null doc_id has no links, component null and is kept.  Rows that repeat a doc_id are one
-vertex.  An empty table gives no rows.
+vertex; where their texts differ it has the links of each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def _signed(x) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit names of the set, registers."""
+    """doc_id, n_shingles, two 64-bit names of the set, registers, hash of the text."""
 
     def run(batches):
         for batch in sliced(batches):
@@ -114,11 +115,11 @@ def signatures(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             one = [int(s.sum(dtype=U)) if len(s) else 0 for s in sets]
             two = [int(mix(s, 991).sum(dtype=U)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "regs"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array([r.tobytes() for r in regs], pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "h1", "h2", "regs", "t"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, regs binary, t long")
 
 
 def band_keys(classes: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
@@ -212,25 +213,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, buckets:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, words, buckets), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    named = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"))
-    members = full.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "v")
-    classes = written(full.select("doc_id", "n_shingles", "regs", "h1", "h2").join(named, ["h1", "h2"]).filter("doc_id = v").select("v", "regs").dropDuplicates(["v"]), "classes")
+    named = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("least")).select("h1", "h2", "least.*").withColumnRenamed("doc_id", "name").withColumnRenamed("t", "name_t")
+    classed = full.join(named, ["h1", "h2"])
+    members = classed.select("doc_id", F.col("name").alias("v"))
+    classes = written(classed.filter("doc_id = name and t = name_t").select(F.xxhash64("h1", "h2").alias("v"), "doc_id", "t", "regs").dropDuplicates(["v"]), "classes")
+    mixed = full.groupBy("doc_id").agg(F.expr("min(struct(h1, h2)) <> max(struct(h1, h2))").alias("mixed")).filter("mixed").select("doc_id")
 
-    keys = written(band_keys(classes, buckets, bands, rows), "bands")
+    keys = written(band_keys(classes.select("v", "regs"), buckets, bands, rows), "bands")
     shared = keys.groupBy("band").agg(F.min("v").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
     loose = components(keys.join(shared, "band").filter("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")))
 
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
     placed = loose.join(sizes, "component").select("v", F.col("component").alias("cluster"), F.expr(f"cast((size + {block - 1}) div {block} as int)").alias("blocks"))
     placed = placed.withColumn("own", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
-    placed = written(placed, "placed").withColumnRenamed("v", "doc_id")
-    texts = among(docs, placed.select("doc_id"), "doc_id").join(placed, "doc_id").dropDuplicates(["doc_id"]).join(classes.withColumnRenamed("v", "doc_id"), "doc_id")
-    dealt = texts.select(F.col("doc_id").alias("v"), "text", "regs", "cluster", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "v", "text", "regs", "cluster", F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j"), F.expr("if(own > other, 1, 0)").alias("side")
+    placed = written(placed.join(classes.select("v", "doc_id", "t"), "v"), "placed")
+    texts = among(docs, placed.select("doc_id").distinct(), "doc_id").withColumn("t", F.xxhash64("text")).join(placed, ["doc_id", "t"]).dropDuplicates(["v"]).join(classes.select("v", "regs"), "v")
+    dealt = texts.select("doc_id", "text", "regs", "cluster", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        F.col("doc_id").alias("v"), "text", "regs", "cluster", F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j"), F.expr("if(own > other, 1, 0)").alias("side")
     )
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "v")
     links = dealt.mapInArrow(_verify(words, buckets, percent, slack), "a long, b long")
-    linked = components(links)
+    several = members.join(mixed, "doc_id").filter("doc_id <> v").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+    linked = components(links.filter("a <> b").unionByName(several))
     for t in (keys, classes):
         drop_written(t)
 

@@ -112,6 +112,15 @@ def test_null_and_repeated_ids(spark):
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in out) == [("2", 2, True), ("5", 2, False), ("5", 2, False), ("None", None, True)]
 
 
+def test_repeated_id_with_different_texts(spark):
+    from tallywood.llm.neardup import near_duplicates
+
+    one, two, three = prose(51, 200), prose(52, 200), prose(53, 200)
+    rows = [(1, one), (1, two), (1, three), (2, one + " tail"), (3, two + " tail"), (4, three + " tail"), (5, prose(54, 200)), (9, two), (9, prose(55, 200)), (8, prose(55, 200) + " tail")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(k, 5 if k == 5 else 1, k in (1, 5)) for k in (1, 2, 3, 4, 5, 8, 9)} and len(out) == len(rows)
+
+
 def test_registers_estimate():
     from tallywood.llm.neardup import estimate, registers
 
