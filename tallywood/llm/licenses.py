@@ -43,16 +43,25 @@ NOTICES = {
 }
 ACCEPTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "cc0-1.0", "unlicense", "bsl-1.0", "0bsd"})
 TAG = "spdx license identifier"
-_TAGGED = re.compile(r"SPDX-License-Identifier\s{0,9}:[ \t]{0,9}([^\r\n]{1,500})", re.I)
+_TAGGED = re.compile(r"SPDX-License-Identifier\s*:[ \t]*(?=[^\r\n])", re.I)
+_REST = re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 
 
+def expressions(text: str) -> list[str]:
+    """What follows each tag up to the end of its line or the next tag."""
+    tags = list(_TAGGED.finditer(text))
+    ends = [m.start() for m in tags[1:]] + [len(text)]
+    return [_REST.match(text, m.end(), end)[0] for m, end in zip(tags, ends)]
+
+
 def parse(expression: str) -> list[str] | None:
     """Postfix form of a licence expression by the shunting-yard rule; None where it is malformed."""
     out, stack, operand = [], [], False
-    for token in _TOKEN.findall(expression):
+    for m in _TOKEN.finditer(expression):
+        token = m[0]
         op = token.upper()
         if op in _RANK:
             if not operand:
@@ -120,8 +129,8 @@ class Scanner:
                 places.append(end - back)
         allowed = None
         if tagged:
-            for m in _TAGGED.finditer(text):
-                postfix = parse(m[1])
+            for expression in expressions(text):
+                postfix = parse(expression)
                 evidence += 1
                 allowed = (allowed is not False) and postfix is not None and evaluate(postfix, self.accepted)
                 labels.update(f"spdx:{t}" for t in postfix or () if t not in _RANK)

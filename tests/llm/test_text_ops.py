@@ -278,3 +278,14 @@ def test_licenses_against_brute_force(spark):
     assert out[6].allowed and "spdx:zlib" in out[6].labels and out[0].allowed is None
     assert parse("MIT AND (Apache-2.0 OR GPL-2.0 WITH Classpath-exception-2.0)") == ["mit", "apache-2.0", "gpl-2.0", "classpath-exception-2.0", "WITH", "OR", "AND"]
     assert not evaluate(parse("MIT AND GPL-2.0")) and evaluate(parse("GPL-2.0 OR MIT")) and parse("MIT OR") is None and parse("(MIT") is None and parse(")") is None
+
+
+def test_license_tags_are_read_whole(spark):
+    from tallywood.llm.licenses import scan
+
+    long = "SPDX-License-Identifier: " + "MIT AND " * 100 + "GPL-2.0-only\nrest"
+    far = "SPDX-License-Identifier" + " " * 30 + ":" + " " * 40 + "MIT"
+    two = "SPDX-License-Identifier: MIT " + "x " * 400 + "SPDX-License-Identifier: GPL-2.0-only"
+    out = {r.doc_id: r for r in scan(docs(spark, [long, far, two, "SPDX-License-Identifier:\nMIT"])).collect()}
+    assert [out[i].allowed for i in range(4)] == [False, True, False, None]
+    assert "spdx:gpl-2.0-only" in out[0].labels and "spdx:mit" in out[1].labels and {"spdx:mit", "spdx:gpl-2.0-only"} == set(out[2].labels.split(","))
