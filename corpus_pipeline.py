@@ -1,8 +1,10 @@
 """A corpus pipeline of five stages, each a function of (spark, docs, sf_dir).
 
 A stage works on all rows that its predecessor kept and, but for the last, returns the
-columns of `documents`.  Rows of a null text stay (they are empty documents); rows that
-repeat a doc_id stay or go together; an empty table passes through.
+columns of `documents`, extra ones included.  Rows of a null text are empty documents (the
+toxicity model's bias, its score without evidence, decides on them); near-dedup keeps or
+drops rows that repeat a doc_id together, the other stages judge each row by its text; an
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.llm import decontaminate, neardup, packing, substrings, toxicity
-from tallywood.llm.common import table, without, written
+from tallywood.llm.common import table, unused, without, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.3 or more go."""
+    (score,) = unused(docs, "score")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, "_score").filter("_score < 0.3").drop("_score")
+    return toxicity.with_scores(docs, model, score).filter(F.col(score) < 0.3).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +32,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 35 words that also stand elsewhere are removed from the texts."""
-    cut = substrings.deduplicate(docs, keep_digest=False)
-    text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    (cut,) = unused(docs, "cut")
+    done = substrings.deduplicate(docs, keep_digest=False, into=cut)
+    new = {"text": F.when(F.col(f"{cut}.n_removed") > 0, F.col(f"{cut}.kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(new["text"]).cast("long")
+    return done.withColumns(new).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

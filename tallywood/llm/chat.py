@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywood.llm.common import table
+from tallywood.llm.common import bounded_batches, table
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,7 @@ FORMATTED = "formatted string, segments array<struct<text:string,loss:boolean>>,
 
 def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """conv_id, formatted, segments, valid, stopped_at for conversations given as conv_id, turn, role, text."""
+    bounded_batches(rows.sparkSession)
     rows = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 

@@ -16,6 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
+CHUNK = 1 << 20
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -92,6 +93,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of each word, equal for equal words in every batch."""
     if not len(starts):
         return np.zeros(0, U)
+    if starts[0] or ends[-1] - starts[0] > CHUNK:  # in parts, so that scratch arrays stay small whatever the text's length
+        out = np.empty(len(starts), dtype=U)
+        lo = 0
+        while lo < len(starts):
+            a = starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, a + CHUNK, side="right")))
+            out[lo:hi] = word_hashes(data[a : ends[hi - 1]], starts[lo:hi] - a, ends[lo:hi] - a, lower) if hi - lo > 1 or ends[lo] - a <= CHUNK else _long_word(data[a : ends[lo]], lower)
+            lo = hi
+        return out
     table = _BYTES[LOWER] if lower else _BYTES
     total = np.empty(len(data) + 1, dtype=U)
     total[0] = 0
@@ -100,19 +110,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(h + (ends - starts).astype(U))
 
 
+def _long_word(data: np.ndarray, lower: bool) -> np.uint64:
+    """The hash of one word longer than CHUNK, its polynomial summed in parts."""
+    table, h = _BYTES[LOWER] if lower else _BYTES, 0
+    for lo in range(0, len(data), CHUNK):
+        part = data[lo : lo + CHUNK]
+        h += int((table[part] * powers(_BASE, len(part))).sum(dtype=U)) * pow(_BASE, lo, 1 << 64)
+    return mix(np.asarray([(h + len(data)) & 0xFFFFFFFFFFFFFFFF], dtype=U))[0]
+
+
 _WIN = 0xD6E8FEB86659FD93 | 1
-_WIN_INV = pow(_WIN, -1, 1 << 64)
+OTHER = 0xA24BAED4963EE407 | 1
+_INVERSE = {b: pow(b, -1, 1 << 64) for b in (_WIN, OTHER)}
 
 
-def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, k: int, seed: int = 0, base: int = _WIN) -> np.ndarray:
     """Hashes of all runs of k consecutive entries, text borders ignored."""
     n = len(words)
     if n < k:
         return np.zeros(0, U)
+    if n > CHUNK + k:
+        return np.concatenate([window_hashes(words[lo : lo + CHUNK + k - 1], k, seed, base) for lo in range(0, n - k + 1, CHUNK)])
     total = np.empty(n + 1, dtype=U)
     total[0] = 0
-    np.cumsum(words * powers(_WIN, n), out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(_WIN_INV, n)[: n - k + 1], seed)
+    np.cumsum(words * powers(base, n), out=total[1:])
+    return mix((total[k:] - total[:-k]) * powers(_INVERSE[base], n)[: n - k + 1], seed)
 
 
 def release() -> None:
@@ -123,6 +145,17 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def parts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows with about `most` bytes each; a larger row is alone or ends its range."""
+    ends = np.cumsum(sizes)
+    out, lo = [], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="left")) + 1)
+        out.append((lo, min(hi, len(sizes))))
+        lo = out[-1][1]
+    return out
+
+
 def sliced(batches, rows: int = 512, size: int = 1 << 20):
     """Record batches cut so that none has more text than `size` bytes, unless one row has."""
     for batch in batches:

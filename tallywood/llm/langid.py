@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import held_out, table
+from tallywood.llm.common import bounded_batches, held_out, table
 
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -97,6 +97,7 @@ class Classifier:
 
 def identify(docs: DataFrame, per_language: int = 300, longest: int = 20_000, size: int = 110_000, level: int = 5, block: int = 4096, margin: float = 0.02) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of docs (doc_id, text, lang)."""
+    bounded_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(dictionaries(sample(docs, per_language, longest), size))  # `size` bytes a language at most
 
     @F.pandas_udf("lang_pred string, score double")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import table
+from tallywood.llm.common import bounded_batches, table
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = {
@@ -145,6 +145,8 @@ SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, accepted=ACCEPTED) -> DataFrame:
     """doc_id and what was found in each row's whole text."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(SCAN)
     def found(text: pd.Series) -> pd.DataFrame:
         f = Scanner(base, notices, accepted)

@@ -8,12 +8,15 @@ order that is the same for all documents.  Steps:
 
 1. documents with equal sets collapse to a class, known by its set and with the text of
    one row of its least doc_id;
-2. `bands` bands of `rows` registers are hashed; classes that share a band are joined in
-   a loose cluster through the band's least class (a star, never all pairs);
-3. the full sets of clustered classes go, in blocks of `block` classes, to the tasks of
-   all block pairs of their cluster.  There the collision-corrected estimate from the
-   registers discards pairs far below the threshold, the others are counted exactly on
-   full sets, and only a spanning forest of the links found leaves the task;
+2. `bands` bands of `rows` registers are hashed; each class first meets the least class
+   of each of its bands (a star, never all pairs).  The collision-corrected estimate from
+   the registers discards pairs far below the threshold, the others are counted exactly on
+   full sets.  Links found make roots: classes known to be connected;
+3. classes that share a band, in part through others, are a loose cluster; where its band
+   groups are less work together than all its pairs, they are the clusters.  In each, blocks
+   of `block` classes meet pairwise and are checked likewise, but never two blocks of one
+   root; only a spanning forest of the links found leaves a task.  So a group of copies,
+   however large, costs one comparison a class, and only what isn't connected yet is paired;
 4. components of the links, brought back to every document.
 
 A pair at the threshold shares a band with probability 1 - (1 - s**rows)**bands (0.99995
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import among, drop_written, shuffle_partitions, table, written
+from tallywood.llm.common import among, bounded_batches, drop_written, join_hot, shuffle_partitions, table, written
 from tallywood.llm.components import components
 from tallywood.llm.kernels import U, mix, sliced, string_buffers, window_hashes, word_hashes, word_spans
 
@@ -208,37 +211,80 @@ def _verify(words: int, buckets: int, percent: int, slack: float):
     return run
 
 
+def _verified(places: DataFrame, texts: DataFrame, words: int, buckets: int, percent: int, slack: float) -> DataFrame:
+    """Links (a, b) among the rows of each (cluster, i, j) of places (v, cluster, i, j, side); texts has v, doc_id, text and regs."""
+    each = places.groupBy("v").agg(F.collect_list(F.struct("cluster", "i", "j", "side")).alias("at"))
+    dealt = texts.join(each, "v").select(F.col("doc_id"), "text", "regs", F.explode("at").alias("at")).select(F.col("doc_id").alias("v"), "text", "regs", "at.*")
+    dealt = dealt.repartition(shuffle_partitions(places.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "v")
+    return dealt.mapInArrow(_verify(words, buckets, percent, slack), "a long, b long")
+
+
+def stars(held: DataFrame, part: int) -> DataFrame:
+    """Places where each class meets the least class of each of its bands; held has v, band, low, n.  A leader goes to every part of its followers."""
+    follow = held.filter("v <> low").select("v", "low").distinct()
+    parts = follow.groupBy("low").agg(F.expr(f"cast((count(*) + {part - 1}) div {part} as int)").alias("parts"))
+    lead = parts.select(F.col("low").alias("v"), F.col("low").alias("cluster"), F.explode(F.expr("sequence(0L, cast(parts - 1 as bigint))")).alias("i"), F.lit(0).alias("side"))
+    rest = join_hot(follow, parts.withColumn("n", F.col("parts")), ["low"], ["v"]).select("v", F.col("low").alias("cluster"), F.expr("pmod(xxhash64(v), parts)").alias("i"), F.lit(1).alias("side"))
+    return lead.unionByName(rest).withColumn("j", F.col("i"))
+
+
+def block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """Places for all pairs of blocks of a cluster that may hold an unlinked pair; members has v, cluster, root (what v is linked with so far).
+
+    A root with `block` or more members has blocks of its own, smaller ones share blocks; two
+    blocks of one root needn't meet.
+    """
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    many = sizes.groupBy("cluster").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("size") < block, F.col("size")).otherwise(0)).alias("small")).filter("roots > 1")
+    sizes = sizes.join(many, "cluster")
+    pure = F.col("size") >= block
+    sizes = sizes.select("cluster", "root", pure.alias("pure"), F.expr(f"if(size >= {block}, (size + {block - 1}) div {block}, greatest(1, (small + {block - 1}) div {block}))").alias("blocks"), F.col("size").alias("n"))
+    key = F.expr("if(pure, xxhash64(root, pmod(xxhash64(v), blocks)), xxhash64(cluster, 'shared', pmod(xxhash64(root), blocks)))")
+    dealt = written(join_hot(members, sizes, ["cluster", "root"], ["v"]).select("v", "cluster", key.alias("block"), F.when(F.col("pure"), F.col("root")).alias("own")), "blocks")
+    blocks = dealt.groupBy("cluster", "block").agg(F.first("own").alias("own"))
+    other = blocks.select("cluster", F.col("block").alias("other"), F.col("own").alias("theirs"))
+    meet = blocks.join(other, "cluster").filter("if(block = other, own is null, not coalesce(own = theirs, false))")
+    places = dealt.join(meet.select("cluster", "block", "other"), ["cluster", "block"])
+    return places.select("v", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("if(block > other, 1, 0)").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, buckets: int = 128, bands: int = 24, rows: int = 5, block: int = 48, slack: float = 0.17) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, words, buckets), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    named = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("least")).select("h1", "h2", "least.*").withColumnRenamed("doc_id", "name").withColumnRenamed("t", "name_t")
-    classed = full.join(named, ["h1", "h2"])
-    members = classed.select("doc_id", F.col("name").alias("v"))
+    named = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.count("*").alias("n"))
+    named = named.select("h1", "h2", F.col("least.doc_id").alias("name"), F.col("least.t").alias("name_t"), "n")
+    classed = join_hot(full, named, ["h1", "h2"], ["doc_id"])
+    members = classed.select("doc_id", F.col("name").alias("v")).distinct()
     classes = written(classed.filter("doc_id = name and t = name_t").select(F.xxhash64("h1", "h2").alias("v"), "doc_id", "t", "regs").dropDuplicates(["v"]), "classes")
     mixed = full.groupBy("doc_id").agg(F.expr("min(struct(h1, h2)) <> max(struct(h1, h2))").alias("mixed")).filter("mixed").select("doc_id")
 
     keys = written(band_keys(classes.select("v", "regs"), buckets, bands, rows), "bands")
-    shared = keys.groupBy("band").agg(F.min("v").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
-    loose = components(keys.join(shared, "band").filter("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")))
-
-    sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    placed = loose.join(sizes, "component").select("v", F.col("component").alias("cluster"), F.expr(f"cast((size + {block - 1}) div {block} as int)").alias("blocks"))
-    placed = placed.withColumn("own", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
-    placed = written(placed.join(classes.select("v", "doc_id", "t"), "v"), "placed")
-    texts = among(docs, placed.select("doc_id").distinct(), "doc_id").withColumn("t", F.xxhash64("text")).join(placed, ["doc_id", "t"]).dropDuplicates(["v"]).join(classes.select("v", "regs"), "v")
-    dealt = texts.select("doc_id", "text", "regs", "cluster", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        F.col("doc_id").alias("v"), "text", "regs", "cluster", F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j"), F.expr("if(own > other, 1, 0)").alias("side")
-    )
-    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "v")
-    links = dealt.mapInArrow(_verify(words, buckets, percent, slack), "a long, b long")
+    shared = keys.groupBy("band").agg(F.min("v").alias("low"), F.count("*").alias("n")).filter("n > 1")
+    held = written(join_hot(keys, shared, ["band"], ["v"]), "held")
+    drop_written(keys)
+    wanted = held.select("v").distinct().join(classes, "v")
+    texts = among(docs, wanted.select("doc_id"), "doc_id").withColumn("t", F.xxhash64("text")).join(wanted, ["doc_id", "t"]).dropDuplicates(["v"]).select("v", "doc_id", "text", "regs")
+    texts = written(texts, "texts")
+
+    first = written(_verified(stars(held, 4 * block), texts, words, buckets, percent, slack), "links")
+    names = classes.select(F.col("doc_id").alias("a"), "v")
+    edges = first.join(names, "a").select(F.col("v").alias("x"), "b").join(names.select(F.col("a").alias("b"), F.col("v").alias("y")), "b")
+    linked = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    loose = components(held.filter("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")))
+    cost = held.filter("v = low").select("v", F.col("n")).join(loose, "v").groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+    dense = loose.groupBy("component").agg(F.count("*").alias("n")).join(cost, "component").withColumn("dense", F.col("n") * F.col("n") <= F.col("cost")).drop("cost")
+    near = written(join_hot(loose, dense, ["component"], ["v"]).join(linked.withColumnRenamed("component", "root"), "v", "left").withColumn("root", F.coalesce("root", "v")), "near")
+    clusters = near.filter("dense").select("v", F.col("component").alias("cluster"), "root")
+    clusters = clusters.unionByName(held.join(near.filter("not dense"), "v").select("v", F.col("band").alias("cluster"), "root"))
+    second = _verified(block_pairs(clusters, block), texts, words, buckets, percent, slack)
     several = members.join(mixed, "doc_id").filter("doc_id <> v").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
-    linked = components(links.filter("a <> b").unionByName(several))
-    for t in (keys, classes):
-        drop_written(t)
+    final = components(first.unionByName(second).filter("a <> b").unionByName(several))
+    drop_written(held, texts, classes, first, near)
 
-    to = members.join(linked.withColumnRenamed("component", "c"), "v", "left").select("doc_id", F.coalesce("c", "v").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
+    to = members.join(final.withColumnRenamed("component", "c"), "v", "left").select("doc_id", F.coalesce("c", "v").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
     out = signed.select("doc_id", "n_shingles").join(to, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

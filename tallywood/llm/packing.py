@@ -2,12 +2,13 @@
 
 A document is its token ids and an end id.  Longer ones than a sequence are cut, the
 short piece first.  Pieces are dealt by hash to islands of about `island` pieces; an
-island starts from best-fit packings in several orders and crosses them: whole
+island breeds several populations from best-fit packings in several orders: whole
 well-filled sequences of one parent are injected into the other, sequences that hold a
-doubled piece are dissolved and displaced pieces are best-fitted.  An island stops as
-soon as it reaches the lower bound.  Then the elite (full enough sequences) is final,
-and the others migrate as groups to a few joined islands, where they seed a second run;
-so what an island can't fill, its neighbours' pieces do.
+doubled piece are dissolved and displaced pieces are best-fitted; each population's elite
+migrates to the next one.  An island stops as soon as it reaches the lower bound.  Then
+full enough sequences are final, and the others move as groups to a few joined islands,
+where they seed a second run; so what an island can't fill, its neighbours' pieces do.
+Pieces are dealt by their row's number too, so rows that repeat spread over all islands.
 
 Nulls and repeats: a null text is empty (one end id); a null doc_id is carried along;
 repeated rows are packed as often as they occur.  An empty table gives no rows.
@@ -15,6 +16,7 @@ repeated rows are packed as often as they occur.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import zlib
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import shuffle_partitions, written
+from tallywood.llm.common import bounded_batches, shuffle_partitions, written
 from tallywood.llm.kernels import sliced
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,7 +47,7 @@ class ByteBpe:
     def __init__(self, tokenizer: str, ranks: str | None):
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(tokenizer)
+        self.exact = functools.cache(lambda: Tokenizer.from_file(tokenizer))  # loaded when a text needs it
         self.fast = None
         if ranks:
             import base64
@@ -59,7 +61,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         if self.fast is None or "<|endoftext|>" in text or self.far(text):
-            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.asarray(self.exact().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         data = bytes(memoryview(self.fast._core_bpe.encode_to_tiktoken_buffer(text, set())))
         return data if sys.byteorder == "little" else np.frombuffer(data, np.uint32).astype("<u4").tobytes()
 
@@ -71,6 +73,12 @@ class ByteBpe:
             return bool(self.FAR.search(text))
 
 
+@functools.cache
+def _bpe(tokenizer: str, ranks: str | None) -> ByteBpe:
+    """One for each worker process, which outlives its tasks."""
+    return ByteBpe(tokenizer, ranks)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; only the first may be short."""
     short = n % capacity
@@ -79,11 +87,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, capacity: int, tokenizer: str, ranks: str | None) -> DataFrame:
+    """The pieces of each row, with the row's number in its partition."""
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
-        bpe = ByteBpe(tokenizer, ranks)
+        bpe = _bpe(tokenizer, ranks)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
+        nth = 0
         for batch in sliced(batches):
-            ids, piece, start, length, crc = [], [], [], [], []
+            ids, piece, start, length, crc, rows = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = bpe.encode(text.as_py() or "") + end
                 for k, (s, n) in enumerate(cut(len(data) // 4, capacity)):
@@ -92,9 +104,11 @@ def tokenise(docs: DataFrame, capacity: int, tokenizer: str, ranks: str | None)
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append(nth)
+                nth += 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(rows, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", nth long")
 
 
 def best_fit(order, sizes, bins: list[list[int]], capacity: int) -> list[list[int]]:
@@ -141,23 +155,37 @@ def mutate(bins, sizes, capacity, rng) -> list[list[int]]:
     return best_fit(loose, sizes, [list(b) for k, b in enumerate(bins) if k not in gone], capacity)
 
 
-def evolve(sizes, capacity: int, seed: int, seeds: list[list[list[int]]] = (), generations: int = 6, least: float = 0.98) -> list[list[int]]:
-    """The best packing found for one island."""
+def evolve(sizes, capacity: int, seed: int, seeds: list[list[list[int]]] = (), generations: int = 6, least: float = 0.98, populations: int = 3, every: int = 2) -> list[list[int]]:
+    """The best packing found for one island's pieces by `populations` that breed apart.
+
+    Every `every` generations the best packing of each (its elite) migrates to the next one
+    in a ring, in place of the worst there.  A packing at the lower bound ends the search.
+    """
     n = len(sizes)
     bound = -(-sum(sizes) // capacity)
     best = best_fit(sorted(range(n), key=lambda i: -sizes[i]), sizes, [], capacity)
     if len(best) <= bound:
         return best
+
+    def score(bins):
+        return fitness(bins, sizes, capacity)
+
     rng = np.random.default_rng(seed)
-    noisy = np.asarray(sizes) * rng.uniform(0.9, 1.1, n)
-    crowd = [best, best_fit(np.argsort(-noisy).tolist(), sizes, [], capacity), *seeds]
-    for _ in range(generations):
-        crowd.sort(key=lambda b: fitness(b, sizes, capacity), reverse=True)
-        if len(crowd[0]) <= bound:
-            break
-        a, b = crowd[0], crowd[1]
-        crowd = [a, b, cross(a, b, sizes, capacity, least, rng), cross(b, a, sizes, capacity, least, rng), mutate(a, sizes, capacity, rng)]
-    return max(crowd, key=lambda b: fitness(b, sizes, capacity))
+    crowds = []
+    for _ in range(populations):
+        noisy = np.asarray(sizes) * rng.uniform(0.9, 1.1, n)
+        crowds.append(sorted([best, best_fit(np.argsort(-noisy).tolist(), sizes, [], capacity), *seeds], key=score, reverse=True))
+    for generation in range(generations):
+        for k, (a, b, *_) in enumerate(crowds):
+            crowd = [a, b, cross(a, b, sizes, capacity, least, rng), cross(b, a, sizes, capacity, least, rng), mutate(a, sizes, capacity, rng)]
+            crowds[k] = sorted(crowd, key=score, reverse=True)
+            if len(crowds[k][0]) <= bound:
+                return crowds[k][0]
+        if generation % every == every - 1:
+            elite = [c[0] for c in crowds]
+            for k, c in enumerate(crowds):
+                crowds[k] = sorted([*c[:-1], elite[k - 1]], key=score, reverse=True)
+    return max((c[0] for c in crowds), key=score)
 
 
 def _islands(capacity: int, elite: float, second: bool):
@@ -211,9 +239,10 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, ra
     if tokenizer is None:
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
-    islands = max(1, docs.count() // island)
+    pieces = written(tokenise(docs, capacity, tokenizer, ranks), "pieces")  # fixed, so a task that runs again deals the same rows alike
+    islands = max(1, pieces.count() // island)
     parts = max(shuffle_partitions(spark), islands // 64)
-    pieces = tokenise(docs, capacity, tokenizer, ranks).withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(islands))).withColumn("seq", F.lit(0).cast("long"))
+    pieces = pieces.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(islands))).withColumn("seq", F.lit(0).cast("long")).drop("nth")
     first = written(pieces.repartition(parts, "island").mapInArrow(_islands(capacity, elite, False), PACKED), "packed")
     loose = first.filter("not done").withColumn("island", F.expr(f"(seq >> 33) div {joined}")).select("doc_id", "piece", "start", "length", "ids_crc32", "island", "seq")
     again = loose.repartition(parts, "island").mapInArrow(_islands(capacity, elite, True), PACKED)

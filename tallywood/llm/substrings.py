@@ -5,20 +5,24 @@ several times over, and each document would have to be streamed through every sh
 neither is bounded.  `deduplicate` therefore finds repeated windows exactly by hash, in
 steps that move little and keep no group together:
 
-1. each window of `length` words has an anchor, the least of its `gram`-word hashes (the
+1. texts in more than one row are counted; all their windows start elsewhere, so all is
+   removed, and one row speaks for them where other texts are compared;
+2. each window of `length` words has an anchor, the least of its `gram`-word hashes (the
    last of equals); a document's windows with one anchor are consecutive, so about one
    row for every ten words leaves a task.  Anchors are counted with partial aggregation;
-2. equal windows have equal anchors: only windows with a repeated anchor are hashed and
-   counted, again with partial aggregation;
-3. the places of repeated windows return to their documents and their words are removed.
+3. equal windows have equal anchors: only windows with a repeated anchor are named and
+   counted, again with partial aggregation.  A window's name is 128 bits, two independent
+   hashes of its words, so that no two among 10**15 windows are expected to share one;
+4. the places of repeated windows return to their texts and their words are removed.
 
 `remove_reference` is the form for a bounded reference: suffix automata of its shards
 are broadcast, documents are streamed through them for matching statistics, and maximal
 spans of `length` or more words that match are removed.
 
 Words are runs of other bytes than 0x20 and 0x09-0x0D, unchanged.  Windows are judged on
-the input.  Nulls: a null text has no words; rows are told apart by doc_id and text, so
-null or repeated doc_ids don't mix texts, and repeated rows count as other places.
+the input.  Nulls: a null text has no words; texts are known by 96 bits of their hashes,
+not by doc_id, so null or repeated doc_ids don't mix them; repeated rows count as other
+places.  An empty table gives no rows; a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -26,15 +30,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import among, may_be, table, written
-from tallywood.llm.kernels import sliced, string_buffers, window_hashes, word_hashes, word_spans
+from tallywood.llm.common import among, bounded_batches, drop_written, join_hot, may_be, table, unused, written
+from tallywood.llm.kernels import OTHER, mix, release, sliced, string_buffers, window_hashes, word_hashes, word_spans
 
-PLACE = "doc_id long, t int"
+PLACE = "t long, u int"
 
 
 def _windows(texts: pa.Array, length: int):
@@ -75,14 +78,16 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             g, text, s, n = anchor_runs(batch.column(2), length, gram)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(g.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["doc_id", "t", "anchor", "s", "n"],
+                names=["t", "u", "anchor", "s", "len"],
             )
 
-    return docs.mapInArrow(run, PLACE + ", anchor long, s int, n int")
+    return docs.mapInArrow(run, PLACE + ", anchor long, s int, len int")
 
 
 def windows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc_id, t, text, runs array<struct<s, n>>): doc_id, t, w, s, more for each distinct window of each row's runs.
+    """docs (t, u, text, runs array<struct<s, n>>): t, u, w, x, s, more for each distinct window of each row's runs.
+
+    w and x are independent 64-bit hashes of its words, together its name.
 
     s is the window's first start; `more` has its other starts in the same row, if any, so
     that a line said a thousand times in one text is one row.
@@ -92,7 +97,7 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             h, _, first, _ = _windows(batch.column(2), length)
-            w = window_hashes(h, length, 22)
+            w, x = window_hashes(h, length, 22), window_hashes(mix(h, 61), length, 23, OTHER)
             runs = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()
@@ -101,36 +106,40 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
             if not len(row):
                 continue
             local = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            key = w[first[row] + local]
-            order = np.lexsort((local, key, row))
-            row, local, key = row[order], local[order].astype(np.int32), key[order]
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])]))
+            key, check = w[first[row] + local], x[first[row] + local]
+            order = np.lexsort((local, check, key, row))
+            row, local, key, check = row[order], local[order].astype(np.int32), key[order], check[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (check[1:] != check[:-1])]))
             size = np.diff(np.append(new, len(row))) - 1
             others = np.ones(len(row), dtype=bool)
             others[new] = False
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             more = pa.ListArray.from_arrays(pa.array(ends), pa.array(local[others]), type=kind, mask=pa.array(size == 0))
             at = row[new]
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key[new].view(np.int64)), pa.array(local[new]), more], names=["doc_id", "t", "w", "s", "more"])
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key[new].view(np.int64)), pa.array(check[new].view(np.int64)), pa.array(local[new]), more], names=["t", "u", "w", "x", "s", "more"])
             for lo in range(0, out.num_rows, 200_000):
                 yield out.slice(lo, 200_000)
 
-    return docs.mapInArrow(run, PLACE + ", w long, s int, more array<int>")
+    return docs.mapInArrow(run, PLACE + ", w long, x long, s int, more array<int>")
 
 
 CUT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def cut_out(length: int, keep_text: bool, keep_digest: bool):
-    """A function of (text, starts): what stays without the words that the windows from these starts cover."""
+    """A function of (text, starts, whole): what stays without the words that the windows from these starts, or all windows, cover."""
 
-    @F.pandas_udf(CUT)
-    def cut(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(CUT)
+    def cut(text: pa.Array, starts: pa.Array, whole: pa.Array) -> pa.Array:
         out = []
-        for one, s in zip(text, starts):
+        for one, s, every in zip(text, starts, whole.to_pylist()):
+            one = one.as_py()
             words = (one or "").encode("utf-8", "surrogatepass").split()
             n, removed, kept = len(words), 0, words
-            if s is not None and len(s):
+            if every and n >= length:
+                keep, kept, removed = np.zeros(n, dtype=bool), [], n
+            elif s.is_valid and len(s):
+                s = s.values.to_numpy()
                 cover = np.zeros(n + 1, dtype=np.int32)
                 np.add.at(cover, s, 1)
                 np.add.at(cover, np.minimum(s + length, n), -1)
@@ -139,7 +148,11 @@ def cut_out(length: int, keep_text: bool, keep_digest: bool):
                 removed = n - len(kept)
             digest = hashlib.sha256(b" ".join(kept)).hexdigest() if keep_digest else None
             out.append((n, removed, digest, (_rebuilt(one, keep) if removed else one) if keep_text else None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+        n, removed, digest, kept = zip(*out) if out else ((), (), (), ())
+        made = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[c.split()[0] for c in CUT.split(", ")])
+        del out, kept
+        release()
+        return made
 
     return cut
 
@@ -157,31 +170,62 @@ def _rebuilt(text: str, keep: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass").strip("\n ") if out else ""
 
 
-def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, t, starts) of the windows that start anywhere else too, for docs (doc_id, t, text).
+def repeated_texts(own: DataFrame) -> DataFrame:
+    """(t, u, n, low) of texts in more than one row of own (doc_id, t, u, text): number of rows and least doc_id."""
+    return own.filter("text is not null").groupBy("t", "u").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).filter("n > 1")
+
+
+def one_of_each(own: DataFrame, copied: DataFrame) -> DataFrame:
+    """t, u, text of one row of each text; only rows whose text may be repeated are shuffled."""
+    near, clear = may_be(own, copied.select("t"), "t")
+    total = copied.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = copied.filter(F.col("n") * 1000 > total).select("t", "u", F.lit(True).alias("hot"), "low")  # fewer than 1000
+    near = near.join(F.broadcast(hot), ["t", "u"], "left").filter(F.col("hot").isNull() | F.col("doc_id").eqNullSafe(F.col("low"))).drop("hot", "low")
+    near = near.join(copied.select("t", "u", "low", "n"), ["t", "u"], "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("low")))
+    once = written(near.select("t", "u", "text").dropDuplicates(["t", "u"]), "once")
+    return clear.select("t", "u", "text").unionByName(once)
+
+
+def repeated_starts(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(t, u, starts) of the windows that start anywhere else too, for distinct texts (t, u, text).
 
     Anchors are made twice rather than kept, and bitmaps clear most rows before a join.
     """
-    again = written(anchors(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "again")
-    found = among(anchors(docs, length, gram), again, "anchor", 25)
-    runs = found.join(again, "anchor").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("runs"))  # bounded by the document
+    again = written(anchors(texts, length, gram).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    found = among(anchors(texts, length, gram), again.select("anchor"), "anchor", 25)
+    runs = join_hot(found, again, ["anchor"], ["t"]).groupBy("t", "u").agg(F.collect_list(F.struct("s", F.col("len").alias("n"))).alias("runs"))  # bounded by the text
     runs = written(runs, "runs")
-    texts = among(docs, runs.select("doc_id"), "doc_id")
-    near = windows(texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.t == runs.t)).select(texts.doc_id, texts.t, "text", "runs"), length)
-    twice = near.groupBy("w").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("c")).filter("c > 1").select("w")
-    hits = near.join(twice, "w").groupBy("doc_id", "t").agg(F.concat(F.collect_set("s"), F.flatten(F.collect_list("more"))).alias("starts"))
-    return written(hits, "starts")
-
-
-def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bool = True, keep_digest: bool = True) -> DataFrame:
-    """docs with a column `cut` (n_words, n_removed, kept_sha256, kept_text); all its columns and rows stay."""
-    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    own = docs.select(id_.alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
-    starts = repeated_starts(own, length, gram).select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("starts").alias("_starts"))
-    near, clear = may_be(docs.withColumn("_id", id_), starts.select(F.col("_doc").alias("_id")), "_id")
-    found = near.join(starts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.hash(text) == F.col("_t")), "left").drop("_id", "_doc", "_t")
-    both = found.unionByName(clear.drop("_id").withColumn("_starts", F.lit(None).cast("array<int>")))
-    return both.withColumn("cut", cut_out(length, keep_text, keep_digest)(text, F.col("_starts"))).drop("_starts")
+    near = windows(among(texts, runs.select("t"), "t").join(runs, ["t", "u"]).select("t", "u", "text", "runs"), length)
+    twice = near.groupBy("w", "x").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("n")).filter("n > 1")
+    hits = join_hot(near, twice, ["w", "x"], ["t"]).groupBy("t", "u").agg(F.concat(F.collect_set("s"), F.flatten(F.collect_list("more"))).alias("starts"))
+    out = written(hits, "starts")
+    drop_written(again, runs)
+    return out
+
+
+def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bool = True, keep_digest: bool = True, into: str = "cut") -> DataFrame:
+    """docs with a column `into` (n_words, n_removed, kept_sha256, kept_text); all its rows and other columns stay."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop(into)
+    t, u, starts, whole = unused(docs, "t", "u", "starts", "whole")
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), text.alias("text"))
+    copied = written(repeated_texts(own), "copied")
+    found = repeated_starts(one_of_each(own, copied), length, gram)
+    found = found.join(copied, ["t", "u"], "left_anti").select("t", "u", "starts", F.lit(False).alias("whole"))
+    total = copied.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("n") * 1000 > total
+    said = found.unionByName(copied.filter(~hot).select("t", "u", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    said = written(said.select(F.col("t").alias(t), F.col("u").alias(u), F.col("starts").alias(starts), F.col("whole").alias(whole)), "said")
+    hot = F.broadcast(copied.filter(hot).select(F.col("t").alias(t), F.col("u").alias(u)))  # fewer than 1000
+
+    keyed = docs.withColumns({t: F.xxhash64(text), u: F.hash(text)})
+    copies = keyed.join(hot, [t, u], "left_semi").withColumns({starts: F.lit(None).cast("array<int>"), whole: F.lit(True)})
+    near, clear = may_be(keyed.join(hot, [t, u], "left_anti"), said.select(t), t)
+    near = near.join(said, [t, u], "left")
+    clear = clear.withColumns({starts: F.lit(None).cast("array<int>"), whole: F.lit(False)})
+    both = near.unionByName(clear).unionByName(copies)
+    return both.withColumn(into, cut_out(length, keep_text, keep_digest)(text, F.col(starts), F.coalesce(F.col(whole), F.lit(False)))).select(*docs.columns, into)
 
 
 class SuffixAutomaton:

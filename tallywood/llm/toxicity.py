@@ -3,26 +3,29 @@
 A word is a maximal run of letters, digits, non-ASCII bytes and `@ $ *`, lower-cased; its
 subwords are all n-grams of 3 to 6 bytes of the word with one border mark on each side,
 hashed into `buckets`.  A word is the mean of its subword vectors, so an unseen
-misspelling shares most of its vector with the word.  The text is averaged over windows
-of `window` words (each word falls in one window) and the softmax layer is read for the
-mean and for the windows, so a few words in a long text still count.  Embeddings and
+misspelling shares most of its vector with the word.  Bags are windows of `window` words
+(each word falls in one, counted from the text's first word); the softmax layer reads each
+window's average, and the window that speaks loudest is the text's score, so a few words
+in a long text still count.  Embeddings and
 softmax layer are trained jointly in numpy by Adam on a bounded sample of labelled
 texts; the fitted score per subword is a number, so scoring is a table look-up.
 
 Nulls: a null or empty text has the score of no evidence (the fitted bias); a null
 doc_id is carried, is never held out and has no label.  Documents with contradictory
-labels count with each.  Without any label all scores are 0.
+labels count with each.  Where no label, or only one kind of label, can be learned, all
+scores are alike, near 0 (no label, or all 0) or near 1 (all 1).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import held_out, table
-from tallywood.llm.kernels import LOWER, U, mix, powers, release, string_buffers
+from tallywood.llm.common import bounded_batches, held_out, table
+from tallywood.llm.kernels import LOWER, U, mix, parts, powers, release, string_buffers, word_spans
 
 SOLID = np.zeros(256, dtype=bool)
 SOLID[128:] = True
@@ -30,6 +33,7 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
     SOLID[_a:_b] = True
 SOLID[[0x40, 0x24, 0x2A]] = True
 GRAMS = (3, 4, 5, 6)
+SLICE = 200_000  # bytes of text scored at once
 _B = 0xB5297A4D3F84D5B5 | 1
 _BI = pow(_B, -1, 1 << 64)
 
@@ -168,32 +172,53 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 1500)
 
 
 def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
+    """The score of each text; a text longer than SLICE is read in parts of whole windows, so scratch arrays stay small."""
+    if len(texts) == 1 and (pieces := _long(texts, model["window"])):
+        z = np.asarray([max(_logits(p, model)[0] for p in pieces)])
+    else:
+        z = _logits(texts, model)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _long(texts: pa.Array, window: int) -> list[pa.Array]:
+    """One long text in parts that begin with the first word of a window; none for a shorter text."""
+    data, _ = string_buffers(texts)
+    if len(data) <= SLICE:
+        return []
+    starts, _, _ = word_spans(data, np.asarray([0, len(data)]), ~SOLID)
+    firsts = starts[::window]
+    cuts, at = [0], 0
+    while at < len(firsts):
+        k = int(np.searchsorted(firsts, cuts[-1] + SLICE))
+        at = max(k, at + 1)
+        if at < len(firsts):
+            cuts.append(int(firsts[at]))
+    cuts.append(len(data))
+    return [pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.asarray([0, b - a], dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data[a:b]))]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _logits(texts: pa.Array, model: dict) -> np.ndarray:
     grams, text_of, words = subwords(*string_buffers(texts), model["bits"])
     total, count = np.zeros(words), np.zeros(words)
     for bucket, word in grams:
         total += np.bincount(word, model["table"][bucket], words)
         count += np.bincount(word, minlength=words)
-    z = pooled(total / np.maximum(1, count), text_of, len(texts), model["window"], model["bias"])
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return pooled(total / np.maximum(1, count), text_of, len(texts), model["window"], model["bias"])
 
 
 def with_scores(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1 for each whole text."""
+    bounded_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        out, held, size, lo = [], pa.array(text, pa.large_string()), 0, 0
-        sizes = text.str.len().fillna(0).to_numpy()
-        for i, k in enumerate(sizes):
-            size += int(k)
-            if size > 400_000 or i == len(sizes) - 1:
-                out.append(score_texts(held.slice(lo, i + 1 - lo), handle.value))
-                lo, size = i + 1, 0
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros(len(text))
+        for lo, hi in parts(sizes, SLICE):
+            out[lo:hi] = score_texts(text.slice(lo, hi - lo), handle.value)
         release()
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(out)
 
     return docs.withColumn(column, score(F.col("text").cast("string")))
 

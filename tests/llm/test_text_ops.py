@@ -151,10 +151,10 @@ def test_substrings_against_brute_force(spark):
             if seen[tuple(w[i : i + 35])] > 1:
                 keep[i : i + 35] = [False] * 35
         want[k] = (len(w), len(w) - sum(keep), hashlib.sha256(b" ".join(x for x, y in zip(w, keep) if y)).hexdigest())
-    out = deduplicate(docs(spark, texts).drop("cut")).collect()
+    out = deduplicate(docs(spark, texts)).collect()
     assert {r.doc_id: (r.cut.n_words, r.cut.n_removed, r.cut.kept_sha256) for r in out} == want
     assert all(hashlib.sha256(b" ".join((r.cut.kept_text or "").encode().split())).hexdigest() == want[r.doc_id][2] for r in out)
-    assert deduplicate(docs(spark, ["x"]).drop("cut").limit(0)).count() == 0
+    assert deduplicate(docs(spark, ["x"]).limit(0)).count() == 0
 
 
 def test_suffix_automaton(spark):
