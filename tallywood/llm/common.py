@@ -115,21 +115,22 @@ def without(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataF
     return clear.unionByName(near.join(ids, column, "left_anti").select(clear.columns))
 
 
-def join_hot(df: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], share: int = 1000) -> DataFrame:
+def join_hot(df: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], share: int = 1000, total: int | None = None) -> DataFrame:
     """df inner joined with counted on keys, where no key brings more than 1/share of df's rows to one task.
 
     counted has a row for each key, its number `n` of rows in df, and other columns.  Keys
     with more than 1/share of all rows, fewer than `share` of them, are broadcast; their
-    rows are dealt by `spread` instead of the key.
+    rows are dealt by `spread` too.  `total` is the number of all rows, where it is known.
     """
     values = [c for c in counted.columns if c not in keys]
-    hot_, light_, key_ = unused(df, "hot", "light", "key")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot_, light_, salt_ = unused(df, "hot", "light", "salt")
+    if total is None:
+        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     whole = F.struct(*values)
     hot = counted.filter(F.col("n") * share > total).select(*keys, whole.alias(hot_))
-    light = counted.filter(F.col("n") * share <= total).select(F.col(keys[0]).alias(key_), *keys[1:], whole.alias(light_))
-    dealt = df.join(F.broadcast(hot), keys, "left").withColumn(key_, F.when(F.col(hot_).isNotNull(), F.xxhash64(*spread)).otherwise(F.col(keys[0])))
-    both = dealt.join(light, [key_, *keys[1:]], "left").withColumn(hot_, F.coalesce(hot_, light_)).filter(F.col(hot_).isNotNull())
+    light = counted.filter(F.col("n") * share <= total).select(*keys, F.lit(0).cast("long").alias(salt_), whole.alias(light_))
+    dealt = df.join(F.broadcast(hot), keys, "left").withColumn(salt_, F.when(F.col(hot_).isNotNull(), F.xxhash64(*spread)).otherwise(0))
+    both = dealt.join(light, [*keys, salt_], "left").withColumn(hot_, F.coalesce(hot_, light_)).filter(F.col(hot_).isNotNull())
     return both.select(*[F.col(c) for c in df.columns], *[F.col(f"{hot_}.{v}").alias(v) for v in values])
 
 
