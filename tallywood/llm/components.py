@@ -10,34 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import drop_written, written
+from tallywood.llm.common import drop_written, join_hot, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Every vertex points its (larger or not larger) neighbours to the smallest vertex near it."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Every vertex points its (larger or not larger) neighbours to the smallest vertex near it.
+
+    Vertices with more than a thousandth of the `total` edges are met over all tasks.
+    """
     if large:
         near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        moved = join_hot(near.filter("b > a"), low.filter("n > 0"), ["a"], ["b"], total=total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = near.groupBy("a").agg(F.min("b").alias("m"))
-        moved = near.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        low = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = join_hot(near, low, ["a"], ["b"], total=total).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
     return moved.filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(v, component): the smallest vertex reachable, for every vertex of edges (a, b); a loop or null ends are no edge."""
     edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    digest = None
+    digest = (edges.count(), None)
     for _ in range(most):
-        step = written(_star(_star(edges, True), False), "edges")
-        drop_written(edges)
+        turned = written(_star(edges, True, digest[0]), "edges")
+        step = written(_star(turned, False, digest[0]), "edges")
+        drop_written(edges, turned)
         edges = step
-        seen = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if tuple(seen) == digest:
+        seen = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        if seen == digest:
             break
-        digest = tuple(seen)
+        digest = seen
     else:
         raise RuntimeError(f"components still changed after {most} rounds")
     roots = edges.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
