@@ -1,6 +1,6 @@
 """Embedding near-duplicates on a robust-pruned flat graph over overlapping shards.
 
-1. equal vectors collapse to a class (least vec_id, number of copies);
+1. equal vectors collapse to a class (a number, its least vec_id, number of copies);
 2. centroids come from k-means on a bounded sample; each class is at home in the nearest
    centroid's shard and a member of the next `overlap` ones too.  A cluster with more
    than `shard` classes is split by hash, and its vectors are searched in every part;
@@ -23,8 +23,8 @@
 
 Null or zero vectors and those with null or non-finite components link with nothing, as
 do vectors of other lengths with each other; a null vec_id has no links, component null
-and is kept.  Repeated rows are copies; rows that repeat a vec_id are one vertex.  Empty
-tables give no rows.
+and is kept.  Repeated rows are one vector; rows that repeat a vec_id with other vectors
+are one vertex, with the largest of their numbers of links.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.llm.common import shuffle_partitions, table, written
+from tallywood.llm.common import drop_written, join_hot, shuffle_partitions, table, written
 from tallywood.llm.components import components
 
 
@@ -396,7 +396,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     good = written(usable(vectors), "vectors")
-    classes = written(good.groupBy("dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("weight")), "classes")
+    named = good.groupBy("dim", "v").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("weight"), F.count("*").alias("n"))
+    named = written(named.withColumn("vec_id", F.monotonically_increasing_id()), "classes")  # a class has a number of its own, for rows may repeat a vec_id
+    classes = named.select("dim", "v", "vec_id", "weight")
     total = classes.count()
     dims = {r.dim: r["count"] for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()}
     centroids = {}
@@ -424,12 +426,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.1
     if dims:
         found = found.unionByName(far_links(placed, dims, held, threshold, shard))
     found = written(found, "links")
-    counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    linked = components(found.select("a", "b"))
-
-    members = good.join(classes.select("dim", "v", F.col("vec_id").alias("class"), "weight"), ["dim", "v"]).select("vec_id", "class", "weight")
-    members = members.join(counts, "class", "left").join(linked.withColumnRenamed("v", "class"), "class", "left")
-    each = members.groupBy("vec_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.min(F.coalesce("component", "class")).alias("c"))
+    members = written(join_hot(good, named.withColumnRenamed("vec_id", "class"), ["dim", "v"], ["vec_id"]).select("vec_id", "class").distinct(), "members")
+    drop_written(good, placed)
+    low = members.groupBy("vec_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("vec_id", "low")
+    several = members.join(low, "vec_id").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    linked = components(found.select("a", "b").unionByName(several))
+    counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
+    each = named.select(F.col("vec_id").alias("class"), "least", "weight").join(linked.withColumnRenamed("v", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = each.groupBy("component").agg(F.min("least").alias("c"), F.count("*").alias("n"))
+    each = join_hot(each, least, ["component"], ["class"]).join(counts, "class", "left")
+    each = each.select("class", "c", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n"))
+    each = join_hot(members, each, ["class"], ["vec_id"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("c").alias("c"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(each, "vec_id", "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
