@@ -272,8 +272,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, buckets:
     first = written(_verified(stars(held, 4 * block), texts, words, buckets, percent, slack), "links")
     names = classes.select(F.col("doc_id").alias("a"), "v")
     edges = first.join(names, "a").select(F.col("v").alias("x"), "b").join(names.select(F.col("a").alias("b"), F.col("v").alias("y")), "b")
-    linked = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    loose = components(held.filter("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")))
+    edges = edges.select(F.lit(True).alias("sure"), F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = edges.unionByName(held.filter("v <> low").select(F.lit(False).alias("sure"), F.col("v").alias("a"), F.col("low").alias("b")))
+    both = components(edges, graph="sure")
+    linked, loose = both.filter("sure").drop("sure"), both.filter("not sure").drop("sure")
     cost = held.filter("v = low").select("v", F.col("n")).join(loose, "v").groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
     dense = loose.groupBy("component").agg(F.count("*").alias("n")).join(cost, "component").withColumn("dense", F.col("n") * F.col("n") <= F.col("cost")).drop("cost")
     near = written(join_hot(loose, dense, ["component"], ["v"]).join(linked.withColumnRenamed("component", "root"), "v", "left").withColumn("root", F.coalesce("root", "v")), "near")

@@ -168,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (4500, 1500)
         p = float(y.mean()) if len(y) else 0.0
         return {"table": np.zeros(1 << bits, np.float32), "bias": 20.0 * (2 * p - 1), "bits": bits, "window": window}
     scores, bias = train(texts, y, **options)
+    del texts
+    release()  # the driver lives on
     return {"table": scores, "bias": bias, "bits": bits, "window": window}
 
 
