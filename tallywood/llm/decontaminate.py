@@ -13,7 +13,8 @@ runs of `words` words, each weighted by how often it occurs.  Steps:
 3. multi-index: the fingerprints are cut in `blocks` blocks; two within `radius`
    = blocks * (flips + 1) - 1 bits differ in at most `flips` bits of one block.  The items'
    blocks are entered with all patterns of up to `flips` bits turned, so an equi-join on a
-   block finds every pair within the radius, and few others; those beyond it go;
+   block finds every pair within the radius, and few others; those beyond it go.  The
+   entries grow with the items, so they are joined by a shuffle and never broadcast;
 4. candidates are verified by exact weighted-shingle similarity, sum of minima over sum
    of maxima, at least `similarity`.
 
@@ -128,7 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, similarity:
     windows = wanted.select("key", "sh", F.explode("spans").alias("span")).select("key", "sh", F.col("span.nw").alias("nw"), F.col("span.m").alias("m"), F.explode("span.starts").alias("start"))
     left = with_blocks(fingerprint(windows.select("key", "nw", "start", F.expr("slice(sh, start + 1, m)").alias("sh")), ["key", "nw", "start"], "sh"), blocks)
     right = with_blocks(fingerprint(items, ["item_id", "nw"], "sh"), blocks, flips).withColumnRenamed("fp", "item_fp")
-    close = left.join(right, ["nw", "block", "value"]).filter(f"bit_count(fp ^ item_fp) <= {blocks * (flips + 1) - 1}").select("key", "nw", "start", "item_id").distinct()
+    close = left.join(right.hint("merge"), ["nw", "block", "value"]).filter(f"bit_count(fp ^ item_fp) <= {blocks * (flips + 1) - 1}").select("key", "nw", "start", "item_id").distinct()
 
     listed = close.groupBy("key").agg(F.collect_list(F.struct("nw", "start", "item_id")).alias("c"))
     pairs = wanted.select("key", "doc_id", "sh").join(listed, "key").select("key", "doc_id", "sh", F.explode("c").alias("c")).select("key", "doc_id", "c.*", F.expr(f"slice(sh, c.start + 1, c.nw - {words - 1})").alias("sh"))
