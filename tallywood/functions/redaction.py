@@ -120,7 +120,30 @@ def clean_url(value: str) -> str:
         else:
             out.append((k, v))
     query = "&".join(f"{quote_plus(k, safe='*-._')}={quote_plus(v, safe='*-._')}" for k, v in out)
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower() if "@" not in parts.netloc else parts.netloc, parts.path or "/", query, parts.fragment))
+    scheme = parts.scheme.lower()
+    if scheme not in DEFAULT_PORT:  # other schemes keep host and path as they are
+        return urlunsplit((scheme, parts.netloc, parts.path, query, parts.fragment))
+    user, at, host = parts.netloc.rpartition("@")
+    host = host.lower().removesuffix(f":{DEFAULT_PORT[scheme]}")
+    return urlunsplit((scheme, user + at + host, without_dots(parts.path), query, parts.fragment))
+
+
+#: Schemes whose urls have a canonical form, with the port that goes without saying.
+DEFAULT_PORT = {"http": 80, "https": 443, "ftp": 21}
+
+
+def without_dots(path: str) -> str:
+    """The path with `.` and `..` segments resolved."""
+    out, parts = [], path.split("/")[1:] or [""]
+    for k, part in enumerate(parts):
+        low = part.lower().replace("%2e", ".")
+        if low == "..":
+            out = out[:-1]
+        if low not in (".", ".."):
+            out.append(part)
+        elif k == len(parts) - 1:
+            out.append("")
+    return "/" + "/".join(out)
 
 
 def redact_text(text: str) -> tuple[str, dict[str, int]]:

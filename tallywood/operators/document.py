@@ -128,9 +128,10 @@ def quote_matches(excerpt: str, quote: str) -> bool:
 
 
 def non_latin(text: str) -> bool:
-    import unicodedata
+    """Whether there is a letter of another script than Latin."""
+    import regex
 
-    return any(c.isalpha() and not unicodedata.name(c, "").startswith(("LATIN", "FEMININE ORDINAL", "MASCULINE ORDINAL")) for c in text)
+    return regex.search(r"[\p{L}--\p{Script=Latin}]", text, flags=regex.V1) is not None
 
 
 def cells(row: str) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywood.functions.textrules import js_trim
+from tallywood.sources.staging import staged
 
 KEY = ["source", "session"]
 
@@ -45,8 +46,16 @@ def counts(messages: DataFrame) -> DataFrame:
 
 
 def order(sessions: DataFrame, by: str = "first_ordinal") -> DataFrame:
-    """session_order, from 0, within each source by first touch."""
-    return sessions.withColumn("session_order", (F.row_number().over(Window.partitionBy("source").orderBy(by, "session")) - 1).cast("long"))
+    """session_order, from 0, within each source by first touch.
+
+    Sorted ranges are numbered apart and start after those before them, so no source is one task.
+    """
+    ranged = staged(sessions.repartitionByRange("source", by, "session").withColumn("_range", F.spark_partition_id()), "ordered")
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("source", "_range").agg(F.count("*").alias("n")).select("source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy(by, "session"))
+    numbered = ranged.withColumn("_row", inside).join(F.broadcast(starts), ["source", "_range"])  # a row for each source and range
+    return numbered.withColumn("session_order", (F.col("_start") + F.col("_row") - 1).cast("long")).select(*sessions.columns, "session_order")
 
 
 def neighbours(messages: DataFrame) -> DataFrame:

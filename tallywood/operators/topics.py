@@ -38,12 +38,19 @@ def is_clean(text: pd.Series) -> pd.Series:
 
 
 def first_segments(user: DataFrame, text: str = "text") -> DataFrame:
-    """evidence of each session: its first three messages that aren't empty, up to 600 code points each."""
+    """evidence of each session: its first three messages that aren't empty, up to 600 code points each, trimmed after the cut."""
     r = user.filter(F.col(text) != "").withColumn("_r", F.row_number().over(Window.partitionBy("source", "session").orderBy("ordinal"))).filter(F.col("_r") <= SEGMENTS)
-    got = r.groupBy("source", "session").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.substring(text, 1, POINTS).alias("t")))).alias("e"))
+    cut = F.regexp_replace(F.substring(text, 1, POINTS), f"[{SPACE}]+\\z", "")
+    got = r.groupBy("source", "session").agg(F.array_sort(F.collect_list(F.struct("ordinal", cut.alias("t")))).alias("e"))
     return got.select("source", "session", F.expr("transform(e, x -> x.t)").alias("evidence"))
 
 
+def padded(number: str, width: int):
+    """A number with zeros before it up to `width` digits; a longer one stays whole."""
+    digits = F.col(number).cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def topic_counts(labels: DataFrame) -> DataFrame:
     """n and share in per cent of every topic of the taxonomy, zeros included."""
     spark = labels.sparkSession
@@ -78,20 +85,22 @@ def create_review(sessions: DataFrame, user_messages: DataFrame, nonce: str) ->
     base = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))]) if starts else F.create_map(F.lit(0), F.lit(0))
     out = sessions.join(seen, ["source", "session"], "left").withColumn("pos", (base[F.col("source_order")] + F.col("session_order") + 1).cast("long"))
     return out.select(
-        "pos", F.concat(F.lit(f"topic-{prefix}-"), F.lpad(F.col("pos").cast("string"), 6, "0")).alias("evidence_ref"), "source", "session",
+        "pos", F.concat(F.lit(f"topic-{prefix}-"), padded("pos", 6)).alias("evidence_ref"), "source", "session",
         F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),
         is_clean(F.array_join("evidence", "\n")).alias("clean"), F.lit(None).cast("string").alias("primary_topic"),
     )
 
 
 def population_sha256(members: DataFrame, nonce: str) -> str:
-    """Hash over the nonce and the sorted members (source, session): the digests of sorted parts, so no list is kept whole."""
+    """Hash over the JSON {"nonce", "members"} with the sorted members (source, session), streamed: no list is kept whole."""
     import hashlib
+    import json
 
     ordered = members.select(F.concat_ws("\x00", "source", F.col("session").cast("string")).alias("m")).orderBy(F.expr("m COLLATE UNICODE"))
-    digest = hashlib.sha256(nonce.encode())
-    for row in ordered.toLocalIterator():
-        digest.update(b"\x00" + row.m.encode())
+    digest = hashlib.sha256(f'{{"nonce":{json.dumps(nonce)},"members":['.encode())
+    for k, row in enumerate(ordered.toLocalIterator()):
+        digest.update(("," * (k > 0) + json.dumps(row.m, ensure_ascii=False)).encode("utf-8", "surrogatepass"))
+    digest.update(b"]}")
     return digest.hexdigest()
 
 

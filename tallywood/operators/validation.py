@@ -8,10 +8,12 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Names of the metrics in facts documents.
 ADDITIVE = (
     "fileCount", "totalBytes", "sessionCount", "messageCount", "userMessageCount", "assistantMessageCount", "turnCount", "toolCallCount",
     "parsedRecordCount", "recognizedRecordCount", "malformedRecordCount", "skippedFileCount", "unsupportedFileCount", "tokenArithmeticMismatchCount",
 )
+METRIC_KEYS = {*ADDITIVE, "activeDays", "activeMonths", "inputTokens", "outputTokens", "totalTokens", "earliestAt", "latestAt", "tokenCoverage", "turnsPerSession", "toolCallsPerSession", "tokensPerSession"}
 COVERAGE = ("sessionCount", "sessionsWithInputTokens", "sessionsWithOutputTokens", "sessionsWithTotalTokens")
 TOKENS = ("inputTokens", "outputTokens", "totalTokens")
 
@@ -62,7 +64,8 @@ def distribution_problems(d, path: str, size: int, total: int | None = None) ->
 
 def metric_problems(m: dict, path: str) -> list[str]:
     """Broken rules of one metric set."""
-    out = [f"{path}.{k}: not a whole number" for k in (*ADDITIVE, "activeDays", "activeMonths") if not _whole(m.get(k))]
+    out = [f"{path}: unknown keys"] if not set(m) <= METRIC_KEYS else []
+    out += [f"{path}.{k}: not a whole number" for k in (*ADDITIVE, "activeDays", "activeMonths") if not _whole(m.get(k))]
     if out:
         return out
     def need(ok, what):
@@ -97,6 +100,13 @@ def metric_problems(m: dict, path: str) -> list[str]:
     return out
 
 
+# The keys of facts documents and what their parts may say.
+CANDIDATE_KEYS = {"evidenceRef", "source", "startedAt", "endedAt", "models", "sessionType", "messageCount", "userTurns", "toolCalls", "inputTokens", "outputTokens", "totalTokens", "excerpts"}
+EXCERPT_KEYS = {"role", "position", "text"}
+ROLES, POSITIONS, SOURCES = {"user", "assistant"}, {"opening", "middle", "closing"}, {"codex", "claude_code"}
+MOST_CANDIDATES, MOST_EXCERPTS, EXCERPT_POINTS = 8, 5, 280
+METHOD, TAXONOMY = "agent_semantic_review_v1", "primary-topic-v1"
+CLASSIFICATION_KEYS = {"method", "taxonomyVersion", "populationSha256", "denominator", "reviewedSessionCount", "assignments", "counts"}
 ROOT_KEYS = {"formatVersion", "generatedAt", "overall", "bySource", "representativeCandidates", "topicReview", "topicClassification"}
 REVIEW_KEYS = {"formatVersion", "generatedAt", "populationSha256", "sessionCount", "sessions"}
 REVIEW_ROW_KEYS = {"evidenceRef", "source", "userEvidence", "technicalSignals", "primaryTopic"}
@@ -117,6 +127,10 @@ def binding_problems(b: dict, sessions: int) -> list[str]:
         return ["topicReview: unknown or missing keys"]
     refs = b["evidenceRefs"]
     out = [] if _sha(b["populationSha256"]) else ["topicReview: no hash"]
+    if b["formatVersion"] != "topic-review.v1":
+        out.append("topicReview: another format")
+    if any(re.fullmatch("topic-[0-9a-f]{12}-[0-9]{6,}", str(r)) is None for r in refs):
+        out.append("topicReview: a reference of another form")
     if b["sessionCount"] != sessions or len(refs) != sessions:
         out.append("topicReview: another session count")
     if len(set(refs)) < len(refs):
@@ -143,9 +157,13 @@ def classification_problems(c: dict, b: dict, by_source: dict) -> list[str]:
     """Broken rules of a topic classification: order, hash, denominator and counts that follow from its assignments."""
     from tallywood.operators.topics import TOPICS
 
+    if set(c) != CLASSIFICATION_KEYS:
+        return ["topicClassification: unknown or missing keys"]
     given = c["assignments"]
     counts = {t: sum(a["primaryTopic"] == t for a in given) for t in TOPICS}
-    out = []
+    out = [] if (c["method"], c["taxonomyVersion"]) == (METHOD, TAXONOMY) else ["topicClassification: another method or taxonomy"]
+    if any(set(a) != {"evidenceRef", "source", "primaryTopic"} for a in given):
+        out.append("topicClassification: an assignment with unknown or missing keys")
     if [a["evidenceRef"] for a in given] != b["evidenceRefs"] or c["populationSha256"] != b["populationSha256"]:
         out.append("topicClassification: other sessions than the review's")
     if c["denominator"] != len(given) or c["reviewedSessionCount"] != len(given) or c["counts"] != counts:
@@ -158,11 +176,16 @@ def classification_problems(c: dict, b: dict, by_source: dict) -> list[str]:
 def facts_problems(facts: dict) -> list[str]:
     """Broken rules of a facts document: its sets, that the whole is the sum of the sources, and its candidates."""
     from tallywood.functions.excerpts import normalized
+    from tallywood.operators.samples import safe_models
 
     parts = facts.get("bySource") or {}
     out = [] if parts else ["no sources"]
     if not set(facts) <= ROOT_KEYS:
         out.append("unknown keys")
+    if facts.get("formatVersion") != "facts.v1":
+        out.append("another format")
+    if not set(parts) <= SOURCES:
+        out.append("unsupported source")
     if not _iso(facts.get("generatedAt")):
         out.append("no time")
     for name, m in {"overall": facts.get("overall") or {}, **parts}.items():
@@ -188,8 +211,21 @@ def facts_problems(facts: dict) -> list[str]:
         out += binding_problems(bound, whole["sessionCount"])
     if (done := facts.get("topicClassification")) is not None:
         out += ["topicClassification without a review"] if bound is None else classification_problems(done, bound, parts)
+    if len(facts.get("representativeCandidates") or ()) > MOST_CANDIDATES:
+        out.append("too many candidates")
     for n, c in enumerate(facts.get("representativeCandidates") or (), 1):
         at = f"candidate {n}"
+        if not set(c) <= CANDIDATE_KEYS or any(not set(e) == EXCERPT_KEYS for e in c.get("excerpts") or ()):
+            out.append(f"{at}: unknown or missing keys")
+            continue
+        if c.get("startedAt") and c.get("endedAt") and c["startedAt"] > c["endedAt"]:
+            out.append(f"{at}: ends before it starts")
+        if c["userTurns"] > c["messageCount"]:
+            out.append(f"{at}: more turns than messages")
+        if c.get("models") is not None and (safe_models(c["models"]) or []) != list(c["models"]):
+            out.append(f"{at}: an unsafe model name")
+        if any(e["role"] not in ROLES or e["position"] not in POSITIONS or len(e["text"]) > EXCERPT_POINTS for e in c.get("excerpts") or ()):
+            out.append(f"{at}: an excerpt's role, position or length")
         if c.get("evidenceRef") != f"candidate-{n:02d}":
             out.append(f"{at}: reference out of sequence")
         m = parts.get(c.get("source"))
@@ -202,7 +238,7 @@ def facts_problems(facts: dict) -> list[str]:
         if c.get("totalTokens") is not None and c["totalTokens"] != (c.get("inputTokens") or 0) + (c.get("outputTokens") or 0):
             out.append(f"{at}: tokens don't add up")
         texts = c.get("excerpts") or ()
-        if not 1 <= len(texts) <= 5 or not any(e["role"] == "user" for e in texts):
+        if not 1 <= len(texts) <= MOST_EXCERPTS or not any(e["role"] == "user" for e in texts):
             out.append(f"{at}: bad number of excerpts")
         if any(normalized(e["text"]) != e["text"] for e in texts):
             out.append(f"{at}: an excerpt isn't normalized")

@@ -84,21 +84,20 @@ def activity_range(spark, sf):
 
 
 def usage_rows(spark, sf):
-    """Events as usage records: purchases report running totals, clicks increments, other types only a part."""
+    """Events as usage records, increments and, of three users in four, running totals; fields are missing here and there."""
     e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.select(
         "user_id",
-        (F.col("event_id") % 7 == 0).alias("cumulative"),
+        ((F.col("event_id") % 7 == 0) & (F.col("user_id") % 4 != 0)).alias("cumulative"),
         F.when(F.col("event_id") % 3 != 0, F.col("k")).alias("input"),
         F.when(F.col("event_id") % 5 != 0, F.col("k") + 1).alias("output"),
         F.when(F.col("event_id") % 2 == 0, 2 * F.col("k") + 1).alias("total"),
-    ).filter("user_id % 4 <> 0 or not cumulative")
+    )
 
 
 U = """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-r AS (SELECT user_id, event_id % 7 = 0 AS cumulative, CASE WHEN event_id % 3 <> 0 THEN k END AS input,
-  CASE WHEN event_id % 5 <> 0 THEN k + 1 END AS output, CASE WHEN event_id % 2 = 0 THEN 2 * k + 1 END AS total FROM e
-  WHERE user_id % 4 <> 0 OR event_id % 7 <> 0),
+r AS (SELECT user_id, event_id % 7 = 0 AND user_id % 4 <> 0 AS cumulative, CASE WHEN event_id % 3 <> 0 THEN k END AS input,
+  CASE WHEN event_id % 5 <> 0 THEN k + 1 END AS output, CASE WHEN event_id % 2 = 0 THEN 2 * k + 1 END AS total FROM e),
 u AS (SELECT user_id,
   coalesce(max(input) FILTER (cumulative), sum(input) FILTER (NOT cumulative))::BIGINT AS input,
   coalesce(max(output) FILTER (cumulative), sum(output) FILTER (NOT cumulative))::BIGINT AS output,
@@ -187,14 +186,97 @@ def session_order(spark, sf):
     return sessions.order(sessions.counts(messages(spark, sf))).select("source", "session", "user_count", "session_order")
 
 
-@query(M + """, e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS r FROM m WHERE role = 'user')
-SELECT source, session, list(substr(text, 1, 600) ORDER BY ordinal) AS evidence FROM e WHERE r <= 3 GROUP BY source, session""")
+@query(M + r""", e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS r FROM m WHERE role = 'user')
+SELECT source, session, list(regexp_replace(substr(text, 1, 600), '\s+$', '') ORDER BY ordinal) AS evidence FROM e WHERE r <= 3 GROUP BY source, session""")
 def evidence_first_three(spark, sf):
     from tallywood.operators.topics import first_segments
 
     return first_segments(messages(spark, sf).filter(sessions.is_user()))
 
 
+def records_a(spark, sf):
+    """Conversations as records of dialect A: every third turn is an event, some others are of an unknown type."""
+    c = table(spark, sf, "conversations")
+    at, sid = (F.lit(1_700_000_000) + F.col("turn")).alias("timestamp"), F.concat(F.lit("c-"), "conv_id").alias("session_id")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    content = F.array(part("input_text", F.col("text")), part("image", F.lit("x")))
+    item = F.struct(F.when(F.col("conv_id") % 7 == 3, "turn_context").otherwise("response_item").alias("type"), at, sid, F.struct(F.lit("message").alias("type"), "role", content.alias("content")).alias("payload"))
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("token_count")
+    used = F.struct(F.struct((F.col("turn") * 10).alias("input_tokens"), F.lit(2).alias("output_tokens")).alias("total_token_usage"))
+    event = F.struct(F.lit("event_msg").alias("type"), at, sid, F.struct(kind.alias("type"), F.col("text").alias("message"), used.alias("info")).alias("payload"))
+    v = F.when(F.col("turn") % 3 == 0, F.to_variant_object(event)).otherwise(F.to_variant_object(item))
+    return c.select(F.lit("codex").alias("source"), F.lit("a.jsonl").alias("path"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), v.alias("v"))
+
+
+@query(r"""WITH r AS (SELECT conv_id * 1000 + turn AS ordinal, 'c-' || conv_id AS explicit, turn, text, turn % 3 = 0 AS is_fallback,
+    CASE WHEN turn % 3 <> 0 OR role IN ('user', 'assistant') THEN role END AS role, turn % 3 = 0 AND role NOT IN ('user', 'assistant') AS counted
+  FROM conversations WHERE turn % 3 = 0 OR conv_id % 7 <> 3),
+t AS (SELECT *, CASE WHEN role IS NULL THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS said FROM r),
+m AS (SELECT *, coalesce(role IN ('user', 'assistant') AND said <> '', false) AS message FROM t)
+SELECT ordinal, explicit, (1700000000 + turn) * 1000 AS ts, role, said AS text, message, is_fallback, CASE WHEN counted THEN turn * 10 END::DOUBLE AS input, CASE WHEN counted THEN 2 END::DOUBLE AS output,
+  message OR counted AS recognized FROM m""")
+def dialect_a_records(spark, sf):
+    from tallywood.operators.records import dialect_a
+
+    r = dialect_a(records_a(spark, sf))
+    return r.select("ordinal", "explicit", "ts", "role", "text", "message", "is_fallback", F.expr("get(usages, 0).input").alias("input"), F.expr("get(usages, 0).output").alias("output"), "recognized")
+
+
+def records_b(spark, sf):
+    """Conversations as records of dialect B: system turns are summaries, every fifth conversation is a side chain."""
+    c = table(spark, sf, "conversations")
+    tool = F.when(F.col("turn") % 2 == 1, "tool_use").otherwise("thinking")
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(tool.alias("type"), F.lit("hidden").alias("text")))
+    used = F.struct((F.col("turn") + 1).alias("input_tokens"), F.lit(2).alias("output_tokens"))
+    message = F.struct("role", F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), used.alias("usage"), content.alias("content"))
+    kind = F.when(F.col("role") == "system", "summary").otherwise(F.col("role"))
+    whole = F.struct(kind.alias("type"), F.concat(F.lit("c-"), "conv_id").alias("sessionId"), (F.col("conv_id") % 5 == 0).alias("isSidechain"), (F.lit(1_700_000_000_000) + F.col("turn") * 1000).alias("timestamp"), message.alias("message"))
+    return c.select(F.lit("claude_code").alias("source"), F.lit("b.jsonl").alias("path"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.to_variant_object(whole).alias("v"))
+
+
+B = r"""WITH r AS (SELECT conv_id * 1000 + turn AS ordinal, 'c-' || conv_id AS explicit, 1700000000000 + turn * 1000 AS ts, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text,
+  (role = 'assistant' AND turn % 2 = 1)::INT AS tools, 'm' || (conv_id % 3) AS model, turn + 1 AS input, 2 AS output FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 5 <> 0)"""
+
+
+@query(B + " SELECT ordinal, explicit, ts, role, text, tools, model, input::DOUBLE AS input, output::DOUBLE AS output, text <> '' AS message, true AS recognized FROM r")
+def dialect_b_records(spark, sf):
+    from tallywood.operators.records import dialect_b
+
+    r = dialect_b(records_b(spark, sf))
+    return r.select("ordinal", "explicit", "ts", "role", "text", "tools", F.array_join("models", ",").alias("model"), F.expr("usages[0].input").alias("input"), F.expr("usages[0].output").alias("output"), "message", "recognized")
+
+
+S = B + r""", s AS (SELECT explicit AS session, count(*) FILTER (text <> '') AS message_count, count(*) FILTER (text <> '' AND role = 'user') AS user_count, sum(tools)::BIGINT AS tool_count,
+  CASE WHEN count(*) < 2 THEN 0 ELSE max(ts) - min(ts) END AS elapsed, strftime(make_timestamp(min(ts) * 1000), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS started_at, any_value(model) AS models,
+  sum(input)::DOUBLE AS input, sum(output)::DOUBLE AS output, min(ordinal) AS first_ordinal FROM r GROUP BY explicit HAVING count(*) FILTER (text <> '' AND role = 'user') > 0)"""
+
+
+def session_table(spark, sf):
+    from tallywood.operators import facts
+
+    rows = staged(facts.normalized(records_b(spark, sf)), "rows")
+    return rows, facts.session_rows(rows, facts.message_rows(rows), ["codex", "claude_code"])
+
+
+@query(S + " SELECT *, row_number() OVER (ORDER BY first_ordinal) - 1 AS session_order FROM s")
+def session_facts(spark, sf):
+    found = session_table(spark, sf)[1]
+    return found.select("session", "message_count", "user_count", "tool_count", "elapsed", "started_at", F.array_join("models", ",").alias("models"), "input", "output", "first_ordinal", "session_order")
+
+
+@query(S + """ SELECT 'claude_code' AS source, count(*) AS sessions, sum(message_count)::BIGINT AS messages, sum(user_count)::BIGINT AS turns, sum(tool_count)::BIGINT AS tools, sum(input)::BIGINT AS input_tokens,
+  (sum(input) + sum(output))::BIGINT AS total_tokens, quantile_disc(user_count, 0.95)::BIGINT AS turns_p95, (SELECT count(*) FROM conversations) AS parsed, (SELECT count(*) FROM r) AS recognized FROM s""")
+def metric_set_document(spark, sf):
+    from tallywood.operators import facts
+
+    raw = records_b(spark, sf)
+    rows, found = session_table(spark, sf)
+    files = raw.select("source", "path").distinct().withColumn("bytes", F.lit(1))
+    m = facts.metric_sets(files, raw, rows, staged(found, "sessions"), {})["claude_code"]
+    row = ("claude_code", m["sessionCount"], m["messageCount"], m["turnCount"], m["toolCallCount"], m["inputTokens"], m["totalTokens"], m["turnsPerSession"]["p95"], m["parsedRecordCount"], m["recognizedRecordCount"])
+    return spark.createDataFrame([row], "source string, sessions long, messages long, turns long, tools long, input_tokens long, total_tokens long, turns_p95 long, parsed long, recognized long")
+
+
 @query(C + """ SELECT source, session, (least(user_count, 20) * 3 + least(assistant_count, 20) * 2 + least(session % 5, 20))::BIGINT AS score,
   CASE WHEN session % 5 > 0 THEN 'agentic' ELSE 'conversation' END AS kind FROM c""")
 def activity_score(spark, sf):
@@ -232,7 +314,7 @@ SELECT source, session, pick, 'candidate-' || lpad(pick::VARCHAR, 2, '0') AS evi
 
 @query(RATED)
 def representative_top8(spark, sf):
-    few = [r.asDict() for r in sessions.shortlist(staged(rated(spark, sf), "rated")).limit(64).collect()]  # 8 of each measure and one a source at most
+    few = [r.asDict() for r in sessions.shortlist(staged(rated(spark, sf), "rated")).collect()]  # 8 of each measure and one a source at most
     rows = [(r["source"], r["session"], k, f"candidate-{k:02d}") for k, r in enumerate(sessions.greedy_pick(few), 1)]
     return spark.createDataFrame(rows, "source string, session long, pick long, evidence_ref string")
 

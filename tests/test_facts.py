@@ -139,3 +139,39 @@ def test_files(spark, tmp_path):
     lines(d / "z.jsonl", {"type": "system"})
     with pytest.raises(facts.EmptySource):
         facts.facts(spark, [SourceInput("claude_code", p)], NOW)
+
+
+def test_evidence_is_trimmed_after_the_cut(spark):
+    from tallywood.operators.topics import first_segments
+
+    text = "a" * 599 + " b" + "c" * 50
+    got = first_segments(spark.createDataFrame([("s", "x", 1, text)], "source string, session string, ordinal long, text string")).first()
+    assert got.evidence == ["a" * 599]
+
+
+def test_references_stay_whole(spark):
+    from tallywood.operators.topics import padded
+
+    rows = spark.createDataFrame([(7,), (1234567,)], "pos long").select(padded("pos", 6).alias("r")).collect()
+    assert [r.r for r in rows] == ["000007", "1234567"]
+
+
+def test_population_hash_is_over_json(spark):
+    import hashlib
+    import json
+
+    from tallywood.operators.topics import population_sha256
+
+    members = spark.createDataFrame([("b", "2"), ("a", "x\"y")], "source string, session string")
+    said = json.dumps({"nonce": "n", "members": ["a\x00x\"y", "b\x002"]}, separators=(",", ":"), ensure_ascii=False)
+    assert population_sha256(members, "n") == hashlib.sha256(said.encode()).hexdigest()
+    assert population_sha256(members.limit(0), "n") == hashlib.sha256(b'{"nonce":"n","members":[]}').hexdigest()
+
+
+def test_order_numbers_each_source(spark):
+    from tallywood.operators.sessions import order
+
+    rows = [("a", f"s{i:03d}", (i * 37) % 101) for i in range(101)] + [("b", "t", 5)]
+    got = order(spark.createDataFrame(rows, "source string, session string, first_ordinal long")).collect()
+    want = {("b", "t"): 0} | {(s, k): n for n, (s, k, _) in enumerate(sorted((r for r in rows if r[0] == "a"), key=lambda r: r[2]))}
+    assert {(r.source, r.session): r.session_order for r in got} == want

@@ -83,3 +83,28 @@ def test_shortlist_equals_full_greedy(spark):
         df = spark.createDataFrame(rows, "source string, session long, activity long, user_count long, elapsed long, tool_count long, source_order long, session_order long")
         short = sessions.greedy_pick([r.asDict() for r in sessions.shortlist(df).collect()])
         assert short == sessions.greedy_pick([r.asDict() for r in df.collect()])
+
+
+def test_urls_take_their_canonical_form():
+    from tallywood.functions.redaction import clean_url
+
+    assert clean_url("HTTPS://Me:pw@Example.COM:443/a/./b/../c?token=1&x=2") == "https://Me:pw@example.com/a/c?token=%5BREDACTED%5D&x=2"
+    assert clean_url("http://example.com:8080?token=1") == "http://example.com:8080/?token=%5BREDACTED%5D"
+    assert clean_url("s3://Bucket?token=1") == "s3://Bucket?token=%5BREDACTED%5D"
+    assert clean_url("https://Example.com:443/?x=1") == "https://Example.com:443/?x=1"
+
+
+def test_non_latin_goes_by_script():
+    from tallywood.operators.document import non_latin
+
+    assert not non_latin("ʰ ａｂｃ naïve ª º 12 é")
+    assert non_latin("abc д") and non_latin("字") and non_latin("λ")
+
+
+def test_facts_have_closed_keys():
+    from tallywood.operators.validation import facts_problems, metric_problems
+
+    assert "unknown keys" in facts_problems({"more": 1, "bySource": {"codex": {}}})
+    assert "another format" in facts_problems({"bySource": {"codex": {}}})
+    assert "unsupported source" in facts_problems({"bySource": {"other": {}}})
+    assert metric_problems({"more": 1}, "x")[0] == "x: unknown keys"
