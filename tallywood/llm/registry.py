@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urls.OP3_SQL, "op7_chat_format": chat.OP7_SQL}
+    return {"op2_minhash_near_dedup": neardup.OP2_SQL, "op10_substring_dedup": substrings.OP10_SQL, "op3_url_filters": urls.OP3_SQL, "op7_chat_format": chat.OP7_SQL}

@@ -319,3 +319,16 @@ def remove_reference(docs: DataFrame, reference: list[str], length: int = 35, mo
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicate(docs, keep_text=False).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
+#: By brute force: every window as text.
+OP10_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+again AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+cover AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM s WHERE k IN (SELECT k FROM again)),
+gone AS (SELECT r, count(*) AS n FROM cover GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) ANTI JOIN cover USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
