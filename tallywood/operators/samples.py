@@ -20,7 +20,7 @@ def excerpts(messages: DataFrame) -> DataFrame:
     Texts are normalized once, before the windows, and only chosen ones are carried on.
     """
     clean = messages.withColumn("clean", normalize("text"))
-    plan = clean.select("source", "session", "role", "ordinal", "clean")
+    plan = staged(clean.select("source", "session", "role", "ordinal", "clean"), "clean")  # read three times
     ends = plan.filter(S.is_user()).groupBy(*S.KEY).agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
     after = S.assistant_after(plan)
     replies = after.join(ends, S.KEY).groupBy(*S.KEY).agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.max(F.when(F.col("ordinal") == F.col("lo"), F.col("reply"))).alias("first_reply"), F.max(F.when(F.col("ordinal") == F.col("hi"), F.col("reply"))).alias("last_reply"))
