@@ -88,9 +88,12 @@ def read_back(formatted: str, t: Template = TEMPLATE) -> list[tuple[str, str]]:
     turns, k, n = [], 0, len(formatted)
 
     def until(stop: str, at: int) -> int:
-        while not formatted.startswith(stop, at):
-            at += 2 if formatted[at] == t.escape else 1
-        return at
+        end = formatted.index(stop, at)
+        while (found := formatted.find(t.escape, at, end)) >= 0:
+            at = found + 2  # what is escaped can't begin a mark
+            if at > end:
+                end = formatted.index(stop, at)
+        return end
 
     while k < n:
         for mark, role in marks.items():

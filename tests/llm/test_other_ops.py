@@ -139,3 +139,16 @@ def test_bitmap_filters(spark):
     left = [r.id for r in without(df, ids, "id", 8).collect()]
     assert sorted(x for x in left if x is not None) == [i for i in range(500) if i % 7] and None in left
     assert without(df, ids.limit(0), "id").count() == 501
+
+
+def test_chat_reader_finds_the_marks_among_escapes():
+    import random
+
+    from tallywood.llm.chat import read_back, render
+
+    rng = random.Random(5)
+    bits = ["\\", "<", "[", "/", ">", "|", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<|role|>", "<|text|>", "a", " ", "\n", "é", ""]
+    said = lambda n: "".join(rng.choice(bits) for _ in range(n))
+    for n in [*range(8)] * 200 + [200_000]:
+        turns = [(rng.choice(["system", "user", "assistant", "tool", "<|x", "", "\\"]), said(n)) for _ in range(3)]
+        assert read_back("".join(s for s, _ in render(*map(list, zip(*turns)))[0])) == turns
