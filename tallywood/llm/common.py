@@ -109,6 +109,12 @@ def may_be(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> tuple[
     return marked.filter(may).drop(*drop), marked.filter(~F.coalesce(may, F.lit(False))).drop(*drop)
 
 
+def may_be_column(df: DataFrame, ids: DataFrame, column: str, flag: str, bits: int = 22) -> DataFrame:
+    """df with a column `flag` that is false only for rows that surely aren't among ids."""
+    marked, may, drop = _marked(df, ids, column, bits)
+    return marked.withColumn(flag, F.coalesce(may, F.lit(False))).drop(*drop)
+
+
 def without(df: DataFrame, ids: DataFrame, column: str, bits: int = 22) -> DataFrame:
     """The rows of df whose `column` isn't among ids; only rows that the bitmap can't clear are shuffled."""
     near, clear = may_be(df, ids, column, bits)
