@@ -1,20 +1,20 @@
 """Vectorised text kernels shared by the operators: whole Arrow batches, no per-word Python.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, so UTF-8 needs no
-decoding.  A word's hash is a polynomial over its bytes modulo 2**64, passed through a
-64-bit finaliser; windows of words use the same polynomial over word hashes.
+decoding.  A word's hash is 64 bits of its BLAKE2b digest.  `window_hashes`, a polynomial
+over word hashes, only picks anchors; what decides uses `shingle_hashes` with a comparison of
+words, or `span_names`, a digest of the words themselves.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
 CHUNK = 1 << 20
 
@@ -49,9 +49,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(_BASE))
-
-
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -89,52 +86,67 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one blank after each, and where each word starts there (n+1 entries)."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1], 0x20, dtype=np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(word))
+    out[nth + word] = data[nth - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)]
+    return out, at
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, equal for equal words in every batch."""
-    if not len(starts):
-        return np.zeros(0, U)
-    if starts[0] or ends[-1] - starts[0] > CHUNK:  # in parts, so that scratch arrays stay small whatever the text's length
-        out = np.empty(len(starts), dtype=U)
-        lo = 0
-        while lo < len(starts):
-            a = starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(ends, a + CHUNK, side="right")))
-            out[lo:hi] = word_hashes(data[a : ends[hi - 1]], starts[lo:hi] - a, ends[lo:hi] - a, lower) if hi - lo > 1 or ends[lo] - a <= CHUNK else _long_word(data[a : ends[lo]], lower)
-            lo = hi
-        return out
-    table = _BYTES[LOWER] if lower else _BYTES
-    total = np.empty(len(data) + 1, dtype=U)
-    total[0] = 0
-    np.cumsum(table[data] * powers(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INV, len(data))[starts]
-    return mix(h + (ends - starts).astype(U))
+    """64 bits of the BLAKE2b digest of each word and a blank, equal for equal words in every batch; each distinct word is hashed once."""
+    out = np.empty(len(starts), dtype=U)
+    lo = 0
+    while lo < len(starts):  # in parts, so that scratch arrays stay small whatever the text's length
+        a = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, a + CHUNK, side="right")))
+        part = LOWER[data[a : ends[hi - 1]]] if lower else data[a : ends[hi - 1]]
+        text, at = joined_words(part, starts[lo:hi] - a, ends[lo:hi] - a)
+        words = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at), pa.py_buffer(text)]).dictionary_encode()
+        digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()])
+        out[lo:hi] = np.frombuffer(digests, dtype="<u8")[words.indices.to_numpy()]
+        lo = hi
+    return out
+
+
+def span_names(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit BLAKE2b digest, as two longs, of each span of bytes."""
+    view, blake = memoryview(text), hashlib.blake2b
+    digests = b"".join([blake(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
+    both = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-def _long_word(data: np.ndarray, lower: bool) -> np.uint64:
-    """The hash of one word longer than CHUNK, its polynomial summed in parts."""
-    table, h = _BYTES[LOWER] if lower else _BYTES, 0
-    for lo in range(0, len(data), CHUNK):
-        part = data[lo : lo + CHUNK]
-        h += int((table[part] * powers(_BASE, len(part))).sum(dtype=U)) * pow(_BASE, lo, 1 << 64)
-    return mix(np.asarray([(h + len(data)) & 0xFFFFFFFFFFFFFFFF], dtype=U))[0]
+def shingle_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of k consecutive word hashes, text borders ignored: a chain of mixers, not a polynomial."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out = mix(words[:n], seed)
+    for j in range(1, k):
+        out = mix(out * U(3) + words[j : j + n], seed + j)
+    return out
 
 
 _WIN = 0xD6E8FEB86659FD93 | 1
-OTHER = 0xA24BAED4963EE407 | 1
-_INVERSE = {b: pow(b, -1, 1 << 64) for b in (_WIN, OTHER)}
+_INVERSE = pow(_WIN, -1, 1 << 64)
 
 
-def window_hashes(words: np.ndarray, k: int, seed: int = 0, base: int = _WIN) -> np.ndarray:
+def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of k consecutive entries, text borders ignored."""
     n = len(words)
     if n < k:
         return np.zeros(0, U)
     if n > CHUNK + k:
-        return np.concatenate([window_hashes(words[lo : lo + CHUNK + k - 1], k, seed, base) for lo in range(0, n - k + 1, CHUNK)])
+        return np.concatenate([window_hashes(words[lo : lo + CHUNK + k - 1], k, seed) for lo in range(0, n - k + 1, CHUNK)])
     total = np.empty(n + 1, dtype=U)
     total[0] = 0
-    np.cumsum(words * powers(base, n), out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(_INVERSE[base], n)[: n - k + 1], seed)
+    np.cumsum(words * powers(_WIN, n), out=total[1:])
+    return mix((total[k:] - total[:-k]) * powers(_INVERSE, n)[: n - k + 1], seed)
 
 
 def release() -> None:

@@ -10,8 +10,8 @@ order that is the same for all documents.  Steps:
    one row of its least doc_id;
 2. `bands` bands of `rows` registers are hashed; each class first meets the least class
    of each of its bands (a star, never all pairs).  The collision-corrected estimate from
-   the registers discards pairs far below the threshold, the others are counted exactly on
-   full sets.  Links found make roots: classes known to be connected;
+   the registers discards pairs far below the threshold (sets of under 64 shingles skip it), the others are counted on
+   full sets, and each link found is confirmed on the words of its shingles.  Links found make roots: classes known to be connected;
 3. classes that share a band, in part through others, are a loose cluster; where its band
    groups are less work together than all its pairs, they are the clusters.  In each, blocks
    of `block` classes meet pairwise and are checked likewise, but never two blocks of one
@@ -30,6 +30,9 @@ vertex; where their texts differ it has the links of each.  An empty table gives
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tallywood.llm.common import among, bounded_batches, drop_written, join_hot, shuffle_partitions, table, written
 from tallywood.llm.components import components
-from tallywood.llm.kernels import U, mix, sliced, string_buffers, window_hashes, word_hashes, word_spans
+from tallywood.llm.kernels import U, mix, shingle_hashes, sliced, string_buffers, word_hashes, word_spans
 
 MANTISSA = 10
 
@@ -47,13 +50,13 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     data, offsets = string_buffers(texts)
     starts, ends, first = word_spans(data, offsets)
     h = word_hashes(data, starts, ends, lower=True)
-    w = window_hashes(h, words, 1)
+    w = shingle_hashes(h, words, 1)
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= words:
             out.append(np.unique(w[lo : hi - words + 1]))
         elif hi > lo:
-            out.append(window_hashes(h[lo:hi], hi - lo, 1000 + hi - lo))
+            out.append(shingle_hashes(h[lo:hi], hi - lo, 1000 + hi - lo))
         else:
             out.append(np.zeros(0, U))
     return out
@@ -104,21 +107,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal / a.shape[1] - chance) / (1 - chance), 0, 1)
 
 
-def _signed(x) -> np.ndarray:
-    return np.asarray(x, dtype=U).view(np.int64)
-
-
 def signatures(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit names of the set, registers, hash of the text."""
+    """doc_id, n_shingles, the set's digest as two longs, registers, hash of the text."""
 
     def run(batches):
         for batch in sliced(batches):
             sets = shingle_sets(batch.column(1), words)
             regs = registers(sets, buckets)
-            one = [int(s.sum(dtype=U)) if len(s) else 0 for s in sets]
-            two = [int(mix(s, 991).sum(dtype=U)) if len(s) else 0 for s in sets]
+            one, two = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), dtype="<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array([r.tobytes() for r in regs], pa.binary()), batch.column(2)],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(one)), pa.array(np.ascontiguousarray(two)), pa.array([r.tobytes() for r in regs], pa.binary()), batch.column(2)],
                 names=["doc_id", "n_shingles", "h1", "h2", "regs", "t"],
             )
 
@@ -145,8 +143,14 @@ def band_keys(classes: DataFrame, buckets: int, bands: int, rows: int) -> DataFr
     return classes.select("v", "regs").mapInArrow(run, "band long, v long")
 
 
-def links_within(a_sets, b_sets, percent: int, maybe: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union among the pairs marked in `maybe`."""
+def worded(text: str, words: int) -> set[bytes]:
+    """The shingles of a text as their words."""
+    own = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def links_within(a_sets, b_sets, percent: int, maybe: np.ndarray, same: bool, confirm=lambda i, j: True) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= percent * union among the pairs marked in `maybe`; `confirm` has the last word on each of its links."""
     out = []
     parent = list(range(len(a_sets) + (0 if same else len(b_sets))))
     shift = 0 if same else len(a_sets)
@@ -169,7 +173,7 @@ def links_within(a_sets, b_sets, percent: int, maybe: np.ndarray, same: bool) ->
             if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                 continue
             both = np.intersect1d(a, b, assume_unique=True).size
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if 100 * both >= percent * (len(a) + len(b) - both) and confirm(i, j):
                 parent[x] = y
                 out.append((i, j))
     return out
@@ -189,7 +193,17 @@ def _verify(words: int, buckets: int, percent: int, slack: float):
             b = a
         small = np.asarray([len(s) < 64 for s in sets])  # too few shingles for an estimate
         maybe = (estimate(regs[a], regs[b]) >= percent / 100 - slack) | (small[a][:, None] & small[b][None, :])
-        return [(rows[a[i]]["v"], rows[b[j]]["v"]) for i, j in links_within([sets[k] for k in a], [sets[k] for k in b], percent, maybe, same)]
+
+        @functools.lru_cache(maxsize=16)
+        def shingles(k: int) -> set[bytes]:
+            return worded(rows[k]["text"], words)
+
+        def confirm(i: int, j: int) -> bool:
+            x, y = shingles(a[i]), shingles(b[j])
+            both = len(x & y)
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        return [(rows[a[i]]["v"], rows[b[j]]["v"]) for i, j in links_within([sets[k] for k in a], [sets[k] for k in b], percent, maybe, same, confirm)]
 
     def run(batches):
         held, key, found = [], None, []
@@ -258,7 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, buckets:
     named = named.select("h1", "h2", F.col("least.doc_id").alias("name"), F.col("least.t").alias("name_t"), "n")
     classed = join_hot(full, named, ["h1", "h2"], ["doc_id"])
     members = classed.select("doc_id", F.col("name").alias("v")).distinct()
-    classes = written(classed.filter("doc_id = name and t = name_t").select(F.xxhash64("h1", "h2").alias("v"), "doc_id", "t", "regs").dropDuplicates(["v"]), "classes")
+    classes = classed.filter("doc_id = name and t = name_t").dropDuplicates(["h1", "h2"]).select(F.monotonically_increasing_id().alias("v"), "doc_id", "t", "regs")
+    classes = written(classes, "classes")  # numbered once
     mixed = full.groupBy("doc_id").agg(F.expr("min(struct(h1, h2)) <> max(struct(h1, h2))").alias("mixed")).filter("mixed").select("doc_id")
 
     keys = written(band_keys(classes.select("v", "regs"), buckets, bands, rows), "bands")

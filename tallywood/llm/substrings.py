@@ -11,8 +11,8 @@ steps that move little and keep no group together:
    last of equals); a document's windows with one anchor are consecutive, so about one
    row for every ten words leaves a task.  Anchors are counted with partial aggregation;
 3. equal windows have equal anchors: only windows with a repeated anchor are named and
-   counted, again with partial aggregation.  A window's name is 128 bits, two independent
-   hashes of its words, so that no two among 10**15 windows are expected to share one;
+   counted, again with partial aggregation.  A window's name is the 128-bit BLAKE2b digest of
+   its words joined by blanks, so that no two windows can be made or expected to share one;
 4. the places of repeated windows return to their texts and their words are removed.
 
 `remove_reference` is the form for a bounded reference: suffix automata of its shards
@@ -20,7 +20,7 @@ are broadcast, documents are streamed through them for matching statistics, and
 spans of `length` or more words that match are removed.
 
 Words are runs of other bytes than 0x20 and 0x09-0x0D, unchanged.  Windows are judged on
-the input.  Nulls: a null text has no words; texts are known by 96 bits of their hashes,
+the input.  Nulls: a null text has no words; texts are known by 92 bits of their SHA-256,
 not by doc_id, so null or repeated doc_ids don't mix them; repeated rows count as other
 places.  An empty table gives no rows; a column named like the result is replaced.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywood.llm.common import among, bounded_batches, drop_written, join_hot, may_be, table, unused, written
-from tallywood.llm.kernels import OTHER, mix, release, sliced, string_buffers, window_hashes, word_hashes, word_spans
+from tallywood.llm.kernels import joined_words, release, sliced, span_names, string_buffers, window_hashes, word_hashes, word_spans
 
 PLACE = "t long, u int"
 
@@ -87,7 +87,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def windows(docs: DataFrame, length: int) -> DataFrame:
     """docs (t, u, text, runs array<struct<s, n>>): t, u, w, x, s, more for each distinct window of each row's runs.
 
-    w and x are independent 64-bit hashes of its words, together its name.
+    w and x are the two halves of the digest of its words, its name.
 
     s is the window's first start; `more` has its other starts in the same row, if any, so
     that a line said a thousand times in one text is one row.
@@ -96,8 +96,9 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches):
-            h, _, first, _ = _windows(batch.column(2), length)
-            w, x = window_hashes(h, length, 22), window_hashes(mix(h, 61), length, 23, OTHER)
+            data, offsets = string_buffers(batch.column(2))
+            starts, ends, first = word_spans(data, offsets)
+            words, begin = joined_words(data, starts, ends)
             runs = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()
@@ -106,7 +107,8 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
             if not len(row):
                 continue
             local = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            key, check = w[first[row] + local], x[first[row] + local]
+            word = first[row] + local
+            key, check = span_names(words, begin[word], begin[word + length] - 1)
             order = np.lexsort((local, check, key, row))
             row, local, key, check = row[order], local[order].astype(np.int32), key[order], check[order]
             new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (check[1:] != check[:-1])]))
@@ -116,7 +118,7 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             more = pa.ListArray.from_arrays(pa.array(ends), pa.array(local[others]), type=kind, mask=pa.array(size == 0))
             at = row[new]
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key[new].view(np.int64)), pa.array(check[new].view(np.int64)), pa.array(local[new]), more], names=["t", "u", "w", "x", "s", "more"])
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key[new]), pa.array(check[new]), pa.array(local[new]), more], names=["t", "u", "w", "x", "s", "more"])
             for lo in range(0, out.num_rows, 200_000):
                 yield out.slice(lo, 200_000)
 
@@ -170,6 +172,12 @@ def _rebuilt(text: str, keep: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass").strip("\n ") if out else ""
 
 
+def _named(text) -> list:
+    """92 bits of a text's SHA-256, as a long and an int."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, at, n), 16, -10).cast("long") if n == 16 else F.conv(F.substring(digest, at, n), 16, 10).cast("long").cast("int") for at, n in ((1, 16), (17, 7))]
+
+
 def repeated_texts(own: DataFrame) -> DataFrame:
     """(t, u, n, low) of texts in more than one row of own (doc_id, t, u, text): number of rows and least doc_id."""
     return own.filter("text is not null").groupBy("t", "u").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).filter("n > 1")
@@ -209,7 +217,7 @@ def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bo
     docs = docs.drop(into)
     t, u, starts, whole = unused(docs, "t", "u", "starts", "whole")
     text = F.col("text").cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _named(text)[0].alias("t"), _named(text)[1].alias("u"), text.alias("text"))
     copied = written(repeated_texts(own), "copied")
     found = repeated_starts(one_of_each(own, copied), length, gram)
     found = found.join(copied, ["t", "u"], "left_anti").select("t", "u", "starts", F.lit(False).alias("whole"))
@@ -219,7 +227,7 @@ def deduplicate(docs: DataFrame, length: int = 35, gram: int = 16, keep_text: bo
     said = written(said.select(F.col("t").alias(t), F.col("u").alias(u), F.col("starts").alias(starts), F.col("whole").alias(whole)), "said")
     hot = F.broadcast(copied.filter(hot).select(F.col("t").alias(t), F.col("u").alias(u)))  # fewer than 1000
 
-    keyed = docs.withColumns({t: F.xxhash64(text), u: F.hash(text)})
+    keyed = docs.withColumns(dict(zip((t, u), _named(text))))
     copies = keyed.join(hot, [t, u], "left_semi").withColumns({starts: F.lit(None).cast("array<int>"), whole: F.lit(True)})
     near, clear = may_be(keyed.join(hot, [t, u], "left_anti"), said.select(t), t)
     near = near.join(said, [t, u], "left")
