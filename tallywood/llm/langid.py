@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywood.llm.common import bounded_batches, held_out, table
@@ -25,12 +25,12 @@ _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def plain(text: str) -> bytes:
-    """The text's distinct words in lower case, letters only: repeats say nothing more about the language."""
-    return b" ".join(dict.fromkeys(text.lower().encode("utf-8", "replace").translate(_BLANKS).split()))
+    """The text's words in lower case, letters only."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKS).split())
 
 
 def sample(docs: DataFrame, per_language: int, longest: int) -> dict[str, list[str]]:
-    """About per_language texts of each language (2 * per_language at most), chosen by hash of id among training rows.
+    """About per_language distinct texts of each language (2 * per_language at most), chosen by hash among training rows.
 
     Texts of 200 to `longest` characters come first; a language with fewer of them than
     per_language takes others too, of which at most `longest` characters are read.
@@ -47,10 +47,10 @@ def sample(docs: DataFrame, per_language: int, longest: int) -> dict[str, list[s
         wanted = per_language if fit else per_language - fitting
         chances.append((lang, fit, 1.3 * wanted / counts[lang, fit]))
     share = docs.sparkSession.createDataFrame([c for c in chances if c[2] > 0], "lang string, fit boolean, share double")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = rows.join(F.broadcast(share), ["lang", "fit"]).filter(chance < F.col("share"))
-    langs = len({lang for lang, _ in counts})
-    for r in rows.select("lang", "text", "fit").orderBy("lang", F.desc("fit"), F.xxhash64("text")).limit(2 * per_language * langs).collect():
+    chance = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = rows.join(F.broadcast(share), ["lang", "fit"]).filter(chance < F.col("share")).select("lang", "fit", "text").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("fit"), F.xxhash64("text"), "text"))
+    for r in rows.withColumn("nth", nth).filter(F.col("nth") <= 2 * per_language).orderBy("lang", "nth").collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 
