@@ -48,26 +48,27 @@ def session_rows(rows: DataFrame, messages: DataFrame, order: list[str]) -> Data
 
 
 def _distribution(r, name: str) -> dict:
-    d = r[name]
-    return {"sampleSize": d.sample_size, "p50": d.p50, "p95": d.p95, "mean": two_places(d.mean), "max": d.max}
+    got = lambda k: r[f"{name}_{k}"] or 0
+    return {"sampleSize": got("sample_size"), "p50": int(got("p50")), "p95": int(got("p95")), "mean": two_places(got("mean")), "max": got("max")}
 
 
 def metric_sets(files: DataFrame, raw: DataFrame, rows: DataFrame, found: DataFrame, others: dict[str, int]) -> dict[str | None, dict]:
     """A metric set for each source and, under None, for all; every part is one aggregation with grouping sets."""
-    keyed = lambda df, *aggs: {r.source: r for r in metrics.by_source_and_overall(df, "source", *aggs).collect()}  # one row a source
+    keyed = lambda df, *aggs, wanted=None: {r.source: r for r in metrics.by_source_and_overall(df, "source", *aggs, wanted=wanted).collect()}  # one row a source
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     f = keyed(files, F.count("*").alias("n"), total("bytes").alias("bytes"))
     parsed = keyed(raw, F.count_if(F.col("v").isNotNull()).alias("parsed"), F.count_if(F.col("v").isNull()).alias("malformed"))
     known = keyed(rows, F.count_if("recognized").alias("n"))
     active = rows.filter("message or tools > 0").select("path")
     skipped = {r.source: r.skipped for r in records.skipped_files(files.select("source", "path"), active).collect()}
-    dist = lambda c, name: F.struct(*metrics.distribution(c)).alias(name)
+    dists = {"turns": "user_count", "tools": "tool_count", "tokens": "both"}
     s = found.withColumn("both", F.when(metrics.complete(), F.col("input") + F.col("output")))
     m = keyed(
         s, F.count("*").alias("n"), *[total(c).alias(c) for c in ("message_count", "user_count", "assistant_count", "tool_count")],
         F.sum(metrics.complete("input")).alias("input"), F.sum(metrics.complete("output")).alias("output"), F.sum("both").alias("total"),
         F.min("started_at").alias("first"), F.max("ended_at").alias("last"), metrics.mismatches(), *metrics.coverage()[1:],
-        dist("user_count", "turns"), dist("tool_count", "tools"), dist("both", "tokens"),
+        *[a for name, c in dists.items() for a in metrics.summary(c, f"{name}_")],
+        wanted={k: w for name, c in dists.items() for k, w in metrics.halves(c, f"{name}_").items()},
     )
     stamps = rows.select("source", "session", "ts").join(found.select("source", "session"), ["source", "session"], "left_semi").withColumn("at", F.timestamp_millis("ts"))
     days = keyed(stamps, *metrics.active_days("at"))

@@ -96,26 +96,27 @@ def session_type(tools: Column) -> Column:
     return F.when(tools > 0, "agentic").otherwise("conversation")
 
 
+MEASURES = ("activity", "user_count", "elapsed", "tool_count")
+
+
 def shortlist(sessions: DataFrame, most: int = 8) -> DataFrame:
-    """The few sessions that a greedy pick of `most` can choose: each source's most active and the first `most` by each measure.
+    """The few sessions that a greedy pick of `most` can choose: each source's `most` most active and the first `most` by each measure.
 
     A pick takes one session from the pool at a time, so no more than `most - 1` of the
-    best by any measure are gone when it is that measure's turn.
+    best by any measure are gone when it is that measure's turn.  Each session stands once for each
+    measure, and a task keeps the first `most` of each of its groups before these meet in one
+    shuffle; ties go by source_order and session_order.
     """
-    ties = [F.asc("source_order"), F.asc("session_order")]
-    measures = ["activity", "user_count", "elapsed", "tool_count"]
-    tops = [sessions.orderBy(F.desc(m), *ties).limit(most) for m in measures]
-    best = F.struct(F.col("activity"), (-F.col("session_order")).alias("back"))
-    firsts = sessions.groupBy("source").agg(F.max(best).alias("m")).select("source", (-F.col("m.back")).alias("session_order"))
-    out = sessions.join(F.broadcast(firsts), ["source", "session_order"], "left_semi")  # one row a source
-    for t in tops:
-        out = out.unionByName(t.select(out.columns))
-    return out.dropDuplicates(["source", "session"])
+    every = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(None).cast("string").alias("of"), F.col(m).cast("double").alias("size")) for m in MEASURES], F.struct(F.lit("source").alias("measure"), F.col("source").cast("string").alias("of"), F.col("activity").cast("double").alias("size"))))
+    rated = sessions.select("*", every.alias("_m")).select(*sessions.columns, "_m.*")
+    best = F.row_number().over(Window.partitionBy("measure", "of").orderBy(F.desc("size"), "source_order", "session_order"))
+    top = rated.withColumn("_place", best).filter(F.col("_place") <= most)
+    return top.select(*sessions.columns)
 
 
 def greedy_pick(rows: list[dict], most: int = 8) -> list[dict]:
-    """The representative sessions among a shortlist, in the order they are picked."""
-    pool = sorted(rows, key=lambda r: (r["source_order"], r["session_order"]))
+    """The representative sessions among a shortlist, which may name one more than once, in the order they are picked."""
+    pool = sorted({(r["source"], r["session"]): r for r in rows}.values(), key=lambda r: (r["source_order"], r["session_order"]))
     chosen: list[dict] = []
 
     def first(measure: str, among: list[dict]) -> dict | None:

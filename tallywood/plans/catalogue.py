@@ -50,7 +50,7 @@ def session_turns(spark, sf):
 @query(C + """ SELECT count(user_count) AS sample_size, quantile_disc(user_count, 0.5)::BIGINT AS p50, quantile_disc(user_count, 0.95)::BIGINT AS p95,
   avg(user_count)::DOUBLE AS mean, max(user_count)::BIGINT AS max FROM c""")
 def turns_distribution(spark, sf):
-    return sessions.counts(messages(spark, sf)).agg(*metrics.distribution("turn_count"))
+    return metrics.distribution(sessions.counts(messages(spark, sf)), [], "turn_count")
 
 
 @query("SELECT role, count(*) AS messages FROM conversations GROUP BY role")
@@ -62,13 +62,13 @@ def role_message_counts(spark, sf):
   sum(assistant_count)::BIGINT AS assistant_count, quantile_disc(user_count, 0.95)::BIGINT AS p95 FROM c GROUP BY GROUPING SETS ((source), ())""")
 def metric_set_by_source(spark, sf):
     total = lambda c: F.sum(c).cast("long").alias(c)
-    return metrics.by_source_and_overall(sessions.counts(messages(spark, sf)), "source", F.count("*").alias("session_count"), total("message_count"), total("turn_count"), total("assistant_count"), metrics.rank("turn_count", 0.95).cast("long").alias("p95"))
+    return metrics.by_source_and_overall(sessions.counts(messages(spark, sf)), "source", F.count("*").alias("session_count"), total("message_count"), total("turn_count"), total("assistant_count"), wanted={"p95": ("turn_count", 0.95)})
 
 
 @query("""SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max
   FROM events GROUP BY GROUPING SETS ((event_type), ())""")
 def metric_set_overall_by_group(spark, sf):
-    return metrics.by_source_and_overall(table(spark, sf, "events"), "event_type", F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), metrics.rank("value", 0.5).alias("p50"), metrics.rank("value", 0.95).alias("p95"), F.max("value").alias("max"))
+    return metrics.by_source_and_overall(table(spark, sf, "events"), "event_type", F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.max("value").alias("max"), wanted=metrics.halves("value"))
 
 
 @query("""SELECT event_type, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS active_days, count(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM events GROUP BY GROUPING SETS ((event_type), ())""")
@@ -291,7 +291,7 @@ def elapsed_per_session(spark, sf):
 
 
 def rated(spark, sf):
-    c = sessions.order(sessions.counts(messages(spark, sf)), "session")
+    c = sessions.counts(messages(spark, sf)).withColumn("session_order", F.col("session"))  # the pick compares them only
     c = c.withColumns({"tool_count": F.col("session") % 11, "elapsed": (F.col("session") * 7919) % 1009, "source_order": (F.col("source") == "claude_code").cast("long")})
     return c.withColumn("activity", sessions.activity_score(F.col("user_count"), F.col("assistant_count"), F.col("tool_count")))
 
@@ -314,7 +314,7 @@ SELECT source, session, pick, 'candidate-' || lpad(pick::VARCHAR, 2, '0') AS evi
 
 @query(RATED)
 def representative_top8(spark, sf):
-    few = [r.asDict() for r in sessions.shortlist(staged(rated(spark, sf), "rated")).collect()]  # 8 of each measure and one a source at most
+    few = [r.asDict() for r in sessions.shortlist(rated(spark, sf)).collect()]  # 8 of each measure and one a source at most
     rows = [(r["source"], r["session"], k, f"candidate-{k:02d}") for k, r in enumerate(sessions.greedy_pick(few), 1)]
     return spark.createDataFrame(rows, "source string, session long, pick long, evidence_ref string")
 
@@ -497,7 +497,7 @@ SELECT source, p50 <= p95 AND p95 <= mx AS ordered, mean <= mx AS mean_ok, abs(r
 def distribution_invariants(spark, sf):
     from tallywood.operators.validation import distribution_checks
 
-    d = sessions.counts(messages(spark, sf)).groupBy("source").agg(*metrics.distribution("turn_count"), F.sum("turn_count").alias("total"))
+    d = metrics.distribution(sessions.counts(messages(spark, sf)), ["source"], "turn_count", F.sum("turn_count").alias("total"))
     return distribution_checks(d).select("source", "ordered", "mean_ok", "sum_ok")
 
 

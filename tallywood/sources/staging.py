@@ -27,10 +27,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the plan, so that later steps don't repeat or re-plan what came before."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cuts the plan, so that later steps don't repeat or re-plan what came before; the files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
