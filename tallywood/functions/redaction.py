@@ -1,8 +1,10 @@
-"""Redaction of secrets and personal data: ordered rules as native expressions, three checks that need code as an Arrow UDF.
+"""Redaction of secrets and personal data: ordered rules as native expressions; only URLs are rewritten in Python.
 
-Rules apply in order, each to what the earlier ones left.  `replace_rules` is a chain of
-JVM regexp_replace; `redact` and `detect` run all rules in Arrow batches, since they need
-match positions, IP parsing, digit counts or URL rewriting.
+Rules apply in order, each to what the earlier ones left.  `with_redactions` carries the
+text and each rule's count from rule to rule in the JVM, every rule behind a literal that its
+matches can't do without; rows that may hold a URL with a query, and only these, then pass an
+Arrow UDF.  `detections` finds places from the pieces between matches and running sums, without
+Python.  `redact_text` and `detect_text` are the same rules for single texts on the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from functools import lru_cache
 from urllib.parse import parse_qsl, quote_plus, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +53,10 @@ NEEDS = {
 }
 SENSITIVE_KEY = r"(?:access_?token|api_?key|auth|authorization|code|credential|key|password|secret|signature|sig|token)"
 IPV6 = r"(?<![A-Za-z0-9:])(?:[A-Fa-f0-9]{0,4}:){2,7}[A-Fa-f0-9]{0,4}(?![A-Za-z0-9:])"
+_H = "[A-Fa-f0-9]{1,4}"
+#: IPV6 with its check, PHONE with at least ten digits, as patterns; a candidate is always a whole run, so what doesn't fit matches nowhere inside.
+STRICT_IPV6 = "(?<![A-Za-z0-9:])(?:" + "|".join([f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,6}}:", *[f"(?:{_H}:){{1,{k}}}(?::{_H}){{1,{7 - k}}}" for k in range(1, 7)], f":(?::{_H}){{1,6}}", "::"]) + ")(?![A-Za-z0-9:])"
+STRICT_PHONE = r"(?<![A-Za-z0-9_])\+?[0-9](?:[ ().-]*+[0-9]){9}(?:[0-9 ().-]*[0-9])?(?![A-Za-z0-9_])"
 PHONE = r"(?<![A-Za-z0-9_])(?:\+?[0-9][0-9 ().-]{6,}[0-9])(?![A-Za-z0-9_])"
 URL = r"""(?:https?|ftp|s3)://[^<s><>"')\]]+"""
 
@@ -59,7 +65,18 @@ def _java(pattern: str, flags: str) -> str:
     return ("(?i)" if flags else "") + expand(pattern)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: steps that need the step before more than once don't multiply."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Where a literal says too little, a pattern that every match holds, fast as it starts with a digit or dash or needs no border.
+_SHAPES = {"IPV4": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", "RAW_UUID": "-[1-8][0-9A-Fa-f]{3}-", "SECRET_ASSIGNMENT": expand("(?i)(?:key|token|secret|password|passwd|cookie)[\"']?<space>*[:=]")}
+
+
 def _may(text: Column, code: str) -> Column:
+    if code in _SHAPES:
+        return text.rlike(_SHAPES[code])
     low = F.lower(text)
     out = F.contains(low, F.lit(NEEDS[code][0]))
     for w in NEEDS[code][1:]:
@@ -77,10 +94,14 @@ def replace_rules(text: Column, codes: tuple[str, ...] | None = None) -> Column:
     """The text after the pattern rules, natively."""
     for code, pattern, flags, by in RULES:
         if codes is None or code in codes:
-            text = F.regexp_replace(text, F.lit(_java(pattern, flags)), F.lit(by))
+            text = let(text, _when(code, _java(pattern, flags), by))
     return text
 
 
+def _when(code: str, pattern: str, by: str):
+    return lambda t: F.when(_may(t, code), F.regexp_replace(t, F.lit(pattern), F.lit(by))).otherwise(t)
+
+
 _DIGITS = re.compile("[0-9][0-9 ().-]{6}")
 
 
@@ -200,11 +221,117 @@ def detect_text(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("redactions", T.MapType(T.StringType(), T.IntegerType()))]))
-def redact(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, {}) if t is None else redact_text(t) for t in text], columns=["text", "redactions"])
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("code", T.StringType())])))
-def detect(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"line": i, "column": j, "code": c} for i, j, c in detect_text(t or "")] for t in text])
+@F.pandas_udf(T.StringType())
+def clean_urls(text: pd.Series) -> pd.Series:
+    """Texts with the sensitive query values of their URLs replaced."""
+    url = _compiled()[3]
+    return pd.Series([None if t is None else url.sub(lambda m: clean_url(m[0]), t) for t in text], dtype=object)
+
+
+#: All patterns in order: code, Java pattern, replacement.
+_ALL = [(c, _java(p, f), by) for c, p, f, by in RULES] + [("IPV6", STRICT_IPV6, "[REDACTED_IP]"), ("PHONE", STRICT_PHONE, "[REDACTED_PHONE]")]
+_URL = _java(URL, "i")
+#: No rule puts in "://" or "?", and each leaves a mark that ends a URL, so only texts with such a run can ever hold a URL with a query.
+_QUERY = expand("://[^<s><>]*[?]")
+
+
+def _hints(text: Column) -> list[Column]:
+    """For each of _ALL whether it can match at all, from literals of the text as it came in."""
+    own = {c: _may(text, c) for c in NEEDS}
+    own |= {"IPV6": text.rlike(":[0-9A-Fa-f]{0,4}:"), "PHONE": text.rlike("[0-9][0-9 ().-]{6}")}
+    return [own[c] for c, _, _ in _ALL]
+
+
+def pattern_rules(text: Column) -> Column:
+    """A struct of the text after all pattern rules and counts (an array, one for each of _ALL), natively.
+
+    A fold over the rules, which carries both; a rule is counted only where it has changed something.
+    """
+    now = F.struct(text.alias("before"), text.alias("text"), F.array(*_hints(text)).alias("hints"), F.array().cast("array<int>").alias("counts"))
+    counted = None
+    for k, (_, pattern, by) in enumerate(_ALL):
+        now, counted = let(now, _step(k, pattern, by, counted)), pattern
+    return let(now, lambda s: F.struct(s["text"].alias("text"), F.concat(s["counts"], _changes(s, counted)).alias("counts")))
+
+
+def _changes(s: Column, pattern: str) -> Column:
+    """How often the rule before applied, which made `text` of `before`."""
+    return F.array(F.when(s["text"] != s["before"], F.regexp_count(s["before"], F.lit(pattern))).otherwise(0))
+
+
+def _step(k: int, pattern: str, by: str, last: str | None):
+    def step(s: Column) -> Column:
+        after = F.when(s["hints"][k], F.regexp_replace(s["text"], F.lit(pattern), F.lit(by))).otherwise(s["text"])
+        counts = F.concat(s["counts"], _changes(s, last)) if last else s["counts"]
+        return F.struct(s["text"].alias("before"), after.alias("text"), s["hints"].alias("hints"), counts.alias("counts"))
+
+    return step
+
+
+def _redactions(counts: Column, urls: Column) -> Column:
+    """code -> how often it applied; of a code with several rules the last that applied counts."""
+    last: dict[str, Column] = {}
+    for k, (code, _, _) in enumerate(_ALL):
+        last[code] = F.when(counts[k] > 0, counts[k]).otherwise(last[code]) if code in last else counts[k]
+    last["SENSITIVE_URL_QUERY"] = urls.cast("int")
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), n.alias("n")) for c, n in last.items()])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
+
+
+def with_redactions(df: DataFrame, text: str = "text", into: str = "redacted") -> DataFrame:
+    """df with a struct `into` of the redacted text and how often each code applied (a map without zeros); null for a null text."""
+    odd = F.coalesce(F.col(text).rlike(_QUERY), F.lit(False))
+    clear = df.filter(~odd).withColumn(into, let(pattern_rules(F.col(text)), lambda s: F.struct(s["text"].alias("text"), _redactions(s["counts"], F.lit(False)).alias("redactions"))))
+    urls = df.filter(odd).withColumn(into, pattern_rules(F.col(text))).withColumn(into, F.struct(f"{into}.text", f"{into}.counts", clean_urls(F.col(f"{into}.text")).alias("after")))
+    urls = urls.withColumn(into, F.struct(F.col(f"{into}.after").alias("text"), _redactions(F.col(f"{into}.counts"), F.col(f"{into}.after") != F.col(f"{into}.text")).alias("redactions")))
+    return clear.unionByName(urls).withColumn(into, F.when(F.col(text).isNotNull(), F.col(into)))
+
+
+def _sensitive(url: Column) -> Column:
+    """Whether a URL's query has a sensitive key with a value not yet replaced."""
+    bare = F.substring_index(url, "#", 1)
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    key = lambda kv: plain(F.substring_index(kv, "=", 1))
+    value = lambda kv: plain(F.regexp_replace(kv, "^[^=]*=?", ""))
+    hit = F.exists(F.split(F.regexp_extract(bare, r"[?]([\s\S]*)", 1), "&", -1), lambda kv: key(kv).rlike(f"(?i)^{SENSITIVE_KEY}\\z") & (value(kv) != "[REDACTED]"))
+    return hit & ~url.rlike(r"^[^/]*//[^/?#]*\[")
+
+
+def _units(text: Column) -> Column:
+    """UTF-16 units of a text."""
+    return F.length(text) + F.when(F.octet_length(text) > F.length(text), F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0)
+
+
+def detections(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, code, line and column (from 1, in UTF-16 units) of everything sensitive in the text of each row of df.
+
+    A rule cuts a text into pieces between its matches.  Each piece and match is measured (units,
+    line ends, units behind the last line end); running sums over a row's pieces of one rule
+    give the place of every match, however many there are.
+    """
+    rules = [(c, p) for c, p, _ in _ALL] + [("SENSITIVE_URL_QUERY", _URL)]
+    hints = [*_hints(F.col(text)), F.col(text).rlike(_QUERY)]
+    def cut(k: int, code_pattern: tuple[str, str], hint: Column) -> Column:
+        p = code_pattern[1]
+        parts = lambda m: F.arrays_zip(F.slice(F.split(text, p, -1), F.lit(1), F.size(m)).alias("piece"), m.alias("match"))
+        return let(F.when(hint, F.regexp_extract_all(text, F.lit(p), F.lit(0))), lambda m: F.when(F.size(m) > 0, F.struct(F.lit(k).alias("rule"), parts(m).alias("parts"))))
+
+    found = F.array(*[cut(k, rule, hint) for k, (rule, hint) in enumerate(zip(rules, hints))])
+    each = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.explode_outer(found).alias("c")).filter("c is not null").select(*keys, "_row", "c.rule", F.posexplode("c.parts").alias("at", "p"))
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    tail = lambda c: _units(F.substring_index(c, "\n", -1))
+    told = F.col("rule") != len(rules) - 1
+    sized = each.select(*keys, "_row", "rule", "at", (told | _sensitive(F.col("p.match"))).alias("told"), *[f(F.col(f"p.{s}")).cast("long").alias(f"{s}_{n}") for s in ("piece", "match") for n, f in (("units", _units), ("lines", lines), ("tail", tail))])
+    w = Window.partitionBy(*keys, "_row", "rule").orderBy("at")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    placed = sized.withColumn("end", F.sum(c("piece_units") + c("match_units")).over(upto))
+    placed = placed.withColumns({
+        "start": c("end") - c("match_units"),
+        "line": 1 + c("piece_lines") + F.coalesce(F.sum(c("piece_lines") + c("match_lines")).over(before), F.lit(0)),
+        "in_piece": F.when(c("piece_lines") > 0, c("end") - c("match_units") - c("piece_tail")),
+        "in_match": F.when(c("match_lines") > 0, c("end") - c("match_tail")),
+    })
+    last = F.coalesce(c("in_piece"), F.max(F.greatest("in_piece", "in_match")).over(before), F.lit(0))
+    codes = F.array(*[F.lit(code) for code, _ in rules])
+    return placed.withColumn("column", c("start") - last + 1).filter("told").select(*keys, codes[c("rule")].alias("code"), c("line").cast("int").alias("line"), c("column").cast("int").alias("column"))

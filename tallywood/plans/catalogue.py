@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, sessions
+from tallywood.plans import redaction_sql
 from tallywood.sources.staging import spread, staged
 
 QUERIES: dict = {}
@@ -388,26 +389,60 @@ def redact_email_ipv4_uuid(spark, sf):
     return d.select("doc_id", *[count_rule(F.col("text"), c).cast("long").alias(c.lower()) for c in RE2], F.sha2(replace_rules(F.col("text"), tuple(RE2)), 256).alias("redacted"))
 
 
-@query()
+OWN = "SELECT doc_id, text AS t FROM documents"
+
+
+def planted(spark, sf):
+    """Each document with one of the planted texts in front and one behind; null where that is null."""
+    d = table(spark, sf, "documents")
+    cases = F.array(*[F.lit(p) for p in redaction_sql.PLANTED])
+    p = F.element_at(cases, F.pmod(F.col("doc_id"), F.lit(len(redaction_sql.PLANTED))).cast("int") + 1)
+    one = F.concat(F.replace(p, F.lit("#"), F.col("doc_id").cast("string")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(" "), F.replace(p, F.lit("#"), F.lit("x")))
+    return d.select("doc_id", one.alias("text"))
+
+
+def counted(redactions):
+    """CODE=n, joined by commas, in the order of the codes."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(redactions)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+COUNTED = "coalesce(array_to_string(list_transform(list_sort(counts), lambda c: c.code || '=' || c.n), ','), '')"
+
+
+@query(redaction_sql.redact_sql(OWN) + " SELECT c.code, sum(c.n)::BIGINT AS n FROM (SELECT unnest(counts) AS c FROM done) GROUP BY c.code")
 def redaction_counts(spark, sf):
-    from tallywood.functions.redaction import redact
+    from tallywood.functions.redaction import with_redactions
 
-    r = spread(table(spark, sf, "documents")).select(redact(F.col("text")).alias("r"))
-    return r.select(F.explode("r.redactions").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n"))
+    r = with_redactions(spread(table(spark, sf, "documents").select("text")))
+    return r.select(F.explode_outer("redacted.redactions").alias("code", "n")).filter("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query(redaction_sql.redact_sql(OWN) + f" SELECT doc_id, sha256(t) AS sha256, CASE WHEN t IS NOT NULL THEN {COUNTED} END AS redactions FROM done")
 def redact_full(spark, sf):
-    from tallywood.functions.redaction import redact
+    from tallywood.functions.redaction import with_redactions
 
-    return spread(table(spark, sf, "documents")).select("doc_id", redact(F.col("text")).alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.map_entries("r.redactions").alias("redactions"))
+    return with_redactions(spread(table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", F.sha2("redacted.text", 256).alias("sha256"), counted("redacted.redactions").alias("redactions"))
 
 
-@query()
+@query(redaction_sql.redact_sql(redaction_sql.planted_sql()) + f" SELECT doc_id, sha256(t) AS sha256, CASE WHEN t IS NOT NULL THEN {COUNTED} END AS redactions FROM done")
+def redact_planted(spark, sf):
+    from tallywood.functions.redaction import with_redactions
+
+    return with_redactions(spread(planted(spark, sf))).select("doc_id", F.sha2("redacted.text", 256).alias("sha256"), counted("redacted.redactions").alias("redactions"))
+
+
+@query(redaction_sql.detect_sql(OWN))
 def detect_positions(spark, sf):
-    from tallywood.functions.redaction import detect
+    from tallywood.functions.redaction import detections
+
+    return detections(spread(table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"])
+
+
+@query(redaction_sql.detect_sql(redaction_sql.planted_sql()))
+def detect_planted(spark, sf):
+    from tallywood.functions.redaction import detections
 
-    return spread(table(spark, sf, "documents")).select("doc_id", F.explode(detect(F.col("text"))).alias("i")).select("doc_id", "i.code", "i.line", "i.column")
+    return detections(spread(planted(spark, sf)), ["doc_id"])
 
 
 @query(r"""SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(?:https?|ftp|file|s3|mailto):[^>]+>', ' [REMOVED_RESOURCE] ', 'g'), '(?i)\b(?:https?|ftp|file|s3)://[^\s<>()\[\]{}]+', ' [REMOVED_RESOURCE] ', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g'))::BIGINT AS stripped FROM pages""")
