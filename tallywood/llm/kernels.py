@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the operators: whole Arrow batches, no per-word Python.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, so UTF-8 needs no
-decoding.  A word's hash is 64 bits of its BLAKE2b digest.  `window_hashes`, a polynomial
+decoding.  A word's hash is its bytes, mixed, or 64 bits of its BLAKE2b digest.  `window_hashes`, a polynomial
 over word hashes, only picks anchors; what decides uses `shingle_hashes` with a comparison of
 words, or `span_names`, a digest of the words themselves.
 """
@@ -97,18 +97,47 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return out, at
 
 
+def _eights(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data with eight zeros behind it, and the eight bytes from each place on as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return padded, np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _upto(eights: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Only the first n (7 at most) bytes of each."""
+    return eights & ((U(1) << (n.astype(U) << U(3))) - U(1))
+
+
+def rough_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word from its length and its first and last eight bytes, equal for equal words; only for what is checked later."""
+    _, eight = _eights(data)
+    size = ends - starts
+    first = eight[starts]
+    short = size <= 7
+    first[short] = _upto(first[short], size[short])
+    last = eight[np.maximum(ends - 8, starts)]
+    last[short] = 0
+    return mix(mix(first) + last + size.astype(U))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64 bits of the BLAKE2b digest of each word and a blank, equal for equal words in every batch; each distinct word is hashed once."""
+    """64 bits of each word, equal for equal words in every batch: of up to 7 bytes the bytes and their number, mixed, which no two share; of longer ones BLAKE2b, once for each distinct word."""
     out = np.empty(len(starts), dtype=U)
     lo = 0
     while lo < len(starts):  # in parts, so that scratch arrays stay small whatever the text's length
         a = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, a + CHUNK, side="right")))
         part = LOWER[data[a : ends[hi - 1]]] if lower else data[a : ends[hi - 1]]
-        text, at = joined_words(part, starts[lo:hi] - a, ends[lo:hi] - a)
-        words = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at), pa.py_buffer(text)]).dictionary_encode()
-        digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()])
-        out[lo:hi] = np.frombuffer(digests, dtype="<u8")[words.indices.to_numpy()]
+        begin, size = starts[lo:hi] - a, ends[lo:hi] - starts[lo:hi]
+        here, short = out[lo:hi], size <= 7
+        padded, eight = _eights(part)
+        here[short] = mix(_upto(eight[begin[short]], size[short]) | (size[short].astype(U) << U(56)))
+        if not short.all():
+            at = np.stack([begin[~short], begin[~short] + size[~short]], axis=1).ravel()  # words and what lies between them in turn
+            words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(padded)])
+            words = words.take(pa.array(np.arange(0, len(at), 2))).dictionary_encode()
+            digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()])
+            here[~short] = np.frombuffer(digests, dtype="<u8")[words.indices.to_numpy()]
         lo = hi
     return out
 

@@ -35,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywood.llm.common import among, bounded_batches, drop_written, join_hot, may_be, table, unused, written
-from tallywood.llm.kernels import joined_words, release, sliced, span_names, string_buffers, window_hashes, word_hashes, word_spans
+from tallywood.llm.kernels import joined_words, release, rough_hashes, sliced, span_names, string_buffers, window_hashes, word_spans
 
 PLACE = "t long, u int"
 
 
 def _windows(texts: pa.Array, length: int):
-    """Word hashes, for every window start whether it lies in one text, and each text's first word."""
+    """Rough word hashes, for every window start whether it lies in one text, and each text's first word."""
     data, offsets = string_buffers(texts)
     starts, ends, first = word_spans(data, offsets)
-    h = word_hashes(data, starts, ends)
+    h = rough_hashes(data, starts, ends)
     text_of = np.repeat(np.arange(len(texts)), np.diff(first))
     ok = text_of[: max(0, len(h) - length + 1)] == text_of[length - 1 :] if len(h) >= length else np.zeros(0, bool)
     return h, ok, first, text_of
