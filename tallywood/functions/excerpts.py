@@ -1,25 +1,27 @@
-"""Excerpts fit to show: code and resources out, controls to blanks, redacted, collapsed, cut."""
+"""Excerpts fit to show: code and resources out, controls to blanks, redacted, collapsed, cut.
+
+`with_excerpts` does this in the JVM (Python only for texts that may hold a URL with a query,
+as in redaction); `normalized` is the same for single texts on the driver.
+"""
 
 from __future__ import annotations
 
 import itertools
 import re
 
-import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallywood.functions.redaction import detect_text, redact_text
-from tallywood.functions.textrules import SPACE, expand
+from tallywood.functions.redaction import detect_text, holds_any, let, redact_text, with_redactions
+from tallywood.functions.textrules import SPACE, collapse, cut_points, expand
 
 MOST_POINTS = 280
 _FENCE = re.compile(f"[{SPACE}]{{0,3}}(`{{3,}}|~{{3,}})")
 _SPACES = re.compile(f"[{SPACE}]+")
 _EDGE_SPACE = re.compile(f"^[{SPACE}]+|[{SPACE}]+$(?![\\s\\S])")
-_PLACEHOLDER = re.compile(r"\[(?:REDACTED|REMOVED|HOME|LOCAL_PATH)[^\]]*\]", re.I)
-# What is stripped, in order.  The native form takes those that need no line anchors.
+# Marks that stand for what is gone, and what is stripped, in order.
+_MARKS = r"\[(?:REDACTED|REMOVED|HOME|LOCAL_PATH)[^\]]*\]"
 _STRIP = (
     (r"!\[([^\]\n]*)\](?:\([^\n)]*\)|\[[^\]\n]*\])", r" \1 ", re.A),
     (r"\[([^\]\n]+)\](?:\([^\n)]*\)|\[[^\]\n]*\])", r" \1 ", re.A),
@@ -30,7 +32,12 @@ _STRIP = (
     (r"</?[A-Za-z][^>]*>", " ", re.A),
     (r"`([^`\n]+)`", r"\1", re.A),
 )
-_STRIPPERS = [(re.compile(p if p.startswith(("<(?:", "</?")) else expand(p), f), by) for p, by, f in _STRIP]
+_PLACEHOLDER = re.compile(_MARKS, re.I)
+_SPELLED = [(p if p.startswith(("<(?:", "</?")) else expand(p), by, f) for p, by, f in _STRIP]
+_STRIPPERS = [(re.compile(p, f), by) for p, by, f in _SPELLED]
+#: The same for Java, where lines end at \n only.
+_JAVA_STRIPPERS = [(("(?i)" if f & re.I else "") + ("(?md)" if f & re.M else "") + p, re.sub(r"\\([0-9])", r"$\1", by)) for p, by, f in _SPELLED]
+_OPENS = f"^[{SPACE}]{{0,3}}(`{{3,}}|~{{3,}})"
 
 
 def trim(text: str) -> str:
@@ -94,6 +101,46 @@ def normalized(text: str | None) -> str | None:
     return None if detect_text(clean) else clean
 
 
-@F.pandas_udf(T.StringType())
-def normalize(text: pd.Series) -> pd.Series:
-    return pd.Series([normalized(t) for t in text], dtype=object)
+def fences_out(text: Column) -> Column:
+    """`without_fences` natively: a fold over the lines that may open or close a fence gives the fenced ranges, whose lines give way to one mark."""
+    lines = F.split(text, "\r?\n", -1)
+    marks = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("at"), F.regexp_extract(line, _OPENS, 1).alias("run"))), lambda m: m["run"] != "")
+    state = lambda at, run, ranges: F.struct(at.alias("at"), run.alias("run"), ranges.alias("ranges"))
+    span = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
+
+    def step(s: Column, m: Column) -> Column:
+        closed = state(F.lit(-1), F.lit(""), F.concat(s["ranges"], span(s["at"], m["at"])))
+        return F.when(s["run"] == "", state(m["at"], m["run"], s["ranges"])).when(F.startswith(m["run"], s["run"]), closed).otherwise(s)
+
+    def ranges(size: Column):
+        return lambda s: F.when(s["run"] == "", s["ranges"]).otherwise(F.concat(s["ranges"], span(s["at"], size)))
+
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    fenced = F.aggregate(marks, state(F.lit(-1), F.lit(""), none), step, ranges(F.size(lines)))
+
+    def rest(r: Column) -> Column:
+        before = F.transform(r, lambda x, k: let(F.when(k == 0, -1).otherwise(F.get(r, k - 1)["b"]), lambda last: F.concat(F.slice(lines, last + 2, x["a"] - last - 1), F.array(F.lit("[REMOVED_CODE]")))))
+        after = F.when(F.size(r) == 0, lines).otherwise(let(F.element_at(r, -1)["b"] + 1, lambda at: F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))))
+        return F.array_join(F.concat(F.flatten(before), after), "\n")
+
+    some = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+    return F.when(some, let(fenced, rest)).otherwise(F.regexp_replace(text, "\r\n", "\n"))
+
+
+def resources_out(text: Column) -> Column:
+    """`without_resources` natively."""
+    text = fences_out(text)
+    for pattern, by in _JAVA_STRIPPERS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
+    return text
+
+
+def with_excerpts(df: DataFrame, text: str = "text", into: str = "excerpt") -> DataFrame:
+    """df with a column `into` of the excerpt of each text, null where nothing fit to show is left."""
+    bare = with_redactions(df.withColumn(into, F.regexp_replace(resources_out(F.col(text)), r"\p{C}", " ")), into, into)
+
+    def shown(t: Column) -> Column:
+        spoken = F.regexp_count(F.regexp_replace(t, "(?i)" + _MARKS, " "), F.lit(r"[\p{L}\p{N}]")) >= 3
+        return F.when(spoken, let(cut_points(t, MOST_POINTS), lambda c: F.when(~holds_any(c), c)))
+
+    return bare.withColumn(into, let(collapse(F.col(f"{into}.text")), shown))

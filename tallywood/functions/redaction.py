@@ -297,6 +297,14 @@ def _sensitive(url: Column) -> Column:
     return hit & ~url.rlike(r"^[^/]*//[^/?#]*\[")
 
 
+def holds_any(text: Column) -> Column:
+    """Whether anything sensitive stands in a text."""
+    out = F.coalesce(text.rlike(_QUERY) & F.exists(F.regexp_extract_all(text, F.lit(_URL), F.lit(0)), _sensitive), F.lit(False))
+    for hint, (_, pattern, _) in zip(_hints(text), _ALL):
+        out = out | F.coalesce(F.when(hint, text.rlike(pattern)), F.lit(False))
+    return out
+
+
 def _units(text: Column) -> Column:
     """UTF-16 units of a text."""
     return F.length(text) + F.when(F.octet_length(text) > F.length(text), F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0)

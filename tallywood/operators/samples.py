@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywood.functions.excerpts import no_controls, normalize, trim
+from tallywood.functions.excerpts import no_controls, trim, with_excerpts
 from tallywood.functions.redaction import detect_text
 from tallywood.operators import sessions as S
 from tallywood.sources.staging import staged
@@ -19,7 +19,7 @@ def excerpts(messages: DataFrame) -> DataFrame:
     closing, each with the next assistant message.  Excerpts that normalize to nothing go.
     Texts are normalized once, before the windows, and only chosen ones are carried on.
     """
-    clean = messages.withColumn("clean", normalize("text"))
+    clean = with_excerpts(messages, "text", "clean")
     plan = staged(clean.select("source", "session", "role", "ordinal", "clean"), "clean")  # read three times
     ends = plan.filter(S.is_user()).groupBy(*S.KEY).agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
     after = S.assistant_after(plan)

@@ -452,11 +452,18 @@ def strip_resources(spark, sf):
     return spread(table(spark, sf, "pages")).select("page_id", F.length(strip_links(F.col("html"))).cast("long").alias("stripped"))
 
 
-@query()
+@query(redaction_sql.excerpt_sql(OWN) + " SELECT doc_id, excerpt FROM shown")
 def excerpt_normalize(spark, sf):
-    from tallywood.functions.excerpts import normalize
+    from tallywood.functions.excerpts import with_excerpts
+
+    return with_excerpts(spread(table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", "excerpt")
+
+
+@query(redaction_sql.excerpt_sql(redaction_sql.planted_sql()) + " SELECT doc_id, excerpt FROM shown")
+def excerpt_planted(spark, sf):
+    from tallywood.functions.excerpts import with_excerpts
 
-    return spread(table(spark, sf, "documents")).select("doc_id", normalize(F.col("text")).alias("excerpt"))
+    return with_excerpts(spread(planted(spark, sf))).select("doc_id", "excerpt")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '\p{Latin}', '', 'g'), '\p{L}')")

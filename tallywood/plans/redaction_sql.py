@@ -96,6 +96,27 @@ def redact_sql(texts: str) -> str:
     return out + f", done AS MATERIALIZED (SELECT doc_id, t, list_filter([{listed}], lambda c: c.n > 0) AS counts FROM x{at})"
 
 
+#: What excerpts lose, in order: fenced code (of three marks), images, links, definitions, autolinks, URLs, bare hosts, tags, code marks.
+STRIPS = [
+    (r"\r\n", "\n"), (r"(?m)^[ \t]{0,3}```[^\n]*\n(?:[^\n]*\n)*?[ \t]{0,3}```[^\n]*$", "[REMOVED_CODE]"), (r"(?m)^[ \t]{0,3}~~~[^\n]*\n(?:[^\n]*\n)*?[ \t]{0,3}~~~[^\n]*$", "[REMOVED_CODE]"),
+    (r"!\[([^\]\n]*)\](?:\([^\n)]*\)|\[[^\]\n]*\])", r" \1 "), (r"\[([^\]\n]+)\](?:\([^\n)]*\)|\[[^\]\n]*\])", r" \1 "), (rf"(?m)^{SP}{{0,3}}\[[^\]\n]+\]:{SP}*[^{NOT}][^\n\r\x{{2028}}\x{{2029}}]*$", " "),
+    (r"(?i)<(?:https?|ftp|file|s3|mailto):[^>]+>", " [REMOVED_RESOURCE] "), (rf"(?i)\b(?:https?|ftp|file|s3)://[^{NOT}<>()\[\]{{}}]+", " [REMOVED_RESOURCE] "), (rf"(^|[{NOT}(])//[A-Za-z0-9][^{NOT}<>()\[\]{{}}]*", r"\1[REMOVED_RESOURCE]"),
+    (r"</?[A-Za-z][^>]*>", " "), (r"`([^`\n]+)`", r"\1"), (r"\p{C}", " "),
+]
+
+
+def excerpt_sql(texts: str) -> str:
+    """Common tables up to `shown` (doc_id, excerpt) for texts (doc_id, t)."""
+    bare = "t"
+    for pattern, by in STRIPS:
+        bare = f"regexp_replace({bare}, {_q(pattern)}, {_q(by)}, 'g')"
+    left = " OR ".join(f"regexp_matches(replace(e, '[REDACTED]', '{HELD}'), {_q(pattern)})" for _, steps, _ in RULES[:-1] for pattern, _ in steps)
+    return redact_sql(f"SELECT doc_id, {bare} AS t FROM ({texts})") + f""",
+w AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{SP}+', ' ', 'g'), '^ | $', '', 'g') AS c FROM done),
+v AS (SELECT doc_id, CASE WHEN length(regexp_replace(regexp_replace(c, '(?i)\\[(?:REDACTED|REMOVED|HOME|LOCAL_PATH)[^\\]]*\\]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 3 THEN NULL WHEN length(c) <= 280 THEN c ELSE rtrim(substr(c, 1, 279), ' ') || '…' END AS e FROM w),
+shown AS (SELECT doc_id, CASE WHEN NOT ({left}) THEN e END AS excerpt FROM v)"""
+
+
 def detect_sql(texts: str) -> str:
     """doc_id, code, line, column of every match of every rule on its own, in texts (doc_id, t): marks are put in front of matches and their places counted."""
     parts = []

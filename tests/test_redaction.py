@@ -49,3 +49,18 @@ def test_needs_hold_in_either_case():
                 if pattern.search(form):
                     assert any(w in form.lower() for w in NEEDS[code])
     assert {c for c, *_ in RULES} == set(NEEDS)
+
+
+def test_native_excerpts_are_those_for_single_texts(spark):
+    from tallywood.functions.excerpts import fences_out, normalized, resources_out, with_excerpts, without_fences, without_resources
+
+    parts = ["```", "````", "~~~", "~~~~", "  ```py", "    ```", "\n", "\n", "\r\n", "\n", "word", "text here", "![a](b)", "[x](y)", "[x][y]", " [ref]: http://a.b", "[ref]: x", "<https://a.b>", "https://a.b/c?key=1", "xhttps://a.b/c?key=1", " //host/x", "(//h", "<b>", "</p x>", "`code`", "\x00", "\u200b", "é", "  ", "[HOME]", "A1", *[p for p in PLANTED if p]]
+    rng = random.Random(11)
+    texts = [None, "", "```", "```\n", "a\n```\nb\n```", "~~~\nx\n```\ny\n~~~~\nz", *parts]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 16))) for _ in range(800)]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(400)] + ["x ```\n" * 2000 + "```\n" * 3001 + "end of text"]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "id long, text string, excerpted int").repartition(4, "id")
+    got = {r.id: (r.f, r.r) for r in df.select("id", fences_out(df.text).alias("f"), resources_out(df.text).alias("r")).collect()}
+    assert got == {k: (None, None) if t is None else (without_fences(t), without_resources(t)) for k, t in enumerate(texts)}
+    shown = {r.id: r.excerpt for r in with_excerpts(df).collect()}
+    assert shown == {k: normalized(t) for k, t in enumerate(texts)}
