@@ -75,6 +75,9 @@ def metric_problems(m: dict, path: str) -> list[str]:
     need(m["messageCount"] == m["userMessageCount"] + m["assistantMessageCount"], "messages aren't user + assistant")
     need(m["turnCount"] == m["userMessageCount"], "turns aren't user messages")
     need(m["recognizedRecordCount"] <= m["parsedRecordCount"], "more recognized than parsed records")
+    need(m["sessionCount"] == 0 or min(m["fileCount"], m["recognizedRecordCount"]) > 0, "sessions without a file or a recognized record")
+    need(m["activeMonths"] <= m["activeDays"], "more active months than days")
+    need(all(m.get(k) is None or _iso(m[k]) for k in ("earliestAt", "latestAt")), "a time of another form")
     given = [k for k in TOKENS if m.get(k) is not None]
     need(len(given) in (0, 3), "some token totals are absent")
     if len(given) == 3:
@@ -144,6 +147,8 @@ def artifact_problems(a: dict) -> list[str]:
         return ["review: unknown or missing keys"]
     rows = a["sessions"]
     out = [] if _sha(a["populationSha256"]) and _iso(a["generatedAt"]) else ["review: no hash or time"]
+    if a["formatVersion"] != "topic-review.v1":
+        out.append("review: another format")
     if not rows or len(rows) != a["sessionCount"]:
         out.append("review: another session count")
     if any(not isinstance(r, dict) or not set(r) <= REVIEW_ROW_KEYS or not {"evidenceRef", "source", "userEvidence", "primaryTopic"} <= set(r) for r in rows):
@@ -218,6 +223,13 @@ def facts_problems(facts: dict) -> list[str]:
         if not set(c) <= CANDIDATE_KEYS or any(not set(e) == EXCERPT_KEYS for e in c.get("excerpts") or ()):
             out.append(f"{at}: unknown or missing keys")
             continue
+        if not all(_whole(c.get(k)) for k in ("messageCount", "userTurns", "toolCalls")):
+            out.append(f"{at}: no whole number of messages, turns or tool calls")
+            continue
+        if c["userTurns"] == 0:
+            out.append(f"{at}: no user turn")
+        if c.get("models") is not None and not c["models"]:
+            out.append(f"{at}: an empty list of models")
         if c.get("startedAt") and c.get("endedAt") and c["startedAt"] > c["endedAt"]:
             out.append(f"{at}: ends before it starts")
         if c["userTurns"] > c["messageCount"]:
@@ -235,7 +247,8 @@ def facts_problems(facts: dict) -> list[str]:
             out.append(f"{at}: more than its source has")
         if c.get("sessionType") != ("agentic" if c.get("toolCalls") else "conversation"):
             out.append(f"{at}: type and tool calls disagree")
-        if c.get("totalTokens") is not None and c["totalTokens"] != (c.get("inputTokens") or 0) + (c.get("outputTokens") or 0):
+        tokens = [c.get(k) for k in ("inputTokens", "outputTokens", "totalTokens")]
+        if None not in tokens and tokens[2] != tokens[0] + tokens[1]:
             out.append(f"{at}: tokens don't add up")
         texts = c.get("excerpts") or ()
         if not 1 <= len(texts) <= MOST_EXCERPTS or not any(e["role"] == "user" for e in texts):

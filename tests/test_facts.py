@@ -54,6 +54,31 @@ def test_whole_set(spark, both):
     assert facts_problems(worse)
 
 
+def test_each_breach_is_named(spark, both):
+    import copy
+
+    from tallywood.operators.validation import artifact_problems, metric_problems
+
+    f, artifact = facts.facts(spark, both, NOW, review=True, nonce="n")
+    good = f["overall"]
+    assert metric_problems(good, "x") == []
+    for change, said in (
+        ({"fileCount": 0}, "sessions without a file or a recognized record"), ({"recognizedRecordCount": 0}, "sessions without a file or a recognized record"),
+        ({"activeMonths": good["activeDays"] + 1}, "more active months than days"), ({"earliestAt": "2024-01-01"}, "a time of another form"),
+    ):
+        assert f"x: {said}" in metric_problems({**good, **change}, "x")
+    for change, said in (({"userTurns": 0}, "no user turn"), ({"models": []}, "an empty list of models"), ({"toolCalls": None}, "no whole number of messages, turns or tool calls")):
+        worse = copy.deepcopy(f)
+        worse["representativeCandidates"][0] |= change
+        assert f"candidate 1: {said}" in facts_problems(worse)
+    partial = copy.deepcopy(f)
+    for k in ("inputTokens", "outputTokens"):
+        partial["representativeCandidates"][0].pop(k, None)
+    partial["representativeCandidates"][0]["totalTokens"] = 5
+    assert facts_problems(partial) == []
+    assert "review: another format" in artifact_problems({**artifact, "formatVersion": "other"})
+
+
 def test_report_and_contract(spark, both):
     f = facts.facts(spark, both, NOW)
     text = report.render(f)
