@@ -37,6 +37,8 @@ _SPELLED = [(p if p.startswith(("<(?:", "</?")) else expand(p), by, f) for p, by
 _STRIPPERS = [(re.compile(p, f), by) for p, by, f in _SPELLED]
 #: The same for Java, where lines end at \n only.
 _JAVA_STRIPPERS = [(("(?i)" if f & re.I else "") + ("(?md)" if f & re.M else "") + p, re.sub(r"\\([0-9])", r"$\1", by)) for p, by, f in _SPELLED]
+#: What a text must hold for each of these to match.
+_LITERALS = ("![", "[", "]:", "<", "://", "//", "<", "`")
 _OPENS = f"^[{SPACE}]{{0,3}}(`{{3,}}|~{{3,}})"
 
 
@@ -130,14 +132,19 @@ def fences_out(text: Column) -> Column:
 def resources_out(text: Column) -> Column:
     """`without_resources` natively."""
     text = fences_out(text)
-    for pattern, by in _JAVA_STRIPPERS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
+    for (pattern, by), literal in zip(_JAVA_STRIPPERS, _LITERALS):
+        text = let(text, _stripped(pattern, by, literal))
     return text
 
 
+def _stripped(pattern: str, by: str, literal: str):
+    return lambda t: F.when(F.contains(t, F.lit(literal)), F.regexp_replace(t, F.lit(pattern), F.lit(by))).otherwise(t)
+
+
 def with_excerpts(df: DataFrame, text: str = "text", into: str = "excerpt") -> DataFrame:
     """df with a column `into` of the excerpt of each text, null where nothing fit to show is left."""
-    bare = with_redactions(df.withColumn(into, F.regexp_replace(resources_out(F.col(text)), r"\p{C}", " ")), into, into)
+    may = F.contains(F.col(text), F.lit("/")) & F.contains(F.col(text), F.lit("?"))  # stripping makes neither
+    bare = with_redactions(df, F.regexp_replace(resources_out(F.col(text)), r"\p{C}", " "), into, may)
 
     def shown(t: Column) -> Column:
         spoken = F.regexp_count(F.regexp_replace(t, "(?i)" + _MARKS, " "), F.lit(r"[\p{L}\p{N}]")) >= 3

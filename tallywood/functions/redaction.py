@@ -278,13 +278,19 @@ def _redactions(counts: Column, urls: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
 
 
-def with_redactions(df: DataFrame, text: str = "text", into: str = "redacted") -> DataFrame:
-    """df with a struct `into` of the redacted text and how often each code applied (a map without zeros); null for a null text."""
-    odd = F.coalesce(F.col(text).rlike(_QUERY), F.lit(False))
-    clear = df.filter(~odd).withColumn(into, let(pattern_rules(F.col(text)), lambda s: F.struct(s["text"].alias("text"), _redactions(s["counts"], F.lit(False)).alias("redactions"))))
-    urls = df.filter(odd).withColumn(into, pattern_rules(F.col(text))).withColumn(into, F.struct(f"{into}.text", f"{into}.counts", clean_urls(F.col(f"{into}.text")).alias("after")))
-    urls = urls.withColumn(into, F.struct(F.col(f"{into}.after").alias("text"), _redactions(F.col(f"{into}.counts"), F.col(f"{into}.after") != F.col(f"{into}.text")).alias("redactions")))
-    return clear.unionByName(urls).withColumn(into, F.when(F.col(text).isNotNull(), F.col(into)))
+def with_redactions(df: DataFrame, text: str | Column = "text", into: str = "redacted", odd: Column | None = None) -> DataFrame:
+    """df with a struct `into` of the redacted text and how often each code applied (a map without zeros); null for a null text.
+
+    `odd` is true wherever the text may hold a URL with a query; a text that costs much to make should bring one that doesn't.
+    """
+    made = F.col(text) if isinstance(text, str) else text
+    odd = F.coalesce(made.rlike(_QUERY) if odd is None else odd, F.lit(False))
+    ruled = df.withColumn(into, F.struct(let(made, pattern_rules).alias("by"), odd.alias("odd")))  # analysed once for both branches
+    field = lambda name: F.col(f"{into}.{name}")
+    clear = ruled.filter(~field("odd")).withColumn(into, let(field("by"), lambda s: F.struct(s["text"].alias("text"), _redactions(s["counts"], F.lit(False)).alias("redactions"))))
+    urls = ruled.filter(field("odd")).withColumn(into, F.struct(field("by.text").alias("text"), field("by.counts").alias("counts"))).withColumn(into, F.struct(field("text"), field("counts"), clean_urls(field("text")).alias("after")))
+    urls = urls.withColumn(into, F.struct(field("after").alias("text"), _redactions(field("counts"), field("after") != field("text")).alias("redactions")))
+    return clear.unionByName(urls).withColumn(into, F.when(field("text").isNotNull(), F.col(into)))
 
 
 def _sensitive(url: Column) -> Column:
