@@ -345,6 +345,64 @@ def idless_record_assignment(spark, sf):
     return assign_sessions(r).select("ordinal", "session")
 
 
+LOG_EVENTS = 1000  # events in one written log file
+
+
+def written_logs(spark, sf):
+    """A folder of log files made of events: lines or an array, hidden or in a folder within, some records malformed."""
+    import uuid
+
+    from tallywood.sources.staging import folder
+
+    e = table(spark, sf, "events").withColumns({"part": F.expr(f"event_id div {LOG_EVENTS}"), "k": F.col("event_id") % 10}).repartition("part")
+    whole = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
+    twice = F.concat(F.lit('{"id": -1, "id": '), "event_id", F.lit(', "type": "'), "event_type", F.lit('"}'))
+    good = F.when(F.col("k") == 5, twice).otherwise(whole)
+    bad = [F.substring(whole, 1, 9), F.concat(whole, F.lit("] [")), F.concat(F.lit("["), "event_id", F.lit("]")), F.replace(whole, F.lit('"'), F.lit("'"))]
+    line = F.when(F.col("k") == 4, "  ")
+    for k, b in enumerate(bad):
+        line = line.when(F.col("k") == k, b)
+    in_lines = e.filter("part % 4 <> 3").withColumn("value", line.otherwise(good)).sortWithinPartitions("part", "event_id").select("part", "value")
+    element = F.struct("event_id", F.when(F.col("k") < 4, F.col("event_id").cast("string")).otherwise(good).alias("value"))
+    arrays = e.filter("part % 4 = 3 AND k <> 4").groupBy("part").agg(F.array_sort(F.collect_list(element)).alias("all"))  # at most LOG_EVENTS
+    arrays = arrays.select("part", F.concat(F.lit("["), F.array_join("all.value", ",\n"), F.lit("]")).alias("value"))
+    at = f"{folder(spark)}/logs-{uuid.uuid4().hex}"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    found = []
+    for name, df in (("lines", in_lines), ("arrays", arrays)):
+        df.write.partitionBy("part").text(f"{at}/raw/{name}")
+        found += [(int(d.getPath().getName()[5:]), d.getPath(), name) for d in fs.listStatus(jvm.Path(f"{at}/raw/{name}")) if d.isDirectory()]
+    fs.mkdirs(jvm.Path(f"{at}/logs/sub"))
+    for k, (part, d, name) in enumerate(sorted(found, key=lambda f: f[0])):  # Spark's writer can't name files itself
+        (one,) = [f.getPath() for f in fs.listStatus(d) if not f.getPath().getName().startswith(".")]
+        label = ("Log" if part % 2 else "log") + f"-{part:09d}." + ("json" if name == "arrays" else "ndjson" if part % 8 == 0 else "jsonl")
+        fs.rename(one, jvm.Path(f"{at}/logs/." + label if k == 0 else f"{at}/logs/sub/{label}" if part % 3 == 1 else f"{at}/logs/{label}"))
+    return fs.resolvePath(jvm.Path(f"{at}/logs")).toString()
+
+
+@query("""WITH e AS (SELECT event_id, event_id // 1000 AS part, CASE WHEN event_id % 10 >= 5 THEN event_id END AS id, CASE WHEN event_id % 10 >= 5 THEN event_type END AS type FROM events WHERE event_id % 10 <> 4)
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY event_id) AS n, id, type, id IS NULL AS malformed,
+    part = (SELECT min(part) FROM e) AS in_first_file, part = (SELECT coalesce(max(part) FILTER (part % 3 = 1 AND part > (SELECT min(part) FROM e)), max(part)) FROM e) AS in_last_file FROM e""")
+def log_records(spark, sf):
+    """Events written as log files, found by listing two overlapping roots and read back in order."""
+    from pyspark.sql import Window
+
+    from tallywood.sources.logs import SourceInput, listing, records
+
+    at = written_logs(spark, sf)
+    files, _, _ = listing(spark, [SourceInput("codex", at), SourceInput("codex", f"{at}/sub")])
+    ends = files.agg(F.min("file_rank").alias("first"), F.max("file_rank").alias("last"))
+    in_file = Window.partitionBy("path").orderBy("ordinal")  # LOG_EVENTS rows at most
+    return records(spark, files).crossJoin(F.broadcast(ends)).select(
+        F.regexp_extract("path", "-0*([0-9]+)[.][a-z]+$", 1).cast("long").alias("part"), F.row_number().over(in_file).cast("long").alias("n"),
+        F.expr("try_variant_get(v, '$.id', 'bigint')").alias("id"), F.expr("try_variant_get(v, '$.type', 'string')").alias("type"), F.col("v").isNull().alias("malformed"),
+        (F.col("ordinal.rank") == F.col("first")).alias("in_first_file"), (F.col("ordinal.rank") == F.col("last")).alias("in_last_file"),
+    )
+
+
 @query("""SELECT f.source, f.files, coalesce(a.active, 0) AS active, f.files - coalesce(a.active, 0) AS skipped FROM
   (SELECT source, count(*) AS files FROM documents GROUP BY source) f LEFT JOIN
   (SELECT source, count(*) AS active FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source) a USING (source)""")

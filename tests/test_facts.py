@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 
 from tallywood.operators import document, facts
 from tallywood.operators.validation import facts_problems
 from tallywood.plans import report
+from tallywood.sources import logs
 from tallywood.sources.logs import SourceInput, listing
 
 NOW = dt.datetime(2026, 8, 1, tzinfo=dt.timezone.utc)
@@ -200,3 +202,47 @@ def test_order_numbers_each_source(spark):
     got = order(spark.createDataFrame(rows, "source string, session string, first_ordinal long")).collect()
     want = {("b", "t"): 0} | {(s, k): n for n, (s, k, _) in enumerate(sorted((r for r in rows if r[0] == "a"), key=lambda r: r[2]))}
     assert {(r.source, r.session): r.session_order for r in got} == want
+
+
+def test_listing_finds_each_file_once(spark, tmp_path):
+    root = tmp_path / ".root"
+    for d in (root / "b" / ".deep", root / "[x]*"):
+        d.mkdir(parents=True)
+    lines(root / "b" / ".deep" / "one.jsonl", {"n": 1}, {"n": 2})
+    lines(root / "b" / "Two.NDJSON", {"n": 3})
+    lines(root / "[x]*" / "a b+%41.jsonl", {"n": 4})
+    (root / "_w.json").write_text('[{"n":5},7]')
+    (root / "_a=b.jsonl").write_text('{"n":6}\r\n\n{"n":8}')
+    (root / "link.jsonl").symlink_to(root / "b" / "Two.NDJSON")
+    (root / "no.txt").write_text("x")
+    (tmp_path / "way").symlink_to(root)
+    found, others, order = listing(spark, [SourceInput("codex", str(tmp_path / "way")), SourceInput("claude_code", str(root / "b" / ".deep")), SourceInput("codex", str(root / "b")), SourceInput("codex", str(root / "absent"))])
+    assert others == {"codex": 1, "claude_code": 0} and order == ["codex", "claude_code"]
+    assert sorted((r.source, os.path.relpath(r.path, root)) for r in found.collect()) == [
+        ("claude_code", "b/.deep/one.jsonl"), ("codex", "[x]*/a b+%41.jsonl"), ("codex", "_a=b.jsonl"), ("codex", "_w.json"), ("codex", "b/.deep/one.jsonl"), ("codex", "b/Two.NDJSON")]
+    got = logs.records(spark, found).selectExpr("source", "ordinal", "try_variant_get(v, '$.n', 'int') n").collect()
+    by_rank = [r.n for r in sorted((r for r in got if r.source == "codex"), key=lambda r: r.ordinal)]
+    assert by_rank == [6, 8, 5, None, 4, 1, 2, 3] and sorted(r.n for r in got if r.source == "claude_code") == [1, 2]
+    assert sorted(logs.remote_entries(f"file://{root}/b")) == [(f"file://{root}/b/.deep", 0, "folder"), (f"file://{root}/b/Two.NDJSON", 9, "file")]
+    assert logs.remote_entries(f"file://{root}/none") == []
+
+
+def test_json_is_strict(spark):
+    good = ["{}", ' {"a":1}\r', '{"a":1,"a":2}', '{"a":"\\ud800"}', '{"a":1e999,"b":[1,{"c":null}]}']
+    bad = ["{'a':1}", '{"a":1} x', '{"a":1}{}', '{"a":1}] [', '{"a":1}} {', '{"a":1},{"b":2}', '{"a":1},"b":2', '{"a":01}', '{"a":NaN}', '{"a":1,}', '{"a":"\t"}', "[1]", "5", "null", '"{}"', '{"a":1} ', "{", "//x", '{"a":1} //x', '{"a":1} #x']
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad + ["", " \t \r"])], "k int, value string")
+    got = {r.k: r.ok for r in logs.objects(frame, False).selectExpr("k", "v is not null ok").collect()}
+    assert got == {k: k < len(good) for k in range(len(good + bad))}
+    frame = spark.createDataFrame([(0, "[]"), (1, '[{"a":1}, 2, null, [{}]]'), (2, '{"a":1}'), (3, "[1] x"), (4, " "), (5, "[{}],[]")], "k int, value string")
+    got = sorted((r.k, r.pos, r.ok) for r in logs.objects(frame, True).selectExpr("k", "pos", "v is not null ok").collect())
+    assert got == [(1, 0, True), (1, 1, False), (1, 2, False), (1, 3, False), (2, 0, True), (3, 0, False), (4, 0, False), (5, 0, False)]
+
+
+def test_hidden_lines_cross_blocks(tmp_path, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(logs, "CHUNK", 3)
+    p = tmp_path / ".h.jsonl"
+    p.write_bytes("é12345\n\n\r\nlast".encode())
+    rows = pd.concat(logs._read(iter([pd.DataFrame({"path": [str(p)]})])))
+    assert list(rows["value"]) == ["é12345", "", "\r", "last"] and list(rows["seq"]) == [0, 1, 2, 3]
