@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, sessions
-from tallywood.plans import redaction_sql
+from tallywood.plans import facts_sql, redaction_sql
 from tallywood.sources.staging import spread, staged
 
 QUERIES: dict = {}
@@ -607,3 +607,10 @@ def markdown_section_check(spark, sf):
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("---\nformat_version: 1\n---\n## Summary\n"), F.col("text")).cast("binary").alias("content"))
     return document_issues(docs)
+
+
+@query(facts_sql.SQL)
+def facts_breaches(spark, sf):
+    from tallywood.operators.breaches import breaches
+
+    return breaches(facts_sql.planted_facts(table(spark, sf, "documents"), table(spark, sf, "labels")))
