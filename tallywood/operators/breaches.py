@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tallywood.functions.excerpts import with_excerpts
 from tallywood.operators import validation as fixed
-from tallywood.operators.records import kind, numeric
+from tallywood.operators.records import numeric
 from tallywood.operators.topics import TOPICS
-from tallywood.sources.staging import staged
+from tallywood.sources.logs import parsed as strict
+from tallywood.sources.staging import spread, staged
 
 # The keys that each object must and may have.
 DISTRIBUTION = ("sampleSize", "p50", "p95", "mean", "max")
@@ -83,19 +84,27 @@ def _broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def _text(path: str) -> Column:
-    return F.when(kind("o", path) == "STRING", F.expr(f"try_variant_get(o, '{path}', 'string')"))
+    part = f"try_variant_get(o, '{path}', 'variant')"
+    return F.expr(f"if(schema_of_variant({part}) = 'STRING', cast({part} AS string), null)")
+
+
+def _whole_of(part: str) -> str:
+    """A variant's whole number of at least 0; integers are told by their type alone, other numbers by their value."""
+    return f"""CASE schema_of_variant({part}) WHEN 'BIGINT' THEN if(cast({part} AS bigint) BETWEEN 0 AND 9007199254740991, cast({part} AS double), null)
+      WHEN 'VOID' THEN null WHEN 'STRING' THEN null WHEN 'BOOLEAN' THEN null
+      ELSE if(regexp_like(schema_of_variant({part}), '^(DECIMAL|DOUBLE|FLOAT)') AND try_cast({part} AS double) = floor(try_cast({part} AS double)) AND try_cast({part} AS double) BETWEEN 0 AND 9007199254740991, try_cast({part} AS double), null) END"""
 
 
 def _whole(path: str) -> Column:
-    n = numeric("o", path)
-    return F.when((n == F.floor(n)) & (n <= 2**53 - 1), n)
+    return F.expr(_whole_of(f"try_variant_get(o, '{path}', 'variant')"))
 
 
 def _is_whole(rows: DataFrame, names) -> DataFrame:
     """Members that are there but aren't whole numbers of at least 0."""
-    there = lambda k: F.expr(_part("o", k)).isNotNull()
-    bad = F.array_compact(F.array(*[F.when(there(k) & _whole(f"$.{k}").isNull(), F.lit(k)) for k in names]))
-    return rows.select("doc", F.explode(F.transform(bad, lambda k: F.concat("path", F.lit("."), k))).alias("path"), F.lit("no whole number").alias("rule"))
+    listed = ", ".join(f"'{k}'" for k in names)
+    members = "map_entries(try_variant_get(o, '$', 'map<string,variant>'))"
+    bad = F.expr(f"transform(filter({members}, e -> e.key IN ({listed}) AND ({_whole_of('e.value')}) IS NULL), e -> concat(path, '.', e.key))")
+    return rows.select("doc", F.explode(bad).alias("path"), F.lit("no whole number").alias("rule"))
 
 
 NUMBERS = (*fixed.ADDITIVE, "activeDays", "activeMonths", *fixed.TOKENS)
@@ -239,8 +248,8 @@ def breaches(docs: DataFrame) -> DataFrame:
 
     doc must name a document once.  A null text is no object; an empty table has no rows.
     """
-    parsed = docs.select("doc", F.try_parse_json("json").alias("v"))
-    parsed = staged(parsed.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v"))), "facts")
+    v = F.when(F.col("json").rlike("^[ \\t\\r\\n]*\\{"), strict("json"))
+    parsed = staged(spread(docs).select("doc", v.alias("v")), "facts")
     good = parsed.filter("v IS NOT NULL")
     rows = staged(objects(good), "objects")
     sets = staged(measured(rows), "sets")

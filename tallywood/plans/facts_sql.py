@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywood.operators.topics import TOPICS
+from tallywood.sources.staging import spread
 
 KINDS = 24  # doc_id modulo this says which rule is broken; 0 breaks none
 
@@ -56,7 +57,7 @@ def planted_facts(documents: DataFrame, labels: DataFrame) -> DataFrame:
       'topicReview', named_struct('formatVersion', 'topic-review.v1', 'populationSha256', sha, 'sessionCount', 4, 'evidenceRefs', {seen}),
       'topicClassification', named_struct('method', 'agent_semantic_review_v1', 'taxonomyVersion', 'primary-topic-v1', 'populationSha256', if(k = 17, reverse(sha), sha),
         'denominator', 4, 'reviewedSessionCount', 4, 'assignments', {given}, 'counts', named_struct({counts})), 'more', if(k = 1, 1, null))"""
-    return d.selectExpr("doc", f"CASE k WHEN 19 THEN '[]' WHEN 20 THEN null ELSE to_json({whole}) END AS json")
+    return spread(d).selectExpr("doc", f"CASE k WHEN 19 THEN '[]' WHEN 20 THEN null ELSE to_json({whole}) END AS json")
 
 
 #: (kind, path, rule) of every breach, for the SQL; `sum` rows follow from a part that differs.

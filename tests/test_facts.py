@@ -246,3 +246,32 @@ def test_hidden_lines_cross_blocks(tmp_path, monkeypatch):
     p.write_bytes("é12345\n\n\r\nlast".encode())
     rows = pd.concat(logs._read(iter([pd.DataFrame({"path": [str(p)]})])))
     assert list(rows["value"]) == ["é12345", "", "\r", "last"] and list(rows["seq"]) == [0, 1, 2, 3]
+
+
+def test_breaches_of_many_documents(spark):
+    from tallywood.operators.breaches import breaches
+    from tallywood.plans import facts_sql
+
+    docs = spark.createDataFrame([(0, "some text", "a")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    (base,) = [json.loads(r.json) for r in facts_sql.planted_facts(docs, labels).collect()]
+    half = json.loads(json.dumps(base))
+    half["overall"] |= {"fileCount": "4", "sessionCount": 4.0, "activeDays": 1.5}
+    del half["overall"]["latestAt"]
+    half["overall"]["tokenCoverage"]["sessionsWithTotalTokens"] = -1
+    half["topicReview"]["evidenceRefs"].append("topic-x")
+    short = json.loads(json.dumps(base))
+    short["topicClassification"]["assignments"].pop()
+    short["representativeCandidates"][0] |= {"models": [], "excerpts": [], "toolCalls": 0}
+    rows = [(1, json.dumps(base)), (2, json.dumps(half)), (3, json.dumps(short)), (4, json.dumps(base) + " {"), (5, None), (6, "{}")]
+    found = {(r.doc, r.path, r.rule) for r in breaches(spark.createDataFrame(rows, "doc int, json string")).collect()}
+    assert not [f for f in found if f[0] == 1]
+    assert {f[1:] for f in found if f[0] in (4, 5)} == {("$", "no object")} and len([f for f in found if f[0] in (4, 5)]) == 2
+    assert {f[1] for f in found if f[0] == 6 and f[2] == "missing key"} == {"$.formatVersion", "$.generatedAt", "$.overall", "$.bySource"}
+    assert {("$.overall.fileCount", "no whole number"), ("$.overall.activeDays", "no whole number"), ("$.overall", "half a time range"), ("$.topicReview", "another session count"),
+            ("$.overall.tokenCoverage.sessionsWithTotalTokens", "no whole number"), ("$.topicReview.evidenceRefs[4]", "a reference of another form"),
+            ("$.topicClassification.assignments[4]", "another session than the review's")} <= {f[1:] for f in found if f[0] == 2}
+    assert ("$.overall.sessionCount", "no whole number") not in {f[1:] for f in found}
+    card = "$.representativeCandidates[0]"
+    assert {(card, "an empty list of models"), (card, "bad number of excerpts"), (card, "type and tool calls disagree"), ("$.topicClassification.assignments[3]", "another session than the review's"),
+            ("$.topicClassification", "another number of sessions"), ("$.bySource.claude_code", "another number of assignments than sessions")} <= {f[1:] for f in found if f[0] == 3}
