@@ -103,9 +103,8 @@ def normalized(text: str | None) -> str | None:
     return None if detect_text(clean) else clean
 
 
-def fences_out(text: Column) -> Column:
-    """`without_fences` natively: a fold over the lines that may open or close a fence gives the fenced ranges, whose lines give way to one mark."""
-    lines = F.split(text, "\r?\n", -1)
+def fenced_ranges(lines: Column) -> Column:
+    """a and b (from 0) of the opening and closing lines of each fence, by a fold over the lines that may open or close one; an open one ends at the number of lines."""
     marks = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("at"), F.regexp_extract(line, _OPENS, 1).alias("run"))), lambda m: m["run"] != "")
     state = lambda at, run, ranges: F.struct(at.alias("at"), run.alias("run"), ranges.alias("ranges"))
     span = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
@@ -118,7 +117,13 @@ def fences_out(text: Column) -> Column:
         return lambda s: F.when(s["run"] == "", s["ranges"]).otherwise(F.concat(s["ranges"], span(s["at"], size)))
 
     none = F.array().cast("array<struct<a:int,b:int>>")
-    fenced = F.aggregate(marks, state(F.lit(-1), F.lit(""), none), step, ranges(F.size(lines)))
+    return F.aggregate(marks, state(F.lit(-1), F.lit(""), none), step, ranges(F.size(lines)))
+
+
+def fences_out(text: Column) -> Column:
+    """`without_fences` natively: the lines of fenced ranges give way to one mark."""
+    lines = F.split(text, "\r?\n", -1)
+    fenced = fenced_ranges(lines)
 
     def rest(r: Column) -> Column:
         before = F.transform(r, lambda x, k: let(F.when(k == 0, -1).otherwise(F.get(r, k - 1)["b"]), lambda last: F.concat(F.slice(lines, last + 2, x["a"] - last - 1), F.array(F.lit("[REMOVED_CODE]")))))

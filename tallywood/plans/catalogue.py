@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywood.operators import metrics, sessions
-from tallywood.plans import facts_sql, redaction_sql
+from tallywood.plans import cards_sql, facts_sql, redaction_sql
 from tallywood.sources.staging import spread, staged
 
 QUERIES: dict = {}
@@ -614,3 +614,14 @@ def facts_breaches(spark, sf):
     from tallywood.operators.breaches import breaches
 
     return breaches(facts_sql.planted_facts(table(spark, sf, "documents"), table(spark, sf, "labels")))
+
+
+@query(cards_sql.SQL)
+def sample_card_bindings(spark, sf):
+    """Cards without a candidate, candidates without a card and quotes that no excerpt of their candidate and role says."""
+    from tallywood.operators.quotes import binding_issues, cards, unused
+
+    docs, pool = cards_sql.planted_cards(table(spark, sf, "conversations"))
+    pool, found = staged(pool, "candidates"), staged(cards(docs), "cards")
+    rest = unused(found, pool).select("path", "ref", F.lit("UNUSED_CANDIDATE").alias("code"), F.lit(0).alias("line"))
+    return binding_issues(found, pool).unionByName(rest)
