@@ -96,11 +96,7 @@ def run(args: list[str], out=sys.stdout) -> int:
         inputs = [SourceInput(*s.split("=", 1)) for s in o.source if "=" in s]
         if len(inputs) < len(o.source):
             raise ValueError("a source is NAME=PATH")
-        review = o.topic_review_output and not o.no_topic_review
-        got = facts.facts(session(), inputs, review=bool(review))
-        if review:
-            got, artifact = got
-            write_private(o.topic_review_output, as_json(artifact))
+        got = facts.facts(session(), inputs, review_to=None if o.no_topic_review else o.topic_review_output)
         write_private(o.output, as_json(got))
         say(f"{got['overall']['sessionCount']} sessions")
     elif o.command == "topics":

@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywood.operators import metrics, records, samples, sessions, topics
+from tallywood.operators import artifact, metrics, records, samples, sessions, topics
 from tallywood.operators.validation import artifact_problems, two_places
 from tallywood.sources.logs import SourceInput, listing
 from tallywood.sources.logs import records as read_records
@@ -90,8 +90,11 @@ def metric_sets(files: DataFrame, raw: DataFrame, rows: DataFrame, found: DataFr
     return out
 
 
-def facts(spark: SparkSession, inputs: list[SourceInput], now: dt.datetime | None = None, review: bool = False, nonce: str | None = None):
-    """The facts document; with `review` also the review table and its binding."""
+def facts(spark: SparkSession, inputs: list[SourceInput], now: dt.datetime | None = None, review: bool = False, nonce: str | None = None, review_to: str | None = None):
+    """The facts document; with `review_to` the review is written there and bound to it.
+
+    With `review` also the written review itself, whole on the driver: for few sessions.
+    """
     files, others, order = listing(spark, inputs)
     raw = staged(read_records(spark, files), "records")
     rows = staged(normalized(raw), "rows")
@@ -107,30 +110,31 @@ def facts(spark: SparkSession, inputs: list[SourceInput], now: dt.datetime | Non
     out = {"formatVersion": FORMAT, "generatedAt": at, "overall": sets[None], "bySource": {s: sets[s] for s in order}}
     if picked:
         out["representativeCandidates"] = picked
-    if not review:
+    if review:
+        review_to = review_to or artifact.own_place(spark)
+    if review_to is None:
         return out
     nonce = nonce or secrets.token_hex(32)
-    table = topics.create_review(found, kept.filter(sessions.is_user()), nonce)
-    rows_ = [r.asDict() for r in table.orderBy("pos").collect()]  # the artifact is a file with every session's evidence
-    if any(not r["clean"] for r in rows_):
-        raise ValueError("review evidence still holds something sensitive")
-    sha = topics.population_sha256(found.select("source", "session"), nonce)
-    artifact = {"formatVersion": "topic-review.v1", "generatedAt": at, "populationSha256": sha, "sessionCount": len(rows_), "sessions": [{"evidenceRef": r["evidence_ref"], "source": r["source"], "userEvidence": r["evidence"], "primaryTopic": None} for r in rows_]}
-    out["topicReview"] = {"formatVersion": "topic-review.v1", "populationSha256": sha, "sessionCount": len(rows_), "evidenceRefs": [r["evidence_ref"] for r in rows_]}
-    return out, artifact
+    members = found.select("source", "session")
+    bound = {"formatVersion": "topic-review.v1", "populationSha256": topics.population_sha256(members, nonce), "sessionCount": members.count()}
+    table = staged(topics.create_review(found, kept.filter(sessions.is_user()), nonce), "review")
+    artifact.write_review(table, review_to, {"formatVersion": bound["formatVersion"], "generatedAt": at, **{k: bound[k] for k in ("populationSha256", "sessionCount")}})
+    # references follow from the nonce and the position; the facts list them all by contract
+    out["topicReview"] = {**bound, "evidenceRefs": [topics.reference(nonce, k + 1) for k in range(bound["sessionCount"])]}
+    return (out, artifact.read_review(spark, review_to)) if review else out
 
 
-def apply_review(spark: SparkSession, base: dict, artifact: dict) -> dict:
+def apply_review(spark: SparkSession, base: dict, completed: dict) -> dict:
     """Facts with the labels of a completed review; raises where review and facts don't belong together."""
     bound = base.get("topicReview")
     if not bound or "topicClassification" in base:
         raise ValueError("the facts have no open review")
-    if broken := artifact_problems(artifact):
+    if broken := artifact_problems(completed):
         raise ValueError(broken[0])
     for k, v in (("generatedAt", base["generatedAt"]), ("populationSha256", bound["populationSha256"]), ("sessionCount", bound["sessionCount"])):
-        if artifact.get(k) != v:
+        if completed.get(k) != v:
             raise ValueError(f"review and facts differ in {k}")
-    rows = artifact["sessions"]
+    rows = completed["sessions"]
     if [r["evidenceRef"] for r in rows] != bound["evidenceRefs"]:
         raise ValueError("review and facts differ in their references")
     kind = "pos long, evidence_ref string, source string, evidence array<string>, technical_signals array<string>, primary_topic string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 
@@ -66,6 +68,15 @@ def compare_refs(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("l") == F.col("r")).alias("equal"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(F.col("l") != F.col("r")).alias("different"))
 
 
+def _prefix(nonce: str) -> str:
+    return f"topic-{hashlib.sha256(nonce.encode()).hexdigest()[:12]}-"
+
+
+def reference(nonce: str, pos: int) -> str:
+    """The reference of the session at a position from 1."""
+    return f"{_prefix(nonce)}{pos:06d}"
+
+
 def create_review(sessions: DataFrame, user_messages: DataFrame, nonce: str) -> DataFrame:
     """pos, evidence_ref, source, evidence, clean and primary_topic (null) of every session, in their order.
 
@@ -73,9 +84,6 @@ def create_review(sessions: DataFrame, user_messages: DataFrame, nonce: str) ->
     nonce and the position.  `clean` is false where evidence still holds something
     sensitive; such a review must not be given away.
     """
-    import hashlib
-
-    prefix = hashlib.sha256(nonce.encode()).hexdigest()[:12]
     seen = first_segments(user_messages.withColumn("text", evidence("text")))
     # positions: sources are few, each starts after the sessions of those before it
     starts, at = {}, 0
@@ -85,7 +93,7 @@ def create_review(sessions: DataFrame, user_messages: DataFrame, nonce: str) ->
     base = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))]) if starts else F.create_map(F.lit(0), F.lit(0))
     out = sessions.join(seen, ["source", "session"], "left").withColumn("pos", (base[F.col("source_order")] + F.col("session_order") + 1).cast("long"))
     return out.select(
-        "pos", F.concat(F.lit(f"topic-{prefix}-"), padded("pos", 6)).alias("evidence_ref"), "source", "session",
+        "pos", F.concat(F.lit(_prefix(nonce)), padded("pos", 6)).alias("evidence_ref"), "source", "session",
         F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),
         is_clean(F.array_join("evidence", "\n")).alias("clean"), F.lit(None).cast("string").alias("primary_topic"),
     )
@@ -93,9 +101,6 @@ def create_review(sessions: DataFrame, user_messages: DataFrame, nonce: str) ->
 
 def population_sha256(members: DataFrame, nonce: str) -> str:
     """Hash over the JSON {"nonce", "members"} with the sorted members (source, session), streamed: no list is kept whole."""
-    import hashlib
-    import json
-
     ordered = members.select(F.concat_ws("\x00", "source", F.col("session").cast("string")).alias("m")).orderBy(F.expr("m COLLATE UNICODE"))
     digest = hashlib.sha256(f'{{"nonce":{json.dumps(nonce)},"members":['.encode())
     for k, row in enumerate(ordered.toLocalIterator()):

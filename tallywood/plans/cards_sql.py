@@ -34,8 +34,8 @@ def planted_cards(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return c.select("path", text.alias("text")), pool
 
 
-_BLANK = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
-SQL = rf"""WITH w AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '{_BLANK}', ' ', 'g'), ' ') AS words FROM conversations WHERE role IN ('user', 'assistant')),
+BLANK = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+SQL = rf"""WITH w AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '{BLANK}', ' ', 'g'), ' ') AS words FROM conversations WHERE role IN ('user', 'assistant')),
 t AS (SELECT *, conv_id || '-' || turn // 16 AS path, 6 + row_number() OVER (PARTITION BY conv_id, turn // 16 ORDER BY turn, role, words) AS n,
   regexp_matches(regexp_replace(words, '\p{{Latin}}', '', 'g'), '\p{{L}}') AS strange FROM w WHERE words <> ''),
 d AS (SELECT path, conv_id, 7 + count(*) AS top FROM t GROUP BY path, conv_id),

@@ -625,3 +625,24 @@ def sample_card_bindings(spark, sf):
     pool, found = staged(pool, "candidates"), staged(cards(docs), "cards")
     rest = unused(found, pool).select("path", "ref", F.lit("UNUSED_CANDIDATE").alias("code"), F.lit(0).alias("line"))
     return binding_issues(found, pool).unionByName(rest)
+
+
+@query(C + rf""", w AS (SELECT source, session, ordinal, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '{cards_sql.BLANK}', ' ', 'g'), ' ') AS t
+  FROM m WHERE role = 'user'),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, session ORDER BY ordinal) AS r FROM w WHERE t <> ''),
+v AS (SELECT source, session, list(rtrim(substr(t, 1, 600), ' ') ORDER BY ordinal) AS evidence FROM e WHERE r <= 3 GROUP BY source, session),
+h AS (SELECT sha256('{{"nonce":"n","members":[' || string_agg('"' || source || '\u0000' || session || '"', ',' ORDER BY source, session::VARCHAR) || ']}}') AS population_sha256 FROM c)
+SELECT 'topic-' || left(sha256('n'), 12) || '-' || lpad((row_number() OVER (ORDER BY source = 'claude_code', first_ordinal, session))::VARCHAR, 6, '0') AS evidence_ref,
+  source, coalesce(evidence, []) AS evidence, population_sha256 FROM c LEFT JOIN v USING (source, session), h""")
+def review_artifact(spark, sf):
+    """The topic review of all conversations, written as one JSON file by executors and read back line by line."""
+    from tallywood.operators import artifact, topics
+
+    told = messages(spark, sf)
+    found = sessions.order(sessions.counts(told)).withColumn("source_order", (F.col("source") == "claude_code").cast("long"))
+    found = staged(found.select("source", "session", "source_order", "session_order"), "sessions")
+    review = staged(topics.create_review(found, told.filter(sessions.is_user()).join(found.select("source", "session"), ["source", "session"], "left_semi"), "n"), "review")
+    sha = topics.population_sha256(found.select("source", "session"), "n")
+    at = artifact.own_place(spark)
+    artifact.write_review(review, at, {"formatVersion": "topic-review.v1", "populationSha256": sha})
+    return artifact.review_sessions(spark, at).select(F.col("evidenceRef").alias("evidence_ref"), "source", F.col("userEvidence").alias("evidence"), F.lit(sha).alias("population_sha256"))
