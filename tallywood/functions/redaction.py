@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 from urllib.parse import parse_qsl, quote_plus, urlsplit, urlunsplit
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywood.functions.textrules import expand
+from tallywood.functions.textrules import WORD, expand
 
 # Codes, patterns and replacements, in the order they apply.  "i" ignores case.
 RULES = (
@@ -61,7 +62,16 @@ PHONE = r"(?<![A-Za-z0-9_])(?:\+?[0-9][0-9 ().-]{6,}[0-9])(?![A-Za-z0-9_])"
 URL = r"""(?:https?|ftp|s3)://[^<s><>"')\]]+"""
 
 
-def _java(pattern: str, flags: str) -> str:
+#: What a match that starts at a border starts with, always a word character: so the border is one to the left, and most places fall at once.  EMAIL may start otherwise.
+_STARTS = {
+    "CLI_TOKEN": "c", "BEARER_TOKEN": "[Bb]", "BASIC_AUTH": "[Bb]", "JWT": "e", "CLOUD_CREDENTIAL": "A", "API_KEY": "[sAgxn]", "COOKIE": "[CcSs]", "SECRET_ASSIGNMENT": "[A-Za-z]", "CREDENTIAL_URI": "[HhPpMmRrAa]",
+    "IPV4": "[0-9]", "WINDOWS_HOME_PATH": "[A-Za-z]", "SESSION_ID": "[SsCc]", "RAW_UUID": "[0-9A-Fa-f]",
+}
+
+
+def _java(pattern: str, flags: str, code: str = "") -> str:
+    if code in _STARTS and pattern.startswith("<edge>"):
+        pattern = f"(?={_STARTS[code]})(?<![{WORD}])" + pattern.removeprefix("<edge>")
     return ("(?i)" if flags else "") + expand(pattern)
 
 
@@ -74,19 +84,28 @@ def let(value: Column, body) -> Column:
 _SHAPES = {"IPV4": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", "RAW_UUID": "-[1-8][0-9A-Fa-f]{3}-", "SECRET_ASSIGNMENT": expand("(?i)(?:key|token|secret|password|passwd|cookie)[\"']?<space>*[:=]")}
 
 
-def _may(text: Column, code: str) -> Column:
-    if code in _SHAPES:
-        return text.rlike(_SHAPES[code])
-    low = F.lower(text)
-    out = F.contains(low, F.lit(NEEDS[code][0]))
-    for w in NEEDS[code][1:]:
-        out = out | F.contains(low, F.lit(w))
-    return out
+def _has(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in a lower-cased text; words with a rare mark are looked for only where that is."""
+    marks = {m: [w for w in words if m in w] for m in "/_"}
+    plain = [w for w in words if not any(w in held for held in marks.values())]
+    said = [F.contains(low, F.lit(w)) for w in plain]
+    for mark, held in marks.items():
+        if held:
+            here = reduce(or_, [F.contains(low, F.lit(w)) for w in held])
+            said.append(F.contains(low, F.lit(mark)) & here if len(held) > 1 else here)
+    return reduce(or_, said)
+
+
+def _may(text: Column, code: str, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    if code == "SECRET_ASSIGNMENT":  # the pattern is dear
+        return _has(low, NEEDS[code]) & text.rlike(_SHAPES[code])
+    return text.rlike(_SHAPES[code]) if code in _SHAPES else _has(low, NEEDS[code])
 
 
 def count_rule(text: Column, code: str) -> Column:
     """How often a rule matches, natively."""
-    hits = sum((F.regexp_count(text, F.lit(_java(p, f))) for c, p, f, _ in RULES if c == code), F.lit(0))
+    hits = sum((F.regexp_count(text, F.lit(_java(p, f, c))) for c, p, f, _ in RULES if c == code), F.lit(0))
     return F.when(_may(text, code), hits).otherwise(F.when(text.isNotNull(), 0))
 
 
@@ -94,7 +113,7 @@ def replace_rules(text: Column, codes: tuple[str, ...] | None = None) -> Column:
     """The text after the pattern rules, natively."""
     for code, pattern, flags, by in RULES:
         if codes is None or code in codes:
-            text = let(text, _when(code, _java(pattern, flags), by))
+            text = let(text, _when(code, _java(pattern, flags, code), by))
     return text
 
 
@@ -229,25 +248,37 @@ def clean_urls(text: pd.Series) -> pd.Series:
 
 
 #: All patterns in order: code, Java pattern, replacement.
-_ALL = [(c, _java(p, f), by) for c, p, f, by in RULES] + [("IPV6", STRICT_IPV6, "[REDACTED_IP]"), ("PHONE", STRICT_PHONE, "[REDACTED_PHONE]")]
+_ALL = [(c, _java(p, f, c), by) for c, p, f, by in RULES] + [("IPV6", STRICT_IPV6, "[REDACTED_IP]"), ("PHONE", STRICT_PHONE, "[REDACTED_PHONE]")]
 _URL = _java(URL, "i")
 #: No rule puts in "://" or "?", and each leaves a mark that ends a URL, so only texts with such a run can ever hold a URL with a query.
 _QUERY = expand("://[^<s><>]*[?]")
 
 
-def _hints(text: Column) -> list[Column]:
-    """For each of _ALL whether it can match at all, from literals of the text as it came in."""
-    own = {c: _may(text, c) for c in NEEDS}
-    own |= {"IPV6": text.rlike(":[0-9A-Fa-f]{0,4}:"), "PHONE": text.rlike("[0-9][0-9 ().-]{6}")}
-    return [own[c] for c, _, _ in _ALL]
+#: All codes in order; several patterns of a code share a hint.
+_CODES = list(dict.fromkeys(c for c, _, _ in _ALL))
+
+
+def _hints(text: Column) -> Column:
+    """An array that says for each of _CODES whether it can match at all, from literals of the text as it came in, lower-cased once."""
+    own = {"IPV6": text.rlike(":[0-9A-Fa-f]{0,4}:"), "PHONE": text.rlike("[0-9][0-9 ().-]{6}")}
+    return let(F.lower(text), lambda low: F.array(*[own[c] if c in own else _may(text, c, low) for c in _CODES]))
+
+
+def _any(hints: Column) -> Column:
+    return F.exists(hints, lambda h: h)
 
 
 def pattern_rules(text: Column) -> Column:
     """A struct of the text after all pattern rules and counts (an array, one for each of _ALL), natively.
 
     A fold over the rules, which carries both; a rule is counted only where it has changed something.
+    Texts that no rule can match, most of them, don't enter it.
     """
-    now = F.struct(text.alias("before"), text.alias("text"), F.array(*_hints(text)).alias("hints"), F.array().cast("array<int>").alias("counts"))
+    return let(F.struct(text.alias("text"), _hints(text).alias("hints")), lambda s: F.when(_any(s["hints"]), _folded(s["text"], s["hints"])).otherwise(F.struct(s["text"].alias("text"), F.array_repeat(F.lit(0), len(_ALL)).alias("counts"))))
+
+
+def _folded(text: Column, hints: Column) -> Column:
+    now = F.struct(text.alias("before"), text.alias("text"), hints.alias("hints"), F.array().cast("array<int>").alias("counts"))
     counted = None
     for k, (_, pattern, by) in enumerate(_ALL):
         now, counted = let(now, _step(k, pattern, by, counted)), pattern
@@ -261,7 +292,7 @@ def _changes(s: Column, pattern: str) -> Column:
 
 def _step(k: int, pattern: str, by: str, last: str | None):
     def step(s: Column) -> Column:
-        after = F.when(s["hints"][k], F.regexp_replace(s["text"], F.lit(pattern), F.lit(by))).otherwise(s["text"])
+        after = F.when(s["hints"][_CODES.index(_ALL[k][0])], F.regexp_replace(s["text"], F.lit(pattern), F.lit(by))).otherwise(s["text"])
         counts = F.concat(s["counts"], _changes(s, last)) if last else s["counts"]
         return F.struct(s["text"].alias("before"), after.alias("text"), s["hints"].alias("hints"), counts.alias("counts"))
 
@@ -306,9 +337,11 @@ def _sensitive(url: Column) -> Column:
 def holds_any(text: Column) -> Column:
     """Whether anything sensitive stands in a text."""
     out = F.coalesce(text.rlike(_QUERY) & F.exists(F.regexp_extract_all(text, F.lit(_URL), F.lit(0)), _sensitive), F.lit(False))
-    for hint, (_, pattern, _) in zip(_hints(text), _ALL):
-        out = out | F.coalesce(F.when(hint, text.rlike(pattern)), F.lit(False))
-    return out
+
+    def ruled(hints: Column) -> Column:
+        return _any(hints) & reduce(or_, [hints[_CODES.index(c)] & text.rlike(pattern) for c, pattern, _ in _ALL])
+
+    return out | F.coalesce(let(_hints(text), ruled), F.lit(False))
 
 
 def _units(text: Column) -> Column:
@@ -324,13 +357,15 @@ def detections(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     give the place of every match, however many there are.
     """
     rules = [(c, p) for c, p, _ in _ALL] + [("SENSITIVE_URL_QUERY", _URL)]
-    hints = [*_hints(F.col(text)), F.col(text).rlike(_QUERY)]
+
     def cut(k: int, code_pattern: tuple[str, str], hint: Column) -> Column:
         p = code_pattern[1]
         parts = lambda m: F.arrays_zip(F.slice(F.split(text, p, -1), F.lit(1), F.size(m)).alias("piece"), m.alias("match"))
         return let(F.when(hint, F.regexp_extract_all(text, F.lit(p), F.lit(0))), lambda m: F.when(F.size(m) > 0, F.struct(F.lit(k).alias("rule"), parts(m).alias("parts"))))
 
-    found = F.array(*[cut(k, rule, hint) for k, (rule, hint) in enumerate(zip(rules, hints))])
+    places = [_CODES.index(c) if c in _CODES else len(_CODES) for c, _ in rules]
+    hints = F.concat(_hints(F.col(text)), F.array(F.col(text).rlike(_QUERY)))
+    found = let(hints, lambda h: F.when(_any(h), F.array_compact(F.array(*[cut(k, rule, h[at]) for k, (rule, at) in enumerate(zip(rules, places))]))))
     each = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.explode_outer(found).alias("c")).filter("c is not null").select(*keys, "_row", "c.rule", F.posexplode("c.parts").alias("at", "p"))
     lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     tail = lambda c: _units(F.substring_index(c, "\n", -1))

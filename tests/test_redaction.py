@@ -64,3 +64,31 @@ def test_native_excerpts_are_those_for_single_texts(spark):
     assert got == {k: (None, None) if t is None else (without_fences(t), without_resources(t)) for k, t in enumerate(texts)}
     shown = {r.id: r.excerpt for r in with_excerpts(df).collect()}
     assert shown == {k: normalized(t) for k, t in enumerate(texts)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hints_lower_a_text_once(spark):
+    """Each text is lower-cased once for all rules, and a pattern tries no border at every place."""
+    from tallywood.functions.redaction import _ALL
+    from tallywood.functions.textrules import EDGE
+
+    df = spark.createDataFrame([(1, "x")], "id long, text string")
+    assert _plan(with_redactions(df)).count("lower(") == 2  # one in each branch
+    assert _plan(detections(df, ["id"])).count("lower(") == 1
+    assert {c for c, p, _ in _ALL if p.removeprefix("(?i)").startswith(EDGE)} == {"EMAIL"}
+
+
+def test_excerpts_read_no_further_than_they_show(spark):
+    """No list of all letters, no blanks collapsed behind the cut; the cut itself stays where it was."""
+    from tallywood.functions.excerpts import normalized, with_excerpts
+
+    blanks = ["", " ", "\n \t", "　"]
+    texts = [a + "x" * n + b + "y" * m + c for n in (1, 277, 278, 279, 280, 281) for m in (0, 1, 2, 3) for a in blanks[:3] for b in blanks for c in blanks]
+    texts += ["a  " * n + "b" * m for n in range(137, 143) for m in range(3)] + ["\U0001f600 " * 140 + "abc", "[HOME] " * 50 + "ab", "[HOME] " * 50 + "abc", "[home " * 60 + "ab] c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    shown = with_excerpts(df)
+    assert {r.id: r.excerpt for r in shown.collect()} == {k: normalized(t) for k, t in enumerate(texts)}
+    assert r", [\p{L}\p{N}], " not in _plan(shown)
