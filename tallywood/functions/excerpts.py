@@ -131,7 +131,7 @@ def fences_out(text: Column) -> Column:
         return F.array_join(F.concat(F.flatten(before), after), "\n")
 
     some = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
-    return F.when(some, let(fenced, rest)).otherwise(F.regexp_replace(text, "\r\n", "\n"))
+    return F.when(some, let(fenced, rest)).otherwise(F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
 def resources_out(text: Column) -> Column:
@@ -146,13 +146,19 @@ def _stripped(pattern: str, by: str, literal: str):
     return lambda t: F.when(F.contains(t, F.lit(literal)), F.regexp_replace(t, F.lit(pattern), F.lit(by))).otherwise(t)
 
 
+#: Three letters or digits, the search ends with the third.
+_SPOKEN = r"[\p{L}\p{N}](?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){2}"
+#: The start of a text that says its first 280 code points once blanks are collapsed, and whether more follow: two points more, as the last may be a blank.
+_HEAD = rf"\A[{SPACE}]*+(?:[^{SPACE}]|[{SPACE}]++(?=[^{SPACE}])){{0,{MOST_POINTS + 2}}}"
+
+
 def with_excerpts(df: DataFrame, text: str = "text", into: str = "excerpt") -> DataFrame:
     """df with a column `into` of the excerpt of each text, null where nothing fit to show is left."""
     may = F.contains(F.col(text), F.lit("/")) & F.contains(F.col(text), F.lit("?"))  # stripping makes neither
     bare = with_redactions(df, F.regexp_replace(resources_out(F.col(text)), r"\p{C}", " "), into, may)
 
     def shown(t: Column) -> Column:
-        spoken = F.regexp_count(F.regexp_replace(t, "(?i)" + _MARKS, " "), F.lit(r"[\p{L}\p{N}]")) >= 3
-        return F.when(spoken, let(cut_points(t, MOST_POINTS), lambda c: F.when(~holds_any(c), c)))
+        plain = F.when(F.contains(t, F.lit("[")), F.regexp_replace(t, "(?i)" + _MARKS, " ")).otherwise(t)
+        return F.when(plain.rlike(_SPOKEN), let(cut_points(collapse(F.regexp_extract(t, _HEAD, 0)), MOST_POINTS), lambda c: F.when(~holds_any(c), c)))
 
-    return bare.withColumn(into, let(collapse(F.col(f"{into}.text")), shown))
+    return bare.withColumn(into, let(F.col(f"{into}.text"), shown))
