@@ -48,18 +48,24 @@ def _row(kind_: str, path: str, o: str) -> str:
     return f"named_struct('kind', '{kind_}', 'path', {path}, 'o', {o})"
 
 
-def objects(docs: DataFrame) -> DataFrame:
-    """doc, kind, path and o (variant) of every object of documents (doc, v); what is absent has no row."""
+def objects(docs: DataFrame, kind: str | None = None) -> DataFrame:
+    """doc, kind, path and o (variant) of every object of documents (doc, v), or of one kind; what is absent has no row.
+
+    An object carries the names of its whole document, so a kind is read from the documents where it is needed, not written.
+    """
     sources = "coalesce(try_variant_get(v, '$.bySource', 'map<string,variant>'), cast(map() AS map<string,variant>))"
     by_source = f"transform(map_entries({sources}), e -> {_row('set', "concat('$.bySource.', e.key)", 'e.value')})"
-    below_set = ", ".join([_row("distribution", f"concat(s.path, '.{p}')", _part("s.o", p)) for p in PARTS] + [_row("coverage", "concat(s.path, '.tokenCoverage')", _part("s.o", "tokenCoverage"))])
+    below_set = {k: ", ".join(_row(k, f"concat(s.path, '.{p}')", _part("s.o", p)) for p in names) for k, names in (("distribution", PARTS), ("coverage", ("tokenCoverage",)))}
     candidates = f"transform({_list('v', 'representativeCandidates')}, (c, i) -> {_row('candidate', "concat('$.representativeCandidates[', i, ']')", 'c')})"
     excerpts = f"transform({_list('c.o', 'excerpts')}, (x, i) -> {_row('excerpt', "concat(c.path, '.excerpts[', i, ']')", 'x')})"
-    assignments = f"transform({_list('v', 'topicClassification.assignments')}, (a, i) -> {_row('assignment', "concat('$.topicClassification.assignments[', i, ']')", 'a')})"
-    top = ", ".join([_row("root", "'$'", "v"), _row("review", "'$.topicReview'", _part("v", "topicReview")), _row("classification", "'$.topicClassification'", _part("v", "topicClassification"))])
+    every = {
+        "root": f"array({_row('root', "'$'", 'v')})", **{k: f"array({_row(k, f"'$.{p}'", _part('v', p))})" for k, p in (("review", "topicReview"), ("classification", "topicClassification"))},
+        "set": "sets", **{k: f"flatten(transform(sets, s -> array({rows})))" for k, rows in below_set.items()}, "candidate": "cards", "excerpt": f"flatten(transform(cards, c -> {excerpts}))",
+        "assignment": f"transform({_list('v', 'topicClassification.assignments')}, (a, i) -> {_row('assignment', "concat('$.topicClassification.assignments[', i, ']')", 'a')})",
+    }
     d = docs.withColumn("sets", F.expr(f"concat(array({_row('set', "'$.overall'", _part('v', 'overall'))}), {by_source})")).withColumn("cards", F.expr(candidates))
-    every = f"concat(array({top}), sets, flatten(transform(sets, s -> array({below_set}))), cards, flatten(transform(cards, c -> {excerpts})), {assignments})"
-    return d.select("doc", F.explode(F.expr(f"filter({every}, x -> x.o IS NOT NULL)")).alias("x")).select("doc", "x.*")
+    asked = every[kind] if kind else f"concat({', '.join(every.values())})"
+    return d.select("doc", F.explode_outer(F.expr(asked)).alias("x")).filter("x.o IS NOT NULL").select("doc", "x.*")
 
 
 def key_breaches(rows: DataFrame) -> DataFrame:
@@ -69,18 +75,24 @@ def key_breaches(rows: DataFrame) -> DataFrame:
 
     # a key whose value is null is there, as in JSON
     said = rows.withColumn("keys", F.map_keys(F.expr("try_variant_get(o, '$', 'map<string,variant>')")))
-    wrong = said.filter("keys IS NULL").select("doc", "path", F.lit("no object").alias("rule"))
-    named = said.select("doc", "path", F.explode(F.concat(
-        F.transform(F.array_except("keys", of(ALLOWED)), lambda k: F.struct(k.alias("key"), F.lit("unknown key").alias("rule"))),
-        F.transform(F.array_except(of(REQUIRED), "keys"), lambda k: F.struct(k.alias("key"), F.lit("missing key").alias("rule"))),
-    )).alias("k")).select("doc", F.concat("path", F.lit("."), "k.key").alias("path"), "k.rule")
-    return wrong.unionAll(named)
+    below = lambda rule: lambda k: F.struct(F.concat("path", F.lit("."), k).alias("path"), F.lit(rule).alias("rule"))
+    named = F.concat(F.transform(F.array_except("keys", of(ALLOWED)), below("unknown key")), F.transform(F.array_except(of(REQUIRED), "keys"), below("missing key")))
+    return _each(said, F.when(F.col("keys").isNull(), F.array(F.struct("path", F.lit("no object").alias("rule")))).otherwise(named))
+
+
+def _each(rows: DataFrame, found: Column) -> DataFrame:
+    """doc, path and rule of each element; an outer explode, as Spark works out the input of a plain one twice to filter by its size."""
+    return rows.select("doc", F.explode_outer(found).alias("x")).filter("x IS NOT NULL").select("doc", "x.path", "x.rule")
+
+
+def _why(rules: dict[str, Column], path: str | Column = "path") -> Column:
+    """path and rule of each rule that is false; unknown isn't false."""
+    at = F.col(path) if isinstance(path, str) else path
+    return F.array_compact(F.array(*[F.when(~ok, F.struct(at.alias("path"), F.lit(rule).alias("rule"))) for rule, ok in rules.items()]))
 
 
 def _broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """A row for each rule that is false; unknown isn't false."""
-    why = F.array_compact(F.array(*[F.when(~ok, F.lit(rule)) for rule, ok in rules.items()]))
-    return rows.select("doc", "path", F.explode(why).alias("rule"))
+    return _each(rows, _why(rules))
 
 
 def _text(path: str) -> Column:
@@ -88,40 +100,46 @@ def _text(path: str) -> Column:
     return F.expr(f"if(schema_of_variant({part}) = 'STRING', cast({part} AS string), null)")
 
 
-def _whole_of(part: str) -> str:
-    """A variant's whole number of at least 0; integers are told by their type alone, other numbers by their value."""
-    return f"""CASE schema_of_variant({part}) WHEN 'BIGINT' THEN if(cast({part} AS bigint) BETWEEN 0 AND 9007199254740991, cast({part} AS double), null)
-      WHEN 'VOID' THEN null WHEN 'STRING' THEN null WHEN 'BOOLEAN' THEN null
-      ELSE if(regexp_like(schema_of_variant({part}), '^(DECIMAL|DOUBLE|FLOAT)') AND try_cast({part} AS double) = floor(try_cast({part} AS double)) AND try_cast({part} AS double) BETWEEN 0 AND 9007199254740991, try_cast({part} AS double), null) END"""
+def _whole_of(part: str, number: str) -> str:
+    """A whole number of at least 0, given a variant and its cast to double: only strings and booleans could be cast as well."""
+    return f"if({number} BETWEEN 0 AND 9007199254740991 AND {number} = floor({number}) AND schema_of_variant({part}) NOT IN ('STRING', 'BOOLEAN'), {number}, null)"
 
 
 def _whole(path: str) -> Column:
-    return F.expr(_whole_of(f"try_variant_get(o, '{path}', 'variant')"))
+    return F.expr(_whole_of(f"try_variant_get(o, '{path}', 'variant')", f"try_variant_get(o, '{path}', 'double')"))
 
 
 def _is_whole(rows: DataFrame, names) -> DataFrame:
     """Members that are there but aren't whole numbers of at least 0."""
     listed = ", ".join(f"'{k}'" for k in names)
     members = "map_entries(try_variant_get(o, '$', 'map<string,variant>'))"
-    bad = F.expr(f"transform(filter({members}, e -> e.key IN ({listed}) AND ({_whole_of('e.value')}) IS NULL), e -> concat(path, '.', e.key))")
-    return rows.select("doc", F.explode(bad).alias("path"), F.lit("no whole number").alias("rule"))
+    bad = F.expr(f"transform(filter({members}, e -> e.key IN ({listed}) AND ({_whole_of('e.value', "try_variant_get(e.value, '$', 'double')")}) IS NULL), e -> concat(path, '.', e.key))")
+    return rows.select("doc", F.explode_outer(bad).alias("path"), F.lit("no whole number").alias("rule")).filter("path IS NOT NULL")
 
 
 NUMBERS = (*fixed.ADDITIVE, "activeDays", "activeMonths", *fixed.TOKENS)
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """doc, path, source (null for the whole) and the numbers of each metric set, coverage and distributions included."""
-    below = [(f"c_{k}", f"$.tokenCoverage.{k}") for k in fixed.COVERAGE] + [(f"{p}_{k}", f"$.{p}.{k}") for p in PARTS for k in DISTRIBUTION if k != "mean"]
-    got = rows.filter("kind = 'set'").select(
+    """doc, path, source (null for the whole) and the numbers of each metric set, coverage and distributions included.
+
+    Whole numbers are read in one pass over the set's text, as only JSON numbers become doubles.
+    """
+    below = {"tokenCoverage": [(f"c_{k}", k) for k in fixed.COVERAGE]} | {p: [(f"{p}_{k}", k) for k in DISTRIBUTION if k != "mean"] for p in PARTS}
+    members = [f"`{k}` double" for k in NUMBERS] + [f"`{p}` struct<{', '.join(f'`{k}`: double' for _, k in names)}>" for p, names in below.items()]
+    said = rows.withColumn("text", F.to_json("o"))
+    read = F.when(F.startswith("text", F.lit("{")), F.from_json("text", ", ".join(members), {"allowNonNumericNumbers": "false"}))
+    whole = lambda n: F.when(n.between(0, 9007199254740991) & (n == F.floor(n)), n)
+    deep = [(name, F.col(f"n.{p}.{k}")) for p, names in below.items() for name, k in names]
+    return said.withColumn("n", read).select(
         "doc", "path", F.when(F.col("path") != "$.overall", F.substring("path", len("$.bySource.") + 1, 1 << 30)).alias("source"), "o",
-        *[_whole(f"$.{k}").alias(k) for k in NUMBERS], *[_whole(at).alias(k) for k, at in below],
+        *[whole(F.col(f"n.{k}")).alias(k) for k in NUMBERS], *[whole(n).alias(name) for name, n in deep],
         *[numeric("o", f"$.{p}.mean").alias(f"{p}_mean") for p in PARTS], *[_text(f"$.{k}").alias(k) for k in ("earliestAt", "latestAt")],
+        F.expr(_part("o", "tokensPerSession")).isNotNull().alias("tokens"),
     )
-    return got
 
 
-def set_breaches(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def set_breaches(sets: DataFrame) -> DataFrame:
     """Rules within one metric set and its distributions."""
     c, have = F.col, lambda k: F.col(k).isNotNull()
     given = reduce(lambda a, b: a + b, [have(k).cast("int") for k in fixed.TOKENS])
@@ -143,17 +161,24 @@ def set_breaches(rows: DataFrame, sets: DataFrame) -> DataFrame:
         "coverage out of bounds": (cover[3] <= F.least(cover[1], cover[2])) & (F.greatest(*cover) <= c("sessionCount")),
         "coverage and totals disagree": (cover[3] > 0) == (given == 3),
         "more mismatches than sessions with tokens": c("tokenArithmeticMismatchCount") <= cover[3],
-        "token distribution and coverage disagree": (cover[3] > 0) == F.expr(_part("o", "tokensPerSession")).isNotNull(),
+        "token distribution and coverage disagree": (cover[3] > 0) == c("tokens"),
     }
-    out = [_broken(sets, rules), _is_whole(rows.filter("kind = 'set'"), NUMBERS), _is_whole(rows.filter("kind = 'coverage'"), fixed.COVERAGE), _is_whole(rows.filter("kind = 'distribution'"), [k for k in DISTRIBUTION if k != "mean"])]
+    found = [_why(rules)]
     for p, size, total in ((PARTS[0], c("sessionCount"), c("turnCount")), (PARTS[1], c("sessionCount"), c("toolCallCount")), (PARTS[2], cover[3], c("totalTokens"))):
         n, p50, p95, mean, most = (c(f"{p}_{k}") for k in DISTRIBUTION)
-        out.append(_broken(sets.withColumn("path", F.concat("path", F.lit(f".{p}"))), {
+        found.append(_why({
             "another sample size": n == size,
             "values out of order": (p50 <= p95) & (p95 <= most) & (mean <= most),
             "values without a sample": (n > 0) | (F.greatest(p50, p95, mean, most) == 0),
             "mean doesn't fit the total": F.abs(mean * size - total) <= size * 0.005 + 1e-9,
-        }))
+        }, F.concat("path", F.lit(f".{p}"))))
+    sizes = [k for k in DISTRIBUTION if k != "mean"]
+    told = {"": NUMBERS, "tokenCoverage": fixed.COVERAGE} | dict.fromkeys(PARTS, sizes)
+    out = [_each(sets, F.concat(*found))]
+    for part, names in told.items():  # what `measured` has read needs no second look
+        have_all = [f"c_{k}" if part == "tokenCoverage" else f"{part}_{k}" if part else k for k in names]
+        odd = sets.filter(reduce(lambda a, b: a | b, [c(k).isNull() for k in have_all]))
+        out.append(_is_whole(odd.select("doc", F.concat("path", F.lit(f".{part}")).alias("path"), F.expr(_part("o", part)).alias("o")) if part else odd, names))
     return reduce(DataFrame.unionAll, out)
 
 
@@ -168,8 +193,8 @@ def sum_breaches(sets: DataFrame) -> DataFrame:
     return grouped.select("doc", F.explode(F.transform(wrong, lambda k: F.concat(F.lit("$.overall."), k))).alias("path"), F.lit("doesn't follow from the sources").alias("rule"))
 
 
-def root_breaches(rows: DataFrame) -> DataFrame:
-    root, sets = rows.filter("kind = 'root'"), rows.filter("kind = 'set' AND path <> '$.overall'")
+def root_breaches(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    root, sets = objects(docs, "root"), sets.filter("path <> '$.overall'")
     rules = {
         "another format": _text("$.formatVersion") == "facts.v1", "no time": F.coalesce(_text("$.generatedAt").rlike(TIME), F.lit(False)),
         "too many candidates": F.size(F.expr(_list("o", "representativeCandidates"))) <= fixed.MOST_CANDIDATES,
@@ -179,59 +204,66 @@ def root_breaches(rows: DataFrame) -> DataFrame:
     return _broken(root, rules).unionAll(_broken(sets, {"unsupported source": F.col("path").isin(*[f"$.bySource.{s}" for s in sorted(fixed.SOURCES)])}))
 
 
-def candidate_breaches(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def candidate_breaches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Rules of candidates, against the totals of their source, and of their excerpts."""
     place = F.regexp_extract("path", "([0-9]+)[]]$", 1).cast("int") + 1
-    cards = rows.filter("kind = 'candidate'").select("doc", "path", _text("$.source").alias("source"), "o")
     totals = sets.filter("source IS NOT NULL").select("doc", "source", *[F.col(k).alias(f"all_{k}") for k in ("messageCount", "turnCount", "toolCallCount")], F.lit(True).alias("known"))
     tokens = [_whole(f"$.{k}") for k in fixed.TOKENS]
     models = F.expr("try_variant_get(o, '$.models', 'array<string>')")
     roles = F.transform(F.expr(_list("o", "excerpts")), lambda x: F.try_variant_get(x, "$.role", "string"))
-    messages, turns, tools = _whole("$.messageCount"), _whole("$.userTurns"), _whole("$.toolCalls")
+    messages, turns, tools = (F.col(k) for k in ("messages", "turns", "tools"))
     rules = {
         "reference out of sequence": _text("$.evidenceRef") == F.concat(F.lit("candidate-"), F.lpad(place.cast("string"), 2, "0")),
-        "unknown source": F.coalesce("known", F.lit(False)),
         "no user turn": turns > 0, "more turns than messages": turns <= messages,
-        "more than its source has": (messages <= F.col("all_messageCount")) & (turns <= F.col("all_turnCount")) & (tools <= F.col("all_toolCallCount")),
         "type and tool calls disagree": _text("$.sessionType") == F.when(tools > 0, "agentic").otherwise("conversation"),
         "tokens don't add up": tokens[2] == tokens[0] + tokens[1],
         "an empty list of models": F.size(models) > 0, "ends before it starts": _text("$.startedAt") <= _text("$.endedAt"),
         "bad number of excerpts": F.size(roles).between(1, fixed.MOST_EXCERPTS) & F.array_contains(F.transform(roles, lambda r: F.coalesce(r, F.lit(""))), "user"),
     }
-    said = rows.filter("kind = 'excerpt'").select("doc", "path", "o", _text("$.text").alias("text"))
+    met = {
+        "unknown source": F.coalesce("known", F.lit(False)),
+        "more than its source has": (messages <= F.col("all_messageCount")) & (turns <= F.col("all_turnCount")) & (tools <= F.col("all_toolCallCount")),
+    }
+    numbers = {"messages": _whole("$.messageCount"), "turns": _whole("$.userTurns"), "tools": _whole("$.toolCalls")}
+    cards = objects(docs, "candidate").select("doc", "path", _text("$.source").alias("source"), "o", *[n.alias(k) for k, n in numbers.items()])
+    cards = cards.select("doc", "path", "source", *numbers, _why(rules).alias("why"))  # no variant goes through a shuffle
+    said = objects(docs, "excerpt").select("doc", "path", "o", _text("$.text").alias("text"))
     said = with_excerpts(said, "text", "plain")
     texts = _broken(said, {
         "unknown role": F.coalesce(_text("$.role").isin(*sorted(fixed.ROLES)), F.lit(False)), "unknown position": F.coalesce(_text("$.position").isin(*sorted(fixed.POSITIONS)), F.lit(False)),
         "a longer text": F.length("text") <= fixed.EXCERPT_POINTS, "isn't normalized": F.col("text") == F.coalesce("plain", F.lit("")),
     })
-    counted = _is_whole(rows.filter("kind = 'candidate'"), ("messageCount", "userTurns", "toolCalls", *fixed.TOKENS))
-    return _broken(cards.join(totals, ["doc", "source"], "left"), rules).unionAll(texts).unionAll(counted)
+    counted = _is_whole(objects(docs, "candidate"), ("messageCount", "userTurns", "toolCalls", *fixed.TOKENS))
+    return _each(cards.join(totals, ["doc", "source"], "left"), F.concat("why", _why(met))).unionAll(texts).unionAll(counted)
 
 
-def topic_breaches(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+def topic_breaches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Rules of the review's binding and of the classification; references meet assignments by place, sources and topics by groups."""
-    review, done = rows.filter("kind = 'review'"), rows.filter("kind = 'classification'")
+    review = objects(docs, "review").select("doc", "path", _text("$.populationSha256").alias("sha"), _text("$.formatVersion").alias("format"), _whole("$.sessionCount").alias("sessions"))
+    done = objects(docs, "classification")
+    closing = done.select("doc", "path", *[_text(f"$.{k}").alias(k) for k in ("method", "taxonomyVersion", "populationSha256")], *[_whole(f"$.{k}").alias(k) for k in ("denominator", "reviewedSessionCount")])
     whole = sets.filter("source IS NULL").select("doc", F.col("sessionCount").alias("n"))
     refs = docs.select("doc", F.posexplode(F.expr("try_variant_get(v, '$.topicReview.evidenceRefs', 'array<string>')")).alias("pos", "ref"))
+    refs = staged(refs, "references")
     many = refs.groupBy("doc").agg(F.count("*").alias("refs"))
     out = [_broken(review.join(whole, "doc").join(many, "doc", "left"), {
-        "another format": _text("$.formatVersion") == "topic-review.v1", "no hash": F.coalesce(_text("$.populationSha256").rlike(SHA), F.lit(False)),
-        "another session count": (_whole("$.sessionCount") == F.col("n")) & (F.coalesce("refs", F.lit(0)) == F.col("n")),
+        "another format": F.col("format") == "topic-review.v1", "no hash": F.coalesce(F.col("sha").rlike(SHA), F.lit(False)),
+        "another session count": (F.col("sessions") == F.col("n")) & (F.coalesce("refs", F.lit(0)) == F.col("n")),
     })]
     at = F.concat(F.lit("$.topicReview.evidenceRefs["), "pos", F.lit("]"))
     out.append(_broken(refs.withColumn("path", at), {"a reference of another form": F.coalesce(F.col("ref").rlike(REFERENCE), F.lit(False))}))
     again = refs.groupBy("doc", "ref").agg(F.count("*").alias("times")).filter("times > 1")
     out.append(again.select("doc", F.concat(F.lit("$.topicReview.evidenceRefs: "), "ref").alias("path"), F.lit("doubled reference").alias("rule")))
     given = docs.select("doc", F.posexplode(F.expr("try_variant_get(v, '$.topicClassification.assignments', 'array<variant>')")).alias("pos", "o"))
-    given = given.select("doc", "pos", _text("$.evidenceRef").alias("said"), _text("$.source").alias("source"), _text("$.primaryTopic").alias("topic"))
+    given = staged(given.select("doc", "pos", _text("$.evidenceRef").alias("said"), _text("$.source").alias("source"), _text("$.primaryTopic").alias("topic")), "assignments")
     met = given.join(refs.join(done.select("doc"), "doc"), ["doc", "pos"], "full").withColumn("path", F.concat(F.lit("$.topicClassification.assignments["), "pos", F.lit("]")))
     out.append(_broken(met, {"another session than the review's": F.coalesce(F.col("said") == F.col("ref"), F.lit(False))}))
     out.append(_broken(given.withColumn("path", F.concat(F.lit("$.topicClassification.assignments["), "pos", F.lit("]"))), {"unknown topic": F.coalesce(F.col("topic").isin(*TOPICS), F.lit(False))}))
     size = given.groupBy("doc").agg(F.count("*").alias("given"))
-    bound = review.select("doc", _text("$.populationSha256").alias("sha"))
-    out.append(_broken(done.join(size, "doc", "left").join(bound, "doc", "left"), {
-        "another method or taxonomy": (_text("$.method") == fixed.METHOD) & (_text("$.taxonomyVersion") == fixed.TAXONOMY), "another hash than the review's": _text("$.populationSha256") == F.col("sha"),
-        "another number of sessions": (_whole("$.denominator") == F.coalesce("given", F.lit(0))) & (_whole("$.reviewedSessionCount") == F.coalesce("given", F.lit(0))),
+    bound = review.select("doc", "sha")
+    out.append(_broken(closing.join(size, "doc", "left").join(bound, "doc", "left"), {
+        "another method or taxonomy": (F.col("method") == fixed.METHOD) & (F.col("taxonomyVersion") == fixed.TAXONOMY), "another hash than the review's": F.col("populationSha256") == F.col("sha"),
+        "another number of sessions": (F.col("denominator") == F.coalesce("given", F.lit(0))) & (F.col("reviewedSessionCount") == F.coalesce("given", F.lit(0))),
     }))
     told = done.select("doc", F.explode(F.expr("try_variant_get(o, '$.counts', 'map<string,bigint>')")).alias("topic", "told"))
     every = done.select("doc", F.explode(F.array(*map(F.lit, TOPICS))).alias("topic"))
@@ -251,8 +283,7 @@ def breaches(docs: DataFrame) -> DataFrame:
     v = F.when(F.col("json").rlike("^[ \\t\\r\\n]*\\{"), strict("json"))
     parsed = staged(spread(docs).select("doc", v.alias("v")), "facts")
     good = parsed.filter("v IS NOT NULL")
-    rows = staged(objects(good), "objects")
-    sets = staged(measured(rows), "sets")
+    sets = staged(measured(objects(good, "set")), "sets")
     none = parsed.filter("v IS NULL").select("doc", F.lit("$").alias("path"), F.lit("no object").alias("rule"))
-    found = [none, key_breaches(rows), root_breaches(rows), set_breaches(rows, sets), sum_breaches(sets), candidate_breaches(rows, sets), topic_breaches(good, rows, sets)]
+    found = [none, key_breaches(objects(good)), root_breaches(good, sets), set_breaches(sets), sum_breaches(sets), candidate_breaches(good, sets), topic_breaches(good, sets)]
     return reduce(DataFrame.unionAll, found)

@@ -275,3 +275,20 @@ def test_breaches_of_many_documents(spark):
     card = "$.representativeCandidates[0]"
     assert {(card, "an empty list of models"), (card, "bad number of excerpts"), (card, "type and tool calls disagree"), ("$.topicClassification.assignments[3]", "another session than the review's"),
             ("$.topicClassification", "another number of sessions"), ("$.bySource.claude_code", "another number of assignments than sessions")} <= {f[1:] for f in found if f[0] == 3}
+
+
+def test_breaches_read_each_number_once(spark):
+    """No kind of number is told by looking a member up again and again."""
+    from tallywood.operators import breaches as b
+
+    odd = ["5", "5.0", "5.5", "-1", "\"5\"", "\"NaN\"", "true", "null", "9007199254740991", "9007199254740992", "1e3", "1e999", "[5]", "{\"a\": 5}", "123456789012345678901234567890", "-0"]
+    whole = [5, 5, None, None, None, None, None, None, 9007199254740991, None, 1000, None, None, None, None, 0]
+    sets = [f'{{"messageCount": {x}, "userMessageCount": 1, "tokenCoverage": {{"sessionCount": {x}}}, "turnsPerSession": {{"p50": {x}, "p95": 2}}, "toolCallsPerSession": {x}}}' for x in odd]
+    docs = spark.createDataFrame([(k, f'{{"overall": {s}, "bySource": {{"codex": [{s}]}}}}') for k, s in enumerate(sets)], "doc int, json string").selectExpr("doc", "parse_json(json) AS v")
+    got = b.measured(b.objects(docs, "set"))
+    rows = {(r.doc, r.source): r for r in got.collect()}
+    for k, n in enumerate(whole):
+        r, none = rows[k, None], rows[k, "codex"]
+        assert [r.messageCount, r.c_sessionCount, r.turnsPerSession_p50, r.userMessageCount, r.turnsPerSession_p95] == [n, n, n, 1, 2], odd[k]
+        assert none.messageCount is None and none.userMessageCount is None
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("schema_of_variant") <= 8
