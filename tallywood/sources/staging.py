@@ -37,6 +37,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input in as many parts as there are cores, before work that costs far more than moving it; a large one as it is."""
+    """A small input in four parts for each core, before work that costs far more than moving it, so that no task takes long; a large one as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -92,3 +92,11 @@ def test_excerpts_read_no_further_than_they_show(spark):
     shown = with_excerpts(df)
     assert {r.id: r.excerpt for r in shown.collect()} == {k: normalized(t) for k, t in enumerate(texts)}
     assert r", [\p{L}\p{N}], " not in _plan(shown)
+
+
+def test_a_small_input_is_dealt_in_more_parts_than_cores(spark):
+    from tallywood.sources.staging import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    sizes = spread(spark.range(0, 1600, 1, 1)).rdd.glom().map(len).collect()
+    assert len(sizes) == 4 * cores and max(sizes) <= 1600 // (2 * cores)
